@@ -228,7 +228,7 @@ def content_sha256(c: ColumnOrName) -> Column:
 
 def to_list(c: ColumnOrName, sep: str = ",") -> Column:
     """Trimmed, non-empty items of a separated list."""
-    items = F.transform(F.split(col(c), sep), F.trim)
+    items = F.transform(F.split(col(c), sep), lambda item: F.trim(item))
     return F.filter(items, lambda x: x != "")
 
 

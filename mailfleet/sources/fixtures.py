@@ -59,11 +59,14 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            if name not in self._tables:
+                self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self._tables[name]
         return self.sql(view_sql()[name])
 
     def sql(self, text: str) -> DataFrame:

@@ -253,3 +253,30 @@ select o_orderkey as session_no, o_orderkey % 17 = 0 as in_networks, o_orderkey
 -- view: fx_usage
 select d.doc_id, concat('u', cast(c.c_custkey as string), '@d', cast(c.c_nationkey as string), '.example.com') as username, d.n_chars as vsize, timestamp '2024-01-01 00:00:00' + interval '1' minute * cast(d.doc_id as int) as saved_at,
  case d.doc_id % 8 when 0 then 'Junk' when 1 then 'Trash' else 'INBOX' end as folder from documents d join customer c on c.c_custkey = d.doc_id % 50
+
+-- view: fx_dkim_txt
+select zone, selector, case when published is null then cast(null as string) when length(zone) % 2 = 0 then concat('"v=DKIM1; k=rsa; p=', substr(published, 1, 200), '" "', substr(published, 201), '"') else concat('v=DKIM1; k=rsa; p=', published) end as txt from fx_dkim
+
+-- view: fx_dns_more
+select zone, name, type, prio, target, ttl from fx_dns
+union all select concat('d', cast(n_nationkey as string), '.example.com'), 'mx', 'CNAME', 0, 'sg1.example.com.', 3600 from zone_seed where n_nationkey % 13 = 0
+union all select concat('d', cast(n_nationkey as string), '.example.com'), '@', 'MX', 20, concat('mx.d', cast(n_nationkey as string), '.example.com.'), 3600 from zone_seed where n_nationkey % 13 = 0
+union all select concat('d', cast(n_nationkey as string), '.example.com'), 'sg1', 'A', 0, '203.0.113.10', 3600 from zone_seed where n_nationkey % 17 < 2
+union all select concat('d', cast(n_nationkey as string), '.example.com'), 'sg1', 'A', 0, '203.0.113.11', 3600 from zone_seed where n_nationkey % 17 = 1
+
+-- view: fx_sni_host
+select o_orderkey as host_no, case when o_orderkey % 3 = 0 then concat('www', cast(o_orderkey % 9 as string), '.example.com') else concat('H', cast(o_orderkey % 260 as string), '.Example.com.') end as host from orders
+
+-- view: fx_key_history
+select concat('h', cast(p_partkey % 200 as string), '.example.com') as zone, case when p_partkey % 400 < 200 then 'sg' else 'us' end as node, concat('k', cast(p_partkey as string)) as selector,
+ timestamp '2020-01-01 00:00:00' + interval '1' day * cast(floor(p_partkey / 200) as int) as valid_from,
+ case when p_partkey % 11 = 0 then cast(null as timestamp) else timestamp '2020-01-01 00:00:00' + interval '1' day * cast(floor(p_partkey / 200) + 2 + p_partkey % 14 as int) end as removed_at, cast(p_partkey % 3 * 604800 as bigint) as ttl from part
+
+-- view: fx_jail_present
+select event_id, node, jail, cast(floor(date_part('day', ts)) as bigint) as day from fx_auth where outcome = 'fail'
+
+-- view: fx_client
+select event_id, ts, ip, case when outcome = 'fail' then 'connection' when outcome = 'ok' then 'message' else 'submission' end as kind from fx_auth
+
+-- view: fx_login
+select event_id, ts, ip, case when event_id % 2 = 0 then 'webmail_login' else 'admin_login' end as zone from fx_auth

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailfleet.plans.session import shared_folder
 from mailfleet.sources.fixtures import TABLES, view_sql, with_views
@@ -33,7 +34,8 @@ class StreamViews:
         reader = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
         if self.files_per_batch:
             reader = reader.option("maxFilesPerTrigger", self.files_per_batch)
-        return reader.parquet(path)
+        # A pattern, because the source takes a plain path for a folder, and this may be a file.
+        return reader.parquet(f"{self.folder}/{name}.parque[t]")
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)
@@ -68,9 +70,8 @@ def run_available(
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add(BATCH, "int")).option("basePath", out).parquet(
-        f"{out}/{BATCH}=*"
-    )
+    fields = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.IntegerType())])
+    return spark.read.schema(fields).option("basePath", out).parquet(f"{out}/{BATCH}=*")
 
 
 def last_update(rows: DataFrame, key: Sequence[str]) -> DataFrame:
