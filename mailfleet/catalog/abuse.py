@@ -46,7 +46,7 @@ rw as (select ip, min(second) as second from rt where n >= 2 group by 1 union al
 select 'recidive' as jail, ip, second as start, second + 604800 as "end" from rw
 """
 BUCKET = """
-with recursive q as (select ip, zone, epoch_ms(ts) as ms, row_number() over (partition by ip, zone order by epoch_ms(ts), event_id) as i, case zone when 'webmail_login' then 3000 else 2000 end as cap from fx_login),
+with recursive q as (select ip, zone, epoch_us(ts) // 1000 as ms, row_number() over (partition by ip, zone order by epoch_us(ts) // 1000, event_id) as i, case zone when 'webmail_login' then 3000 else 2000 end as cap from fx_login),
 b as (
  select ip, zone, ms, i, 0 as excess, ms as last, 'accepted' as verdict from q where i = 1
  union all

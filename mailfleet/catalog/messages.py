@@ -164,9 +164,16 @@ def _labels(v: Views):
     return v("labels").select("doc_id", F.col("toxic").alias("is_spam"))
 
 
+def _model(v: Views):
+    """Trained on the labelled messages; only their text is cut into words."""
+    labels = _labels(v)
+    learned = v("documents").join(labels, "doc_id", "left_semi")
+    return M.bayes_train(M.message_tokens(learned), labels)
+
+
 @query("agg14_bayes_train", _TOKENS + "select token, spam, ham from model")
 def _(v):
-    return M.bayes_train(M.message_tokens(v("documents")), _labels(v))
+    return _model(v)
 
 
 @query("agg14_bayes_score", _TOKENS + """,
@@ -174,9 +181,9 @@ n as (select count(*) filter (is_spam = 1) as ns, count(*) filter (is_spam = 0)
 select doc_id, count(*) as tokens, case when max(ns) >= 5 and max(nh) >= 5 and count(*) >= 11 then round(sum(ln(((spam + 1) / (ns + 2)) / ((ham + 1) / (nh + 2)))), 6) end as log_odds
 from tok join model using (token), n where token <> '' group by doc_id""")
 def _(v):
-    tokens, labels = M.message_tokens(v("documents")), _labels(v)
+    tokens = M.message_tokens(v("documents"))
     # The labels here have few spam messages; the threshold is an argument.
-    scored = M.bayes_score(tokens, M.bayes_train(tokens, labels), labels, min_learns=5)
+    scored = M.bayes_score(tokens, _model(v), _labels(v), min_learns=5)
     return scored.withColumn("log_odds", F.round("log_odds", 6))
 
 

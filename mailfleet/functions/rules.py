@@ -42,6 +42,10 @@ def _regex(pattern: str) -> str:
     return pattern.replace(HOST, _HOST_GROUP)
 
 
+def _any_of(patterns: Sequence[str]) -> str:
+    return "|".join(f"(?:{_regex(p)})" for p in patterns)
+
+
 # The failure lines each service writes, after its clock text is cut out.
 FILTERS = (
     LogFilter(
@@ -100,14 +104,15 @@ def compile_filter(rule: LogFilter, line: ColumnOrName = "line") -> CompiledFilt
     hits = [text.rlike(p) for p in patterns]
     shape = F.coalesce(*[F.when(h, F.lit(i)) for i, h in enumerate(hits, 1)])
     ip = F.coalesce(*[F.when(h, F.regexp_extract(text, p, 1)) for h, p in zip(hits, patterns)])
-    ignored = F.lit(False)
-    for pattern in rule.ignore:
-        ignored = ignored | text.rlike(_regex(pattern))
+    # One alternation decides whether a line fails; shape and source matter for failures only.
+    failing = text.rlike(_any_of(rule.fail))
+    if rule.ignore:
+        failing = failing & ~text.rlike(_any_of(rule.ignore))
     return CompiledFilter(
         ts=F.try_to_timestamp(clock, F.lit(LOG_TIME_FORMATS[rule.kind])),
         shape=shape,
         ip=ip,
-        is_failure=shape.isNotNull() & ~ignored,
+        is_failure=failing,
     )
 
 

@@ -16,7 +16,7 @@ from mailfleet.functions.scalars import (
     NEVER_EXPIRES, addr_domain, addr_local, bare_addr, is_domain, is_login, norm_addr,
     storage_home, storage_path, to_list,
 )
-from mailfleet.plans.session import checkpointed
+from mailfleet.plans.session import shared_folder
 
 Tables = Mapping[str, DataFrame]
 
@@ -348,53 +348,55 @@ def alias_rows(alias: DataFrame) -> DataFrame:
     )
 
 
-def expand_aliases(
-    addresses: DataFrame, alias: DataFrame, max_depth: int = 10, cut_every: int = 4
-) -> DataFrame:
+def expand_aliases(addresses: DataFrame, alias: DataFrame, max_depth: int = 10) -> DataFrame:
     """Final targets of each address of ``addresses`` (column ``address``).
 
     Follows alias lists round by round. A branch ends at an address without an alias (``leaf``),
-    at one already on its path (``cycle``), or after ``max_depth`` rounds (``too_deep``). Each
-    round keeps distinct (origin, target) states; the rounds so far are written out every
-    ``cut_every`` rounds, which also tells whether a further round is needed.
+    at one already on its path (``cycle``), or after ``max_depth`` rounds (``too_deep``). A round
+    is written to the shared folder once and read back for its results and for the next round, so
+    lineage stays one round long; lists that converge go on as one state per (origin, target).
     """
-    edges = alias_rows(_active(alias)).withColumnRenamed("address", "__from")
-    heads = alias_rows(_active(alias)).select(F.col("address").alias("__head")).distinct()
-    frontier = addresses.select(
-        F.lower("address").alias("origin"), F.lower("address").alias("at"),
-        F.array(F.lower("address")).alias("path"), F.lit(0).alias("depth"),
-    ).distinct()
-    done: list[DataFrame] = []
+    spark = addresses.sparkSession
+    lists = _active(alias).select(
+        F.lower("address").alias("__from"), to_list(F.lower("goto")).alias("__to")
+    )
+    start = F.lower("address")
+    frontier = addresses.select(start.alias("origin"), start.alias("at")).distinct().select(
+        "origin", "at", F.array("at").alias("path")
+    )
+    fields = "origin string, at string, path array<string>, kind string"
+    root, paths = shared_folder(spark, "expand"), []
     for depth in range(max_depth + 1):
-        rows = frontier.join(heads, F.col("at") == F.col("__head"), "left")
-        done.append(rows.where("__head is null").select(
-            "origin", F.col("at").alias("target"), "depth", F.lit("leaf").alias("kind")
-        ))
-        onward = rows.where("__head is not null").drop("__head")
+        found = frontier.join(lists, F.col("at") == F.col("__from"), "left")
+        has_list = F.col("__from").isNotNull()
         if depth == max_depth:
-            done.append(onward.select(
-                "origin", F.col("at").alias("target"), "depth", F.lit("too_deep").alias("kind")
-            ))
+            states = found.select(
+                "origin", "at", "path", F.when(has_list, "too_deep").otherwise("leaf").alias("kind")
+            )
+        else:
+            # A leaf stays as it is; a list gives its members, each looping or open.
+            member = F.when(has_list, F.col("__to")).otherwise(F.array(F.lit(None).cast("string")))
+            rows = found.select("origin", "at", "path", F.explode(member).alias("__next"))
+            looped = F.array_contains("path", F.col("__next"))
+            kind = F.when(F.col("__next").isNull(), "leaf").when(looped, "cycle").otherwise("open")
+            states = rows.select(
+                "origin", F.coalesce("__next", "at").alias("at"),
+                F.when(kind == "open", F.array_append("path", F.col("__next")))
+                .otherwise(F.col("path")).alias("path"),
+                kind.alias("kind"),
+            )
+        paths.append(f"{root}/depth={depth}")
+        states.write.parquet(paths[-1])
+        still_open = spark.read.schema(fields).parquet(paths[-1]).where("kind = 'open'")
+        if still_open.isEmpty():
             break
-        step = onward.join(edges, F.col("at") == F.col("__from")).select(
-            "origin", F.col("target").alias("at"), "path", (F.col("depth") + 1).alias("depth")
-        )
-        looped = F.array_contains("path", F.col("at"))
-        done.append(step.where(looped).select(
-            "origin", F.col("at").alias("target"), "depth", F.lit("cycle").alias("kind")
-        ))
-        # One path per (origin, target) goes on, so converging lists do not multiply.
-        frontier = step.where(~looped).groupBy("origin", "at", "depth").agg(
-            F.min(F.array_append("path", F.col("at"))).alias("path")
-        )
-        if (depth + 1) % cut_every == 0 or depth == 1:
-            frontier = checkpointed(frontier, "expand")
-            if frontier.isEmpty():
-                break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("origin", "target", "kind").agg(F.min("depth").alias("depth"))
+        frontier = still_open.groupBy("origin", "at").agg(F.min("path").alias("path"))
+    ended = spark.read.schema(f"{fields}, depth int").option("basePath", root).parquet(*paths)
+    # A member is one level below its list; a leaf is found in the round after that.
+    level = F.when(F.col("kind") == "cycle", F.col("depth") + 1).otherwise(F.col("depth"))
+    return ended.where("kind <> 'open'").groupBy(
+        "origin", F.col("at").alias("target"), "kind"
+    ).agg(F.min(level).alias("depth"))
 
 
 # -- senders ---------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from mailfleet.functions.rules import first_match
 from mailfleet.functions.scalars import age_s, epoch_s, norm_addr, pct, rewrite
 from mailfleet.plans.fold import sequential
 from mailfleet.plans.scan import per_second, running, segments, time_chunk
-from mailfleet.sources.records import header_list, header_map, header_values
+from mailfleet.sources.records import header_block, header_contains, header_is, header_list
 
 # Days a folder keeps messages, folders outside the quota, special-use names.
 RETENTION_DAYS = {"Junk": 30, "Trash": 60}
@@ -170,23 +170,14 @@ def duplicate_folders(folders: DataFrame) -> DataFrame:
 # -- routing and headers -----------------------------------------------------------------------
 
 
-def routing_rules(headers: Column | str = "headers") -> list[tuple[Column, str]]:
-    """Ordered delivery rules over a header map; the first that holds files the message."""
-
-    def contains(name: str, needle: str) -> Column:
-        return F.exists(
-            header_values(headers, name), lambda v: F.contains(F.lower(v), F.lit(needle.lower()))
-        )
-
-    def equals(name: str, value: str) -> Column:
-        return F.exists(header_values(headers, name), lambda v: F.lower(v) == value.lower())
-
+def routing_rules(block: Column) -> list[tuple[Column, str]]:
+    """Ordered delivery rules over the header text; the first that holds files the message."""
     return [
-        (contains("X-Spam", "yes"), "Junk"),
-        (contains("X-Spam-Level", "*" * HIGH_SPAM_STARS), "Junk"),
+        (header_contains(block, "X-Spam", "Yes"), "Junk"),
+        (header_contains(block, "X-Spam-Level", "*" * HIGH_SPAM_STARS), "Junk"),
         (
-            contains("Auto-Submitted", "auto-generated")
-            | equals("X-Report-Type", "disposition-notification"),
+            header_contains(block, "Auto-Submitted", "auto-generated")
+            | header_is(block, "X-Report-Type", "disposition-notification"),
             "Reports",
         ),
     ]
@@ -195,9 +186,7 @@ def routing_rules(headers: Column | str = "headers") -> list[tuple[Column, str]]
 def route_messages(msgs: DataFrame, raw: str = "raw") -> DataFrame:
     """Folder and seen flag of each message. Depends on the message alone, so that every node
     decides alike."""
-    with_map = msgs.withColumn("__h", header_map(raw))
-    folder = first_match(routing_rules("__h"), "INBOX")
-    out = with_map.withColumn("folder", folder).drop("__h")
+    out = msgs.withColumn("folder", first_match(routing_rules(header_block(raw)), "INBOX"))
     return out.withColumn("seen", (F.col("folder") == "Junk").cast("int"))
 
 

@@ -147,8 +147,29 @@ def trailing_count(
 def segments(
     df: DataFrame, keys: Sequence[str], order: str, chunk: Column, gap: Column, out: str
 ) -> DataFrame:
-    """Numbers the stretches of a key that are separated by at least ``gap`` in ``order``."""
-    marked = previous(df, keys, [order], chunk, F.col(order), "__before")
-    starts = F.when(F.col("__before").isNull() | (F.col(order) - F.col("__before") >= gap), 1)
-    marked = marked.withColumn("__start", F.coalesce(starts, F.lit(0)))
-    return running(marked, keys, [order], chunk, F.col("__start"), out).drop("__before", "__start")
+    """Numbers the stretches of a key that are separated by at least ``gap`` in ``order``.
+
+    ``gap`` may differ by key. Starts are counted within each chunk; whether a chunk's first row
+    starts a stretch follows from the end of the chunk before it.
+    """
+    rows = df.withColumn(_CHUNK, chunk).withColumn("__gap", gap)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(order)
+    step = F.col(order) - F.lag(order).over(w)
+    rows = rows.withColumn("__start", F.coalesce((step >= F.col("__gap")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("__run", F.sum("__start").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ))
+    edges = rows.groupBy(*keys, _CHUNK).agg(
+        F.min(order).alias("__first"), F.max(order).alias("__last"),
+        F.sum("__start").alias("__inner"), F.max("__gap").alias("__gap"),
+    )
+    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    quiet = F.col("__first") - F.lag("__last").over(across) >= F.col("__gap")
+    edges = edges.withColumn("__opens", F.coalesce(quiet.cast("int"), F.lit(1)))
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.coalesce(F.sum(F.col("__inner") + F.col("__opens")).over(before), F.lit(0))
+    edges = edges.withColumn(_CARRY, carry + F.col("__opens"))
+    merged = _carry_back(rows, edges, keys)
+    return merged.withColumn(out, F.col(_CARRY) + F.col("__run")).drop(
+        _CHUNK, _CARRY, "__gap", "__start", "__run"
+    )

@@ -20,24 +20,27 @@ MAIL_FIELDS = ("uid", "box", "msgid", "size", "from", "subject", "flags")
 
 
 def parse_access_log(df: DataFrame, col: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
-    def part(i: int):
-        return F.nullif(F.regexp_extract(col, ACCESS_PATTERN, i), F.lit(""))
-
-    request = part(4)
+    """Fields of each access line. The layout is checked once; the fields are then cut at its
+    quotes and blanks instead of by one regular expression each."""
+    fits = F.col(col).rlike(ACCESS_PATTERN)
+    quoted = F.split(F.when(fits, F.col(col)), '"')
+    head, sizes, tail = quoted[0], F.trim(quoted[2]), quoted[6]
+    clock = F.substring_index(F.substring_index(head, "[", -1), "]", 1)
+    request = quoted[1]
     return df.select(
         *keep,
-        part(1).alias("ip"),
-        part(2).alias("remote_user"),
-        parse_log_ts(part(3), "access").alias("ts"),
+        F.substring_index(head, " ", 1).alias("ip"),
+        F.split_part(head, F.lit(" "), F.lit(3)).alias("remote_user"),
+        parse_log_ts(clock, "access").alias("ts"),
         request.alias("request"),
         F.substring_index(request, " ", 1).alias("method"),
         F.split_part(request, F.lit(" "), F.lit(2)).alias("path"),
-        part(5).cast("int").alias("status"),
-        part(6).try_cast("bigint").alias("bytes"),
-        part(7).alias("referer"),
-        part(8).alias("agent"),
-        part(9).try_cast("double").alias("rt"),
-        part(10).alias("node"),
+        F.substring_index(sizes, " ", 1).cast("int").alias("status"),
+        F.substring_index(sizes, " ", -1).try_cast("bigint").alias("bytes"),
+        quoted[3].alias("referer"),
+        quoted[5].alias("agent"),
+        F.substring_index(F.substring_index(tail, "rt=", -1), " ", 1).try_cast("double").alias("rt"),
+        F.split_part(F.substring_index(tail, "node=", -1), F.lit(" "), F.lit(1)).alias("node"),
     )
 
 

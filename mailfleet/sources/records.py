@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,16 @@ def cert_names(df: DataFrame, col: str = "sans", keep: Sequence[str] = ("lineage
     return df.select(*keep, F.explode(F.array_distinct(names)).alias("san"))
 
 
-def header_list(raw: Column | str) -> Column:
-    """Headers in order as structs (name, value); folded lines are joined to their header."""
+def header_block(raw: Column | str) -> Column:
+    """The header text before the first empty line, folded lines joined to their header."""
     text = F.col(raw) if isinstance(raw, str) else raw
     block = F.split_part(F.regexp_replace(text, "\r\n", "\n"), F.lit("\n\n"), F.lit(1))
-    lines = F.split(F.regexp_replace(block, r"\n[ \t]+", " "), "\n")
+    return F.regexp_replace(block, r"\n[ \t]+", " ")
+
+
+def header_list(raw: Column | str) -> Column:
+    """Headers in order as structs (name, value)."""
+    lines = F.split(header_block(raw), "\n")
     return F.transform(
         F.filter(lines, lambda x: x.rlike(r"^[!-9;-~]+:")),
         lambda x: F.struct(
@@ -44,25 +50,28 @@ def header_list(raw: Column | str) -> Column:
 
 def header_map(raw: Column | str) -> Column:
     """Header values by lower-case name; a header may repeat, so values are a list."""
-    headers = header_list(raw)
-    names = F.array_distinct(F.transform(headers, lambda h: F.lower(h["name"])))
-    entries = F.transform(
-        names,
-        lambda n: F.struct(
+
+    def grouped(headers: Column) -> Column:
+        names = F.array_distinct(F.transform(headers, lambda h: F.lower(h["name"])))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(
             n.alias("key"),
             F.transform(
                 F.filter(headers, lambda h: F.lower(h["name"]) == n), lambda h: h["value"]
             ).alias("value"),
-        ),
-    )
-    return F.map_from_entries(entries)
+        )))
+
+    # As the item of a one-item list the headers are parsed once, not once per name.
+    return F.transform(F.array(header_list(raw)), lambda headers: grouped(headers))[0]
 
 
 def parse_headers(df: DataFrame, col: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, header_map(col).alias("headers"))
 
 
-def header_values(headers: Column | str, name: str) -> Column:
-    """Values of one header, an empty list when it is absent."""
-    held = F.col(headers) if isinstance(headers, str) else headers
-    return F.coalesce(F.try_element_at(held, F.lit(name.lower())), F.array().cast("array<string>"))
+def header_contains(block: Column, name: str, needle: str) -> Column:
+    """Whether a header of that name contains the text, in a block of unfolded headers."""
+    return block.rlike(rf"(?im)^{re.escape(name)}:.*{re.escape(needle)}")
+
+
+def header_is(block: Column, name: str, value: str) -> Column:
+    return block.rlike(rf"(?im)^{re.escape(name)}:[ \t]*{re.escape(value)}[ \t]*$")

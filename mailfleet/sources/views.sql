@@ -279,4 +279,4 @@ select event_id, node, jail, cast(floor(date_part('day', ts)) as bigint) as day
 select event_id, ts, ip, case when outcome = 'fail' then 'connection' when outcome = 'ok' then 'message' else 'submission' end as kind from fx_auth
 
 -- view: fx_login
-select event_id, ts, ip, case when event_id % 2 = 0 then 'webmail_login' else 'admin_login' end as zone from fx_auth
+select event_id, timestamp '2024-01-01 00:00:00' + interval '1' millisecond * (event_id * 50 - event_id % 3) as ts, ip, case when event_id % 2 = 0 then 'webmail_login' else 'admin_login' end as zone from fx_auth
