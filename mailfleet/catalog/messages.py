@@ -8,6 +8,7 @@ from mailfleet.catalog.registry import AS_OF, as_of, directory, query
 from mailfleet.functions import scalars as S
 from mailfleet.operators import messages as M
 from mailfleet.operators import replicas as R
+from mailfleet.plans.session import checkpointed
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.logs import parse_mail_events
 from mailfleet.sources.records import header_list, parse_headers
@@ -183,7 +184,7 @@ from tok join model using (token), n where token <> '' group by doc_id""")
 def _(v):
     tokens = M.message_tokens(v("documents"))
     # The labels here have few spam messages; the threshold is an argument.
-    scored = M.bayes_score(tokens, _model(v), _labels(v), min_learns=5)
+    scored = M.bayes_score(tokens, checkpointed(_model(v), "model"), _labels(v), min_learns=5)
     return scored.withColumn("log_odds", F.round("log_odds", 6))
 
 

@@ -17,6 +17,7 @@ from mailfleet.functions.scalars import (
     storage_home, storage_path, to_list,
 )
 from mailfleet.plans.session import shared_folder
+from mailfleet.plans.sizes import broadcast_if_small
 
 Tables = Mapping[str, DataFrame]
 
@@ -158,11 +159,16 @@ def _catchalls(alias: DataFrame, name: str) -> DataFrame:
     return rows.select(F.expr("substring(address, 2)").alias("__d"), F.col("goto").alias(name))
 
 
+def _small_catchalls(alias: DataFrame, name: str) -> DataFrame:
+    """For joins with rows by domain, where a busy domain would be a hot key."""
+    return broadcast_if_small(_catchalls(alias, name))
+
+
 def alias_lookup(keys: DataFrame, alias: DataFrame, key: str = "rcpt") -> DataFrame:
     """Alias of the full address; only on a miss the one of ``@domain``."""
     exact = _alias_map(alias).select(F.col("address").alias("__a"), F.col("goto").alias("__exact"))
     rows = keys.join(exact, bare_addr(key) == F.col("__a"), "left")
-    rows = rows.join(_catchalls(alias, "__any"), addr_domain(key) == F.col("__d"), "left")
+    rows = rows.join(_small_catchalls(alias, "__any"), addr_domain(key) == F.col("__d"), "left")
     return rows.select(
         *[F.col(c) for c in keys.columns],
         F.coalesce("__exact", "__any").alias("goto"),
@@ -192,7 +198,8 @@ def alias_domain_catchall(
 ) -> DataFrame:
     """Catch-all of the target domain."""
     rows = _at_target(keys, alias_domain, key)
-    return rows.join(_catchalls(alias, "goto"), F.col("target_domain") == F.col("__d")).drop("__d")
+    own = _small_catchalls(alias, "goto")
+    return rows.join(own, F.col("target_domain") == F.col("__d")).drop("__d")
 
 
 def alias_domain_mailbox(
@@ -250,7 +257,8 @@ def resolve_addresses(keys: DataFrame, tables: Tables, mode: str = "strict") ->
     here = book.select(F.col("address").alias("__k1"), F.struct("goto", "maildir").alias("own"))
     there = book.select(F.col("address").alias("__k2"), F.struct("goto", "maildir").alias("ad"))
     rows = keys.withColumn("__dom", F.substring_index("key", "@", -1))
-    rows = rows.join(_domain_facts(tables), F.col("__dom") == F.col("domain"), "left").drop("domain")
+    facts = broadcast_if_small(_domain_facts(tables))
+    rows = rows.join(facts, F.col("__dom") == F.col("domain"), "left").drop("domain")
     rows = rows.join(here, F.col("key") == F.col("__k1"), "left").drop("__k1")
     # A row outside alias domains asks for its own key again: a null key would pile up in a task.
     at_target = F.concat(F.substring_index("key", "@", 1), F.lit("@"), "target")
@@ -322,7 +330,8 @@ def candidates(rcpts: DataFrame, tables: Tables, key: str = "rcpt") -> DataFrame
 
     book = _alias_map(alias)
     exact = keys.join(book, F.col("key") == F.col("address"))
-    own = keys.join(_catchalls(alias, "goto"), F.substring_index("key", "@", -1) == F.col("__d"))
+    here = F.substring_index("key", "@", -1) == F.col("__d")
+    own = keys.join(_small_catchalls(alias, "goto"), here)
     return (
         ranked(exact, 1, "alias")
         .unionByName(ranked(alias_domain_lookup(keys, alias, pairs, "key"), 2, "ad_alias"))

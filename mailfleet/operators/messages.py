@@ -233,7 +233,7 @@ def training_labels(moves: DataFrame) -> DataFrame:
 def message_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct lower-case words of each message, from the whole text."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"))
-    return docs.select(F.col(key), F.explode(F.filter(words, lambda w: w != "")).alias("token"))
+    return docs.select(F.col(key), F.explode(F.array_remove(words, "")).alias("token"))
 
 
 def bayes_train(tokens: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -253,26 +253,22 @@ def bayes_score(
     """Log-odds of spam per message, with add-one smoothing.
 
     Null until both classes have ``min_learns`` messages, and for a message with fewer than
-    ``min_tokens`` known tokens.
+    ``min_tokens`` known tokens. ``model`` should be a stored table: its true size then decides
+    between a broadcast, after which nothing but partial sums is shuffled, and a shuffled join,
+    whose frequent words the adaptive planner splits.
     """
     classes = labels.agg(
-        F.count_if(F.col("is_spam") == 1).alias("n_spam"),
-        F.count_if(F.col("is_spam") == 0).alias("n_ham"),
-    )
-    weighted = model.join(F.broadcast(classes)).select(
-        "token", "n_spam", "n_ham",
-        F.log(
-            ((F.col("spam") + 1) / (F.col("n_spam") + 2)) / ((F.col("ham") + 1) / (F.col("n_ham") + 2))
-        ).alias("weight"),
-    )
+        F.count_if(F.col("is_spam") == 1).alias("spam"),
+        F.count_if(F.col("is_spam") == 0).alias("ham"),
+    ).first()
+    in_spam = (F.col("spam") + 1) / (classes.spam + 2)
+    in_ham = (F.col("ham") + 1) / (classes.ham + 2)
+    weighted = model.select("token", F.log(in_spam / in_ham).alias("weight"))
     per_msg = tokens.join(weighted, "token").groupBy(key).agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum("weight").alias("log_odds"),
-        F.max("n_spam").alias("n_spam"), F.max("n_ham").alias("n_ham"),
-    )
-    ready = (
-        (F.col("n_spam") >= min_learns) & (F.col("n_ham") >= min_learns)
-        & (F.col("tokens") >= min_tokens)
+        F.count(F.lit(1)).alias("tokens"), F.sum("weight").alias("log_odds")
     )
+    learned = min(classes.spam, classes.ham) >= min_learns
+    ready = F.lit(learned) & (F.col("tokens") >= min_tokens)
     return per_msg.select(key, "tokens", F.when(ready, F.col("log_odds")).alias("log_odds"))
 
 

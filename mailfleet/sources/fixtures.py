@@ -12,11 +12,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailfleet.plans.sizes import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows are rendered to log lines or cut into words.
+TEXT_TABLES = ("events", "documents")
+
 _WORD = re.compile(r"[a-z_0-9]+")
 
 
@@ -65,7 +70,8 @@ class Views:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             if name not in self._tables:
-                self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._tables[name] = spread(table) if name in TEXT_TABLES else table
             return self._tables[name]
         return self.sql(view_sql()[name])
 

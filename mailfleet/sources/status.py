@@ -22,21 +22,24 @@ def parse_status_dump(
     cells = []
     for key in keys:
         line = rf"(?m)^[ \t]*{key}:[ \t]*(.*)$"
-        cells.append(F.when(F.col(col).rlike(line), F.regexp_extract(col, line, 1)).alias(key))
+        there = F.contains(F.col(col), F.lit(f"{key}:"))
+        cells.append(F.when(there, F.regexp_extract(col, line, 1)).alias(key))
     return df.select(*keep, *cells)
 
 
 def parse_queue_status(df: DataFrame, col: str = "dump", keep: Sequence[str] = ()) -> DataFrame:
     """One row per counter line: state (queued, waiting), class and count; no number means 0."""
-    line = r"^(Queued|Waiting) '([^']+)' requests\s+(\S+)\s*$"
+    line = r"^(Queued|Waiting) '[^']+' requests\s+\S+\s*$"
+    quoted = F.split("__line", "'")
     return (
         df.select(*keep, F.explode(F.split(col, "\n")).alias("__line"))
         .where(F.col("__line").rlike(line))
         .select(
             *keep,
-            F.lower(F.regexp_extract("__line", line, 1)).alias("state"),
-            F.regexp_extract("__line", line, 2).alias("class"),
-            F.coalesce(F.regexp_extract("__line", line, 3).try_cast("bigint"), F.lit(0))
-            .alias("requests"),
+            F.lower(F.trim(quoted[0])).alias("state"),
+            quoted[1].alias("class"),
+            F.coalesce(
+                F.substring_index(F.trim(quoted[2]), " ", -1).try_cast("bigint"), F.lit(0)
+            ).alias("requests"),
         )
     )
