@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from mailfleet.functions.scalars import LOG_TIME_FORMATS, ColumnOrName, col
 
 HOST = "<HOST>"
-_HOST_GROUP = r"([0-9A-Za-z_.:\-]*[0-9A-Za-z_])"
+# A whole address or name: it does not begin inside another word.
+_HOST_GROUP = r"(?<![0-9A-Za-z_.:\-])([0-9A-Za-z_.:\-]*[0-9A-Za-z_])"
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from mailfleet.functions.rules import first_match
 from mailfleet.functions.scalars import epoch_s, in_ranges, seconds_of
 from mailfleet.plans.fold import sequential
-from mailfleet.plans.scan import per_second, running, segments, time_chunk, trailing_count
+from mailfleet.plans.scan import (
+    balanced, per_second, running, segments, time_chunk, trailing_count,
+)
 
 
 @dataclass(frozen=True)
@@ -256,11 +258,9 @@ def error_limits(
     soft: int = SOFT_ERRORS, hard: int = HARD_ERRORS, chunk_s: int = 3600, ts: str = "ts",
 ) -> DataFrame:
     """The event at which a session passes its soft limit, and the one at which it reaches the
-    hard limit. The error count is carried over days, so a long session is not one task."""
-    errors = events.where(is_error)
-    counted = running(
-        errors, [session], list(order), time_chunk(ts, chunk_s), F.lit(1), "errors"
-    )
+    hard limit. The error count is carried over hours, so a long session is not one task."""
+    cut = balanced(events.where(is_error), [session], order, time_chunk(ts, chunk_s), "chunk")
+    counted = running(cut, [session], order, F.col("chunk"), F.lit(1), "errors").drop("chunk")
     crossed = F.when(F.col("errors") == soft + 1, "soft").when(F.col("errors") == hard, "hard")
     return counted.withColumn("limit", crossed).where("limit is not null")
 

@@ -457,7 +457,7 @@ def admin_scope(requests: DataFrame, domain_admins: DataFrame) -> DataFrame:
 def admin_domains(domain_admins: DataFrame, domain: DataFrame) -> DataFrame:
     """Number of domains each administrator may manage."""
     names = domain.where(F.col("domain") != ALL_DOMAINS).select(F.lower("domain").alias("domain"))
-    total = names.agg(F.count(F.lit(1)).alias("total"))
+    total = names.count()
     grants = _active(domain_admins).select(
         F.lower("username").alias("username"),
         F.when(F.col("domain") == ALL_DOMAINS, F.col("domain")).otherwise(F.lower("domain"))
@@ -469,8 +469,8 @@ def admin_domains(domain_admins: DataFrame, domain: DataFrame) -> DataFrame:
     supers = grants.groupBy("username").agg(
         F.max((F.col("domain") == ALL_DOMAINS).cast("int")).alias("superadmin")
     )
-    rows = supers.join(held, "username", "left").join(F.broadcast(total))
-    managed = F.when(F.col("superadmin") == 1, F.col("total")).otherwise(
+    rows = supers.join(held, "username", "left")
+    managed = F.when(F.col("superadmin") == 1, F.lit(total)).otherwise(
         F.coalesce("held", F.lit(0))
     )
     return rows.select("username", "superadmin", managed.cast("long").alias("domains"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailfleet.functions.rules import findings
 from mailfleet.functions.scalars import band, epoch_s
-from mailfleet.plans.scan import previous, running, time_chunk
+from mailfleet.plans.scan import balanced, previous, running, time_chunk
 
 # Thresholds of the checks and the ports that must be open or closed.
 MAX_LAG_S = 300
@@ -158,11 +158,10 @@ def transitions(
 ) -> DataFrame:
     """Samples at which the state of a node changes; the first is compared with ``ok``.
 
-    A fleet has few nodes and many samples, so the look back runs per day and is carried over.
+    A fleet has few nodes and many samples, so the look back runs per hour and is carried over.
     """
-    rows = previous(
-        samples, [key], list(order), time_chunk(ts, chunk_s), F.col("state"), "before"
-    )
+    cut = balanced(samples, [key], order, time_chunk(ts, chunk_s), "chunk")
+    rows = previous(cut, [key], order, F.col("chunk"), F.col("state"), "before").drop("chunk")
     rows = rows.withColumn("before", F.coalesce("before", F.lit("ok")))
     return rows.where(F.col("state") != F.col("before"))
 
@@ -183,22 +182,23 @@ def queue_trend(
     chunk_s: int = 3600, ts: str = "ts",
 ) -> DataFrame:
     """How many samples in a row the queue has grown, and whether that is at least ``k``."""
-    chunk = time_chunk(ts, chunk_s)
-    rows = previous(samples, [key], list(order), chunk, F.col("queued"), "__before")
+    rows = balanced(samples, [key], order, time_chunk(ts, chunk_s), "__part")
+    chunk = F.col("__part")
+    rows = previous(rows, [key], order, chunk, F.col("queued"), "__before")
     rows = rows.withColumn(
         "__up", F.coalesce((F.col("queued") > F.col("__before")).cast("int"), F.lit(0))
     )
-    rows = running(rows, [key], list(order), chunk, F.col("__up"), "__ups")
+    rows = running(rows, [key], order, chunk, F.col("__up"), "__ups")
     # The running count at the last sample that did not grow: counts never fall, so a maximum.
     at_reset = F.when(F.col("__up") == 0, F.col("__ups"))
-    rows = running(rows, [key], list(order), chunk, at_reset, "__reset", how="max")
+    rows = running(rows, [key], order, chunk, at_reset, "__reset", how="max")
     streak = F.col("__ups") - F.coalesce("__reset", F.lit(0))
     trend = (
         F.when(streak >= k, "growing")
         .when(F.col("queued") < F.col("__before"), "draining").otherwise("steady")
     )
     return rows.withColumn("streak", streak).withColumn("trend", trend).drop(
-        "__before", "__up", "__ups", "__reset"
+        "__before", "__up", "__ups", "__reset", "__part"
     )
 
 

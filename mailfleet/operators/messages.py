@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailfleet.functions.rules import first_match
 from mailfleet.functions.scalars import age_s, epoch_s, norm_addr, pct, rewrite
 from mailfleet.plans.fold import sequential
-from mailfleet.plans.scan import per_second, running, segments, time_chunk
+from mailfleet.plans.scan import balanced, per_second, running, segments, time_chunk
 from mailfleet.sources.records import header_block, header_contains, header_is, header_list
 
 # Days a folder keeps messages, folders outside the quota, special-use names.
@@ -121,16 +121,15 @@ def quota_usage(msgs: DataFrame, mailbox: DataFrame) -> DataFrame:
 def quota_crossings(msgs: DataFrame, mailbox: DataFrame, chunk_s: int = 3600) -> DataFrame:
     """Warnings in arrival order: a message that takes a user past 80, 95 or 100 percent.
 
-    Each user's running total is taken per day and carried over, so a busy mailbox is not one
+    Each user's running total is taken per hour and carried over, so a busy mailbox is not one
     task. A message that passes several steps names the highest.
     """
     counted = msgs.where(~F.col("folder").isin(*UNCOUNTED)).withColumn(
         "username", norm_addr("username")
     )
-    chunk = time_chunk("saved_at", chunk_s)
-    totals = running(
-        counted, ["username"], ["saved_at", "doc_id"], chunk, F.col("vsize"), "total"
-    )
+    order = ["saved_at", "doc_id"]
+    cut = balanced(counted, ["username"], order, time_chunk("saved_at", chunk_s), "chunk")
+    totals = running(cut, ["username"], order, F.col("chunk"), F.col("vsize"), "total")
     limits = mailbox.where(F.col("quota") > 0).select(F.lower("username").alias("__u"), "quota")
     rows = totals.join(limits, F.col("username") == F.col("__u"))
 

@@ -25,12 +25,14 @@ def replica_diff(
 ) -> DataFrame:
     """State of every key: ``equal``, ``changed``, ``only_a`` or ``only_b``.
 
-    Both sides shrink to key and content hash before the one shuffle, and are combined by an
-    aggregate: keys are spread evenly and no row width travels.
+    Both sides shrink to key and a 64-bit content hash before the one shuffle, and are combined
+    by a hash aggregate: keys are spread evenly and no row width travels. The hash passes over
+    nulls, so it also covers which columns are null.
     """
     cols = _payload(a, key, ignore)
+    content = F.xxhash64(*cols, *[F.col(c).isNull() for c in cols])
     sides = [
-        df.select(*key, F.lit(side).alias("__s"), row_hash(*cols).alias("__h"))
+        df.select(*key, F.lit(side).alias("__s"), content.alias("__h"))
         for side, df in (("a", a), ("b", b))
     ]
     both = sides[0].unionByName(sides[1])

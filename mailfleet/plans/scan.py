@@ -19,6 +19,9 @@ from mailfleet.plans.session import checkpointed
 
 _CHUNK, _CARRY = "__chunk", "__carry"
 
+# Rows of one (key, chunk) that a single task may scan.
+MOST_ROWS = 5_000_000
+
 
 def time_chunk(ts: ColumnOrName, seconds: int) -> Column:
     return F.floor(epoch_s(ts) / seconds)
@@ -43,6 +46,24 @@ def range_chunks(
     return checkpointed(ranged.withColumn(out, F.spark_partition_id()), "chunks")
 
 
+def balanced(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str,
+    most: int = MOST_ROWS,
+) -> DataFrame:
+    """Adds a chunk column with which no (key, chunk) holds more than about ``most`` rows.
+
+    That is ``chunk`` while it is fine enough, which one count per (key, chunk) tells; if a
+    single hour of a single key is crowded beyond that, chunks of equal row count replace it.
+    """
+    cut = df.withColumn(out, chunk)
+    sizes = cut.groupBy(*keys, out).count().agg(
+        F.coalesce(F.max("count"), F.lit(0)).alias("top"), F.sum("count").alias("rows")
+    ).first()
+    if sizes.top <= most:
+        return cut
+    return range_chunks(df, keys, order, out, parts=2 * sizes.rows // most + 1)
+
+
 def _carry_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     on = [*keys, _CHUNK]
     cond = None
