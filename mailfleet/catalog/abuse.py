@@ -76,7 +76,7 @@ def _(v):
 
 
 @query("src03_parse_webmail_auth", f"""
-select event_id, 'webmail' as jail, {_TS} as second, '203.0.113.' || cast(user_id % 40 as varchar) as ip, 1 + event_id % 3 as shape, 'u' || cast(user_id as varchar) || '@d1.example.com' as user from events e where event_type = 'error'""")
+select event_id, 'webmail' as jail, {_TS} as second, '203.0.113.' || cast(user_id % 40 as varchar) as ip, cast(1 + event_id % 3 as int) as shape, 'u' || cast(user_id as varchar) || '@d1.example.com' as user from events e where event_type = 'error'""")
 def _(v):
     rows = parse_webmail_auth(v("fx_webmail_line"), keep=("event_id",))
     return rows.withColumn("second", S.epoch_s("ts")).drop("ts")
@@ -112,7 +112,7 @@ def _(v):
 
 
 @query("udf01_compiled_filters", """
-select jail, sum(hit) as failures, count(*) as lines from (
+select jail, cast(sum(hit) as bigint) as failures, count(*) as lines from (
  select 'admin' as jail, case when event_type = 'error' then 1 else 0 end as hit from events union all
  select 'webmail', case when event_type = 'error' then 1 else 0 end from events union all
  select 'imap-ext', case when event_type = 'error' then 1 else 0 end from events) group by jail""")
@@ -185,14 +185,14 @@ def _(v):
 
 
 @query("sort03_top_sources", """
-select jail, ip, failures, rank from (select jail, ip, count(*) as failures, row_number() over (partition by jail order by count(*) desc, ip) as rank from fx_auth where outcome = 'fail' group by 1, 2) where rank <= 5""")
+select jail, ip, failures, cast(rank as int) as rank from (select jail, ip, count(*) as failures, row_number() over (partition by jail order by count(*) desc, ip) as rank from fx_auth where outcome = 'fail' group by 1, 2) where rank <= 5""")
 def _(v):
     return A.top_sources(fails(v), 5)
 
 
 @query("agg08_reputation_score", """
 with h as (select distinct ip, list_name from fx_dnsbl)
-select ip, sum(w) as score, case when sum(w) >= 3 then 'block' when sum(w) <= -2 then 'allow' else 'neutral' end as verdict
+select ip, cast(sum(w) as bigint) as score, case when sum(w) >= 3 then 'block' when sum(w) <= -2 then 'allow' else 'neutral' end as verdict
 from h join (values ('zen', 3), ('spamcop', 2), ('barracuda', 2), ('dnswl2', -6)) t(l, w) on l = list_name group by ip""")
 def _(v):
     return A.reputation_score(v("fx_dnsbl"))
@@ -207,7 +207,7 @@ def _(v):
 
 
 @query("win09_error_limits", """
-with e as (select event_id, user_id, sum(1) over (partition by user_id order by ts, event_id rows unbounded preceding) as errors from fx_auth where outcome = 'fail')
+with e as (select event_id, user_id, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) as errors from fx_auth where outcome = 'fail')
 select event_id, user_id, errors, case when errors = 11 then 'soft' else 'hard' end as "limit" from e where errors in (11, 20)""")
 def _(v):
     rows = A.error_limits(
@@ -230,7 +230,7 @@ def _(v):
 
 
 @query("udf05_sequential", """
-select ip, count(*) as rows, sum(case when before is null or second - before > 3600 then 1 else 0 end) as runs from (
+select ip, count(*) as rows, count(*) filter (before is null or second - before > 3600) as runs from (
  select ip, second, lag(second) over (partition by ip order by second) as before from (select distinct ip, cast(floor(epoch(ts)) as bigint) as second from fx_auth)) group by ip""")
 def _(v):
     from mailfleet.plans.fold import sequential

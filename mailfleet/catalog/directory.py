@@ -269,7 +269,7 @@ def _(v):
 
 
 @query("agg15_audit_summary", """
-select domain, action, username, count(*) as entries, grouping(domain, action, username) as level from fx_audit group by rollup(domain, action, username)""")
+select domain, action, username, count(*) as entries, cast(grouping(domain, action, username) as int) as level from fx_audit group by rollup(domain, action, username)""")
 def _(v):
     return D.audit_summary(v("fx_audit"))
 

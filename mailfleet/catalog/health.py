@@ -31,7 +31,7 @@ def _(v):
     return parse_queue_status(v("fx_queue_text"), keep=("sample_id",))
 
 
-@query("agg10_queue_totals", _DUMP + "select sample_id, node, sync + high + low + failed_q + full_q as queued, sync, waiting as failed from st")
+@query("agg10_queue_totals", _DUMP + "select sample_id, node, sync + high + low + failed_q + full_q as queued, sync, cast(waiting as bigint) as failed from st")
 def _(v):
     return H.queue_totals(parse_queue_status(v("fx_queue_text"), keep=("sample_id", "node")))
 
@@ -132,7 +132,7 @@ with p as (select node, sample_id, ts, queued, lag(queued) over (partition by no
 u as (select *, case when queued > before then 1 else 0 end as up from p),
 c as (select *, sum(up) over (partition by node order by ts, sample_id rows unbounded preceding) as ups from u),
 r as (select *, ups - coalesce(max(case when up = 0 then ups end) over (partition by node order by ts, sample_id rows unbounded preceding), 0) as streak from c)
-select node, sample_id, streak, case when streak >= 3 then 'growing' when queued < before then 'draining' else 'steady' end as trend from r""")
+select node, sample_id, cast(streak as bigint) as streak, case when streak >= 3 then 'growing' when queued < before then 'draining' else 'steady' end as trend from r""")
 def _(v):
     return H.queue_trend(v("fx_sample"), 3).select("node", "sample_id", "streak", "trend")
 

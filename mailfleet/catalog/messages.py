@@ -79,13 +79,13 @@ def _(v):
 
 
 @query("agg04_mailbox_status", """
-select username, folder, count(*) as messages, sum(vsize) as vsize from fx_msg where node = 'A' group by 1, 2""")
+select username, folder, count(*) as messages, cast(sum(vsize) as bigint) as vsize from fx_msg where node = 'A' group by 1, 2""")
 def _(v):
     return M.mailbox_status(stores(v)[0])
 
 
 @query("agg06_quota_usage", """
-select m.username, m.quota, coalesce(u.bytes, 0) as bytes, coalesce(u.n, 0) as messages, case when m.quota > 0 then floor(coalesce(u.bytes, 0) * 100.0 / m.quota) end as percent,
+select m.username, m.quota, cast(coalesce(u.bytes, 0) as bigint) as bytes, coalesce(u.n, 0) as messages, case when m.quota > 0 then floor(coalesce(u.bytes, 0) * 100.0 / m.quota) end as percent,
  case when m.quota > 0 and coalesce(u.bytes, 0) > m.quota then 1 else 0 end as over
 from fx_mailbox m left join (select username, sum(vsize) as bytes, count(*) as n from fx_msg where node = 'A' and folder not in ('Trash', 'Junk') group by 1) u on u.username = m.username""")
 def _(v):
@@ -98,7 +98,7 @@ with t as (select f.username, f.doc_id, f.vsize, m.quota, sum(f.vsize) over (par
  from fx_usage f join fx_mailbox m on m.username = f.username where f.folder not in ('Trash', 'Junk') and m.quota > 0),
 s as (select *, case when total * 100 > quota * 100 then 100 when total * 100 > quota * 95 then 95 when total * 100 > quota * 80 then 80 else 0 end as step,
  case when (total - vsize) * 100 > quota * 100 then 100 when (total - vsize) * 100 > quota * 95 then 95 when (total - vsize) * 100 > quota * 80 then 80 else 0 end as was from t)
-select username, doc_id, total, quota, step from s where step > was""")
+select username, doc_id, cast(total as bigint) as total, quota, step from s where step > was""")
 def _(v):
     return M.quota_crossings(v("fx_usage"), directory(v)["mailbox"])
 
@@ -140,7 +140,7 @@ def _(v):
 
 
 @query("udf04_compiled_rules", """
-select folder, sum(seen) as seen, count(*) as messages from (select case when guid % 9 = 0 or guid % 13 >= 10 then 'Junk' when guid % 11 = 0 then 'Reports' else 'INBOX' end as folder,
+select folder, cast(sum(seen) as bigint) as seen, count(*) as messages from (select case when guid % 9 = 0 or guid % 13 >= 10 then 'Junk' when guid % 11 = 0 then 'Reports' else 'INBOX' end as folder,
  case when guid % 9 = 0 or guid % 13 >= 10 then 1 else 0 end as seen from fx_header) group by folder""")
 def _(v):
     return M.route_messages(v("fx_header")).groupBy("folder").agg(
