@@ -10,7 +10,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailfleet.functions.rules import first_match
@@ -111,8 +111,6 @@ def top_sources(fails: DataFrame, k: int, jail: str = "jail", ip: str = "ip") ->
 
     Spark keeps at most ``k`` rows per jail in every task before the shuffle.
     """
-    from pyspark.sql import Window
-
     counted = fails.groupBy(F.col(jail).alias("jail"), F.col(ip).alias("ip")).agg(
         F.count(F.lit(1)).alias("failures")
     )
@@ -201,6 +199,13 @@ def ban_ledger(fails: DataFrame, jails: Mapping[str, Jail] = JAILS) -> DataFrame
         seconds, ["jail", "ip"], "second", F.floor(F.col("second") / 86400), quiet, "stretch"
     )
 
+    # Most sources never fail often enough; they do not leave Spark.
+    whole = Window.partitionBy("jail", "ip", "stretch").orderBy("second").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    enough = F.sum("n").over(whole) >= _param(live, "jail", lambda j: j.maxretry)
+    cut = cut.withColumn("enough", enough).where("enough")
+
     def fold(key, group):
         maxretry, find_s, ban_s = params[key[0]]
         step, state = hold_off(maxretry, find_s, ban_s), new_state()
@@ -210,7 +215,7 @@ def ban_ledger(fails: DataFrame, jails: Mapping[str, Jail] = JAILS) -> DataFrame
 
     return sequential(
         cut.select("jail", "ip", "stretch", "second", "n"), ["jail", "ip"], ["second"], fold,
-        "jail string, ip string, start bigint, end bigint", spread=["stretch"],
+        "jail string, ip string, start bigint, end bigint", spread=["stretch"], placed=True,
     )
 
 

@@ -22,6 +22,9 @@ _CHUNK, _CARRY = "__chunk", "__carry"
 # Rows of one (key, chunk) that a single task may scan.
 MOST_ROWS = 5_000_000
 
+# Length of a slice of a trailing count, in spans; one span of every slice is repeated.
+SPANS_PER_SLICE = 6
+
 
 def time_chunk(ts: ColumnOrName, seconds: int) -> Column:
     return F.floor(epoch_s(ts) / seconds)
@@ -150,19 +153,21 @@ def trailing_count(
     """Adds to per-second counts the rows of the key in ``[second - span_s, second]``.
 
     ``unit`` is a common multiple of all spans, so that one frame fits keys with different spans.
-    Each second takes part in its own slice of length ``span_s`` and, as context, in the next
-    one: a task never holds more than two spans of seconds of a key.
+    A key is cut into slices of a few spans, and the last span of each slice is repeated in the
+    next one as context: a task holds a bounded number of seconds of a key.
     """
-    slot = F.floor(F.col("second") / span_s)
+    length = span_s * SPANS_PER_SLICE
+    own = F.floor(F.col("second") / length)
+    near_end = F.col("second") >= (own + 1) * length - span_s
     sliced = seconds.select(
         "*",
         (F.col("second") * (F.lit(unit) / span_s).cast("long")).alias("__pos"),
-        slot.alias("__own"),
-        F.explode(F.array(slot, slot + 1)).alias("__slot"),
+        own.alias("__own"),
+        F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))).alias("__slice"),
     )
-    w = Window.partitionBy(*keys, "__slot").orderBy("__pos").rangeBetween(-unit, 0)
+    w = Window.partitionBy(*keys, "__slice").orderBy("__pos").rangeBetween(-unit, 0)
     counted = sliced.withColumn(out, F.sum("n").over(w))
-    return counted.where(F.col("__slot") == F.col("__own")).drop("__pos", "__own", "__slot")
+    return counted.where(F.col("__slice") == F.col("__own")).drop("__pos", "__own", "__slice")
 
 
 def segments(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from mailfleet.sources.fixtures import TABLES, view_sql, with_views
 
 BATCH = "batch_id"
 
+# Files of one trigger: a backlog is worked off in pieces, which bounds what a key can hold.
+FILES_PER_BATCH = 1000
+
 
 class StreamViews:
     """The views of ``fixtures.Views`` over streams: listed tables are read as streams, the
@@ -20,7 +24,7 @@ class StreamViews:
 
     def __init__(
         self, spark: SparkSession, folder: str, streams: Sequence[str],
-        files_per_batch: int | None = None,
+        files_per_batch: int = FILES_PER_BATCH,
     ) -> None:
         self.spark, self.folder, self.streams = spark, folder, tuple(streams)
         self.files_per_batch = files_per_batch
@@ -32,15 +36,14 @@ class StreamViews:
         if name not in self.streams:
             return self.spark.read.parquet(path)
         reader = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
-        if self.files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", self.files_per_batch)
+        reader = reader.option("maxFilesPerTrigger", self.files_per_batch)
         # A pattern, because the source takes a plain path for a folder, and this may be a file.
         return reader.parquet(f"{self.folder}/{name}.parque[t]")
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)
         for table in TABLES:
-            if table in full:
+            if re.search(rf"\b{table}\b", full):
                 self(table).createOrReplaceTempView(table)
         return self.spark.sql(full)
 
