@@ -115,12 +115,12 @@ select queue_id, 'warned' as outcome, q + 14400 as second from a where s is null
 union all select queue_id, 'bounced', q + 259200 from a where s is null or s >= 259200""")
 def _(v):
     s = live(v, "orders")
-    queued = s.sql("select queue_id, queued_at as ts, 'queued' as kind from fx_delivery")
+    queued = s.sql("select queue_id, queued_at as ts from fx_delivery")
     done = s.sql(
-        "select queue_id, queued_at + interval '1' hour * delivered_after_h as ts, 'delivered' as "
-        "kind from fx_delivery where delivered_after_h is not null"
+        "select queue_id, queued_at + interval '1' hour * delivered_after_h as ts "
+        "from fx_delivery where delivered_after_h is not null"
     )
-    rows = run_available(jobs.delivery_stream(queued.unionByName(done)), "delivery")
+    rows = run_available(jobs.delivery_stream(queued, done), "delivery")
     early = v("fx_delivery").where("queued_at < timestamp '2001-07-01 00:00:00'")
     return rows.drop("batch_id").join(early.select("queue_id"), "queue_id", "left_semi")
 

@@ -247,60 +247,39 @@ def sessions_stream(events: DataFrame, gap_s: int = 1800, watermark: str = "1 ho
     ).select("username", "session_id", "start", "end", "events")
 
 
-def delivery_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Warnings, deliveries and bounces of queued messages from their events.
+def delivery_stream(
+    queued: DataFrame, delivered: DataFrame, watermark: str = "1 hour"
+) -> DataFrame:
+    """Warnings, deliveries and bounces (queue_id, outcome, second) of queued messages.
 
-    ``events`` are (queue_id, ts, kind) with kind queued or delivered. A message's state waits
-    for its next deadline and goes when it is delivered or bounced.
+    Both inputs are (queue_id, ts). A deadline is the time bound of an outer join: no delivery
+    within the warning time gives a warning, none within the lifetime a bounce. State and timers
+    are Spark's own; a message leaves the state when event time passes its deadline.
     """
-    rows = events.select(
-        "queue_id", F.col("ts").cast("timestamp").alias("ts"), "kind", epoch_s("ts").alias("second")
-    ).withWatermark("ts", watermark)
+    start = queued.select("queue_id", F.col("ts").cast("timestamp").alias("queued_at"))
+    end = delivered.select(
+        F.col("queue_id").alias("__id"), F.col("ts").cast("timestamp").alias("done_at")
+    )
 
-    def fold(key, batches, state: GroupState):
-        queue_id = int(key[0])
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            queued, warned = state.get
-            now = state.getCurrentWatermarkMs() // 1000
-            if not warned:
-                out.append((queue_id, "warned", queued + WARN_AFTER_S))
-            if now >= queued + EXPIRE_AFTER_S:
-                out.append((queue_id, "bounced", queued + EXPIRE_AFTER_S))
-                state.remove()
-            else:
-                state.update((queued, True))
-                _keep_until(state, queued + EXPIRE_AFTER_S)
-        else:
-            rows = pd.concat(list(batches), ignore_index=True)
-            queued, warned = state.get if state.exists else (None, False)
-            starts = rows.loc[rows["kind"] == "queued", "second"]
-            if len(starts):
-                queued = int(starts.min())
-            ends = rows.loc[rows["kind"] == "delivered", "second"]
-            if queued is None:
-                return
-            end = int(ends.min()) if len(ends) else None
-            if end is not None:
-                if not warned and end - queued >= WARN_AFTER_S:
-                    out.append((queue_id, "warned", queued + WARN_AFTER_S))
-                if end - queued < EXPIRE_AFTER_S:
-                    out.append((queue_id, "delivered", end))
-                else:
-                    out.append((queue_id, "bounced", queued + EXPIRE_AFTER_S))
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((queued, warned))
-                deadline = EXPIRE_AFTER_S if warned else WARN_AFTER_S
-                _keep_until(state, queued + deadline)
-        if out:
-            yield pd.DataFrame(out, columns=["queue_id", "outcome", "second"])
+    def within(seconds: int) -> DataFrame:
+        on = (
+            (F.col("queue_id") == F.col("__id")) & (F.col("done_at") >= F.col("queued_at"))
+            & (F.col("done_at") < F.col("queued_at") + F.expr(f"interval {seconds} seconds"))
+        )
+        return start.withWatermark("queued_at", watermark).join(
+            end.withWatermark("done_at", watermark), on, "left_outer"
+        )
 
-    return rows.groupBy("queue_id").applyInPandasWithState(
-        fold, "queue_id bigint, outcome string, second bigint", "queued bigint, warned boolean",
-        "append", TIMEOUT,
+    began = epoch_s("queued_at")
+    warned = within(WARN_AFTER_S).where("done_at is null").select(
+        "queue_id", F.lit("warned").alias("outcome"), (began + WARN_AFTER_S).alias("second")
+    )
+    in_time = F.col("done_at").isNotNull()
+    ended = within(EXPIRE_AFTER_S).select(
+        "queue_id", F.when(in_time, "delivered").otherwise("bounced").alias("outcome"),
+        F.when(in_time, epoch_s("done_at")).otherwise(began + EXPIRE_AFTER_S).alias("second"),
     )
+    return warned.unionByName(ended)
 
 
 def vacation_stream(

@@ -118,11 +118,11 @@ def test_sessions(spark, folder, live):
 def test_delivery(spark, folder, live):
     views = Views(spark, folder)
     streams = live("orders")
-    queued = streams.sql("select queue_id, queued_at as ts, 'queued' as kind from fx_delivery")
+    queued = streams.sql("select queue_id, queued_at as ts from fx_delivery")
     done = streams.sql(
-        "select queue_id, queued_at + interval '1' hour * delivered_after_h as ts, 'delivered' as kind "
+        "select queue_id, queued_at + interval '1' hour * delivered_after_h as ts "
         "from fx_delivery where delivered_after_h is not null")
-    got = run_available(jobs.delivery_stream(queued.unionByName(done)), "delivery").drop("batch_id")
+    got = run_available(jobs.delivery_stream(queued, done), "delivery").drop("batch_id")
     early = views("fx_delivery").where("queued_at < timestamp '2001-01-01'").select("queue_id")
     outcomes = M.delivery_outcomes(
         views("fx_delivery").select("queue_id", (F.col("delivered_after_h") * 3600).alias("delivered_after_s")))
