@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mailfleet.llm import bpe
 from mailfleet.llm.exact import exact_groups
 from mailfleet.llm.pieces import token_counts
 
@@ -46,3 +48,20 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Ids of every text, and of what they decode to, as digests."""
+    import public_tokenizers
+
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    ids = F.col("ids")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN).select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(ids, path), 256).alias("decoded_sha256"))
+
+
+@query()
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"))
