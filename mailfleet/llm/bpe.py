@@ -121,8 +121,12 @@ def merged(byte_ids: Column, vocab: Vocabulary) -> Column:
     piece, above its own id.
     """
     p, q, shift, table = vocab.table
-    shifts, slots = _literal(shift, "int"), _literal(table, "bigint")
+    # Both tables come once in the expression; every look-up refers to them.
+    tables = F.struct(_literal(shift, "int").alias("shifts"), _literal(table, "bigint").alias("slots"))
+    return _bound(tables, lambda t: _folded(byte_ids, p, q, t["shifts"], t["slots"]))
 
+
+def _folded(byte_ids: Column, p: int, q: int, shifts: Column, slots: Column) -> Column:
     def piece(left: Column, right: Column) -> Column:
         def found(key: Column) -> Column:
             slot = F.get(slots, ((key % q + F.get(shifts, (key % p).cast("int"))) % q).cast("int"))
@@ -170,6 +174,16 @@ class _Codes(dict):
         return code
 
 
+def _byte_ids(words: list[str], vocab: Vocabulary) -> pa.ListArray:
+    """Of each word the ids of its bytes, or the one id of a word that is a piece."""
+    raw = [word.encode() for word in words]
+    parts = [vocab.byte_ids[np.frombuffer(b, np.uint8)] if (whole := vocab.ranks.get(b)) is None
+             else np.array([whole], np.int32) for b in raw]
+    bounds = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
+
+
 _CUT = "_ids array<{id}>, _pieces binary, _codes binary, _words array<array<int>>, _fresh boolean"
 #: Words of a partition that are remembered at a time.
 REMEMBERED = 1 << 19
@@ -191,18 +205,14 @@ def _cut(path: str, pattern: str, known: list[str], size: int):
                     words = find(text) if text else []
                     counts.append(len(words))
                     out.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
-                new = []
-                for word in codes.new:
-                    raw = word.encode()
-                    whole = vocab.ranks.get(raw)
-                    new.append(vocab.byte_ids[np.frombuffer(raw, np.uint8)] if whole is None else [whole])
+                new = _byte_ids(codes.new, vocab)
                 codes.new = []
                 ids = part.column("doc_id")
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     pa.array([np.array(counts, np.int32).tobytes()], pa.binary()),
                     pa.array([np.concatenate(out).tobytes() if out else b""], pa.binary()),
-                    pa.array([new], pa.list_(pa.list_(pa.int32()))),
+                    pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new),
                     pa.array([fresh]),
                 ], names=["_ids", "_pieces", "_codes", "_words", "_fresh"])
                 fresh = False
@@ -210,10 +220,8 @@ def _cut(path: str, pattern: str, known: list[str], size: int):
     return run
 
 
-def _put_together(known_ids: list[np.ndarray]):
+def _put_together(first: np.ndarray, first_sizes: np.ndarray):
     """The rows of ``_cut`` with encoded words to ``doc_id, ids``."""
-    first = np.concatenate([np.zeros(0, np.int32), *known_ids]).astype(np.int32)
-    first_sizes = np.array([len(x) for x in known_ids], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, sizes, starts = first, first_sizes, np.cumsum(first_sizes) - first_sizes
@@ -264,26 +272,21 @@ def frequent_words(docs: DataFrame, pattern: str, sample_docs: int, words: int)
     return [r.word for r in found.where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
-def encode_words(spark: SparkSession, words: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each of a bounded number of words, by the same fold."""
-    vocab = vocabulary(path)
+def encode_words(spark: SparkSession, words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a bounded number of words, one after the other, and how many each has; by the same fold."""
     if not words:
-        return []
-    rows = [(i, [int(x) for x in vocab.byte_ids[np.frombuffer(w.encode(), np.uint8)]]
-             if (whole := vocab.ranks.get(w.encode())) is None else [whole]) for i, w in enumerate(words)]
-    cores = spark.sparkContext.defaultParallelism
-    table = spark.createDataFrame(
-        pa.table({"i": [r[0] for r in rows], "bytes": pa.array([r[1] for r in rows], pa.list_(pa.int32()))}))
-    encoded = table.repartition(cores, "i").select("i", merged(F.col("bytes"), vocab).alias("ids")).toArrow()
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-    for i, ids in zip(encoded["i"].to_pylist(), encoded["ids"].to_pylist(), strict=True):
-        out[i] = np.array(ids, np.int32)
-    return out
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    table = spark.createDataFrame(pa.table({
+        "i": pa.array(range(len(words)), pa.int32()), "bytes": _byte_ids(words, vocabulary(path))}))
+    encoded = table.select("i", merged(F.col("bytes"), vocabulary(path)).alias("ids")).toArrow()
+    encoded = encoded.sort_by("i")["ids"].combine_chunks()
+    sizes = np.diff(encoded.offsets.to_numpy()).astype(np.int64)
+    return encoded.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes
 
 
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *,
-    sample_docs: int = 30_000, known_words: int = 1 << 18, batch_bytes: int = 4 << 20,
+    sample_docs: int = 30_000, known_words: int = 1 << 17, batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``doc_id, ids`` for each row of ``docs``; ``ids`` as the tokenizer's own library gives them.
 
@@ -302,7 +305,7 @@ def encode(
         yield from _cut(path, pattern, sent.value[0], batch_bytes)(batches)
 
     def put_together(batches):
-        yield from _put_together(sent.value[1])(batches)
+        yield from _put_together(*sent.value[1])(batches)
 
     rows = source.mapInArrow(cut, _CUT.format(id=id_type)).withColumn(
         "_words", F.transform("_words", lambda word: merged(word, vocab)))
