@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailfleet.llm import bpe
+from mailfleet.llm import bpe, quality, toxicity
 from mailfleet.llm.exact import exact_groups
+from mailfleet.llm.labelled import fold_of
 from mailfleet.llm.pieces import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,25 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def judged(scored: DataFrame, threshold: float) -> DataFrame:
+    """A class per score, and whether the labels of the row's fold were held out."""
+    return scored.withColumns({
+        "held_out": F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)),
+        "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+@query()
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged(scored, 0.3)
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged(scored, 0.5)
+
+
 @query("""
 with t as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as x from documents)
