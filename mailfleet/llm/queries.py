@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailfleet.llm import bpe, quality, toxicity
+from mailfleet.llm.decontaminate import overlaps
 from mailfleet.llm.exact import exact_groups
 from mailfleet.llm.labelled import fold_of
 from mailfleet.llm.pieces import token_counts
@@ -49,6 +50,11 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged(scored, 0.3)
 
 
+@query()
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
