@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailfleet.llm import words as W
+from mailfleet.llm.shared import written
 
 #: Rank of a pair that does not merge; no vocabulary here has that many pieces.
 NEVER = 65535
@@ -248,12 +249,9 @@ def _put_together(first: np.ndarray, first_sizes: np.ndarray):
     return run
 
 
-def frequent_words(docs: DataFrame, pattern: str, sample_docs: int, words: int) -> list[str]:
-    """At most ``words`` words that come at least twice in about ``sample_docs`` documents."""
-    rows = docs.count()
-    if not rows or not words:
-        return []
-    sample = docs.select("_text").sample(min(1.0, sample_docs / rows), seed=1)
+def frequent_words(docs: DataFrame, pattern: str, sample_docs: int, words: int) -> DataFrame:
+    """``word``: at most ``words`` words that come at least twice in about ``sample_docs`` documents."""
+    sample = docs.select("_text").sample(min(1.0, sample_docs / max(1, docs.count())), seed=1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -269,19 +267,24 @@ def frequent_words(docs: DataFrame, pattern: str, sample_docs: int, words: int)
                     [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
     found = sample.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()]
+    return found.where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
 
 
-def encode_words(spark: SparkSession, words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a bounded number of words, one after the other, and how many each has; by the same fold."""
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    table = spark.createDataFrame(pa.table({
-        "i": pa.array(range(len(words)), pa.int32()), "bytes": _byte_ids(words, vocabulary(path))}))
-    encoded = table.select("i", merged(F.col("bytes"), vocabulary(path)).alias("ids")).toArrow()
-    encoded = encoded.sort_by("i")["ids"].combine_chunks()
-    sizes = np.diff(encoded.offsets.to_numpy()).astype(np.int64)
-    return encoded.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes
+def encode_words(words: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of a bounded number of words: the words, their ids one after the other, and how many each has."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("word")
+            yield pa.RecordBatch.from_arrays(
+                [word, _byte_ids(word.to_pylist(), vocabulary(path))], names=["word", "bytes"])
+
+    spread = written(words, "words").repartition(2 * words.sparkSession.sparkContext.defaultParallelism)
+    got = spread.mapInArrow(spelled, "word string, bytes array<int>").select(
+        "word", merged(F.col("bytes"), vocabulary(path)).alias("ids")).toArrow()
+    ids = got["ids"].combine_chunks()
+    sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    return got["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes
 
 
 def encode(
@@ -298,8 +301,8 @@ def encode(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    known = frequent_words(source, pattern, sample_docs, known_words)
-    sent = spark.sparkContext.broadcast((known, encode_words(spark, known, path)))
+    known, flat, sizes = encode_words(frequent_words(source, pattern, sample_docs, known_words), path)
+    sent = spark.sparkContext.broadcast((known, (flat, sizes)))
 
     def cut(batches):
         yield from _cut(path, pattern, sent.value[0], batch_bytes)(batches)
