@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailfleet.llm import bpe, quality, toxicity
 from mailfleet.llm.decontaminate import overlaps
 from mailfleet.llm.exact import exact_groups
+from mailfleet.llm.jaccard import similar_groups
 from mailfleet.llm.labelled import fold_of
 from mailfleet.llm.pieces import token_counts
 
@@ -91,3 +92,22 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query()
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
+
+
+@query("""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as x from documents),
+s as (
+  select doc_id, case when len(x) = 0 then [] when len(x) < 3 then [array_to_string(x, ' ')]
+    else list_distinct(list_transform(range(1, len(x) - 1), i -> array_to_string(x[i:i + 2], ' '))) end as s from w),
+t as (select doc_id, len(s) as n, unnest(s) as t from s),
+e as (
+  select a.doc_id as a, b.doc_id as b from t a join t b on a.t = b.t and a.doc_id <> b.doc_id
+    and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select doc_id, len(s) as n_shingles, least(doc_id, coalesce((select min(b) from r where r.a = doc_id), doc_id)) as component_id
+from s""")
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(table(spark, folder, "documents"))
