@@ -97,10 +97,10 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as x from documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as x from documents),
 s as (
   select doc_id, case when len(x) = 0 then [] when len(x) < 3 then [array_to_string(x, ' ')]
-    else list_distinct(list_transform(range(1, len(x) - 1), i -> array_to_string(x[i:i + 2], ' '))) end as s from w),
+    else list_distinct(list_transform(range(1, len(x) - 1), lambda i: array_to_string(x[i:i + 2], ' '))) end as s from w),
 t as (select doc_id, len(s) as n, unnest(s) as t from s),
 e as (
   select a.doc_id as a, b.doc_id as b from t a join t b on a.t = b.t and a.doc_id <> b.doc_id
