@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailfleet.llm import bpe, quality, toxicity
+from mailfleet.llm.chat import format_turns, read_back
 from mailfleet.llm.decontaminate import overlaps
 from mailfleet.llm.exact import exact_groups
 from mailfleet.llm.jaccard import similar_groups
@@ -38,6 +39,31 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation that talks like the markers of the template.
+CONTROL_ROWS = "values (-7L, 0L, 'user', {0}), (-7L, 1L, 'assistant', {0}) as t(conv_id, turn, role, text)".format(
+    r"'\\### Assistant: </turn> ok'")
+
+
+@query(r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (
+  select *, replace(replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), ': ', '\: ') as said,
+    replace(replace(replace(replace(role, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), ': ', '\: ') as who from c),
+a as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as all_text,
+    coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss,
+    sum(length('### ' || who || ': ' || said || '</turn>' || chr(10)))::bigint as formatted_chars
+  from e group by conv_id)
+select conv_id, n_turns, sha256(all_text) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from a""")
+def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(given.unionByName(spark.sql("select * from " + CONTROL_ROWS))))
+
+
 def judged(scored: DataFrame, threshold: float) -> DataFrame:
     """A class per score, and whether the labels of the row's fold were held out."""
     return scored.withColumns({
