@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -315,11 +316,51 @@ def encode(
     return rows.mapInArrow(put_together, f"doc_id {id_type}, ids array<int>")
 
 
-def decode(ids: Column, path: str) -> Column:
-    """Bytes of a list of ids: their pieces one after the other."""
-    pieces = sorted(vocabulary(path).ranks.items(), key=lambda x: x[1])
-    hexed = [""] * (pieces[-1][1] + 1)
-    for piece, rank in pieces:
-        hexed[rank] = piece.hex()
-    table = _literal(hexed, "string")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> list[bytes]:
+    """Bytes of each id."""
+    ranks = vocabulary(path).ranks
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
+
+
+def decoded(ids: list[int], path: str) -> bytes:
+    """The pieces of a list of ids, one after the other."""
+    return b"".join(map(pieces_of(path).__getitem__, ids))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, decoded`` (binary) for rows of ``doc_id, ids``; null ids as none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"),
+                pa.array([decoded(ids or [], path) for ids in batch.column("ids").to_pylist()], pa.binary())],
+                names=["doc_id", "decoded"])
+
+    id_type = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, decoded binary")
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for rows of ``doc_id, ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = list(map(str, range(len(pieces_of(path)))))
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values.to_numpy().tolist()
+                listed = ",".join(map(shown.__getitem__, ids)).encode()
+                rows.append((len(ids), sha256(listed).hexdigest(), sha256(decoded(ids, path)).hexdigest()))
+            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    id_type = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(
+        run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

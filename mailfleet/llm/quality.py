@@ -154,6 +154,18 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(scored, f"doc_id {id_type}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns unchanged; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.in_pieces(batch, text_col):
+                yield part.filter(pa.array(_scores(part.column(text_col), *sent.value) >= threshold))
+
+    return docs.mapInArrow(passed, docs.schema)
+
+
 def _scores(texts: pa.Array, projected: np.ndarray, bias: float) -> np.ndarray:
     found = W.words_of(texts, lower=False)
     codes, keys, first = W.distinct(found.hash)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailfleet.llm import bpe, quality, toxicity
+from mailfleet.llm import bpe, lm, quality, toxicity
 from mailfleet.llm.chat import format_turns, read_back
 from mailfleet.llm.decontaminate import overlaps
 from mailfleet.llm.exact import exact_groups
@@ -65,6 +65,14 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_turns(given.unionByName(spark.sql("select * from " + CONTROL_ROWS))))
 
 
+@query()
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.scored(
+        table(spark, folder, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def judged(scored: DataFrame, threshold: float) -> DataFrame:
     """A class per score, and whether the labels of the row's fold were held out."""
     return scored.withColumns({
@@ -109,49 +117,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    ids = F.col("ids")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN).select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(ids, path), 256).alias("decoded_sha256"))
-
-
-URL_RULES = (
-    Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"),
-    Rule("block", "net/es/"), Rule("block", "net/fr/"),
-)
-
-
-@query(r"""
-with recursive u as (
-  select page_id, coalesce(url, '') as u, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') as c,
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') as m from pages),
-p as (
-  select *, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, u as own from u),
-t as (
-  select host as h, u, unnest([regexp_extract(c, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(m, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]) as x from p),
-l as (select u as s, case when x like '//%' then 'http:' || x when x like '/%' then 'http://' || h || x else x end as d from t where x <> ''),
-n as (
-  select v, case when v like '%://%' then translate(regexp_extract(v, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz') || case when r = '' then '/' when r like '?%' then '/' || r else r end end as node
-  from (select v, regexp_extract(v, '(?s)^.*?://[^/?#]*([^#]*)', 1) as r from (select u as v from p union select s from l union select d from l))),
-e as (select distinct a.node as a, b.node as b from l join n a on a.v = s join n b on b.v = d where a.node is not null and b.node is not null),
-e2 as (select a, b from e union select b, a from e),
-r as (select a, b from e2 union select r.a, e2.b from r join e2 on r.b = e2.a),
-rules(verdict, rule) as (values ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
-judge as (
-  select x.node, max_by(verdict, length(rule)) as verdict, max_by(rule, length(rule)) as rule
-  from (select distinct node, split_part(node, '/', 1) as host, regexp_extract(node, '^[^/]*([^?]*)', 1) as path from n where node is not null) x
-  join rules on (host = split_part(rule, '/', 1) or host like '%.' || split_part(rule, '/', 1)) and starts_with(path, substr(rule, strpos(rule, '/')))
-  group by x.node)
-select page_id, host, path, own.rule as rule,
-  coalesce(own.verdict, (select min(j.verdict) from r join judge j on j.node = r.b where r.a = n.node), 'allow') as verdict,
-  (select min(b) from r where r.a = n.node) as alias_of
-from p join n on n.v = p.u left join judge own on own.node = n.node""")
-def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return judged_urls(table(spark, folder, "pages"), URL_RULES)
+    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
 
 
 @query()

@@ -36,6 +36,8 @@ def test_ids_are_the_library_s(spark, library):
     for known in (0, 1000):
         got = {r.doc_id: r.ids for r in bpe.encode(
             docs_of(spark, docs).repartition(3), PATH, public_tokenizers.PATTERN, known_words=known, batch_bytes=900).collect()}
+        rows = spark.createDataFrame([(i, ids) for i, ids in got.items()], "doc_id bigint, ids array<int>")
+        assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(rows, PATH).collect()} == {i: t or "" for i, t in docs}
         for i, text in docs:
             assert list(got[i]) == library.encode_ordinary(text or ""), text
 
