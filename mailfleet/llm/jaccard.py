@@ -18,6 +18,7 @@ are thereby joined by a star, not by all pairs. Every verification compares whol
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,8 +98,8 @@ def _blocks(size: int, blocks: int):
         used = np.flatnonzero(np.diff(cut))
         return pa.RecordBatch.from_arrays([
             pa.array(used.astype(np.int32)),
-            pa.array([values[cut[b]:cut[b + 1]].astype(np.uint32).tobytes() for b in used.tolist()], pa.binary()),
-            pa.array([np.minimum(counts[cut[b]:cut[b + 1]], 255).astype(np.uint8).tobytes() for b in used.tolist()], pa.binary())],
+            pa.array([_squeezed(values[cut[b]:cut[b + 1]]) for b in used.tolist()], pa.binary()),
+            pa.array([zlib.compress(counts[cut[b]:cut[b + 1]].astype(np.uint32).tobytes(), 1) for b in used.tolist()], pa.binary())],
             names=["block", "tokens", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +118,20 @@ def _blocks(size: int, blocks: int):
     return run
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 as differences, bytes of one weight together, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T)
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint64)
+
+
 def _frequent_in_block(table: pa.Table, least: int) -> pa.Table:
-    tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["tokens"]])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["counts"]])
+    tokens = np.concatenate([_unsqueezed(x.as_py()) for x in table["tokens"]])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table["counts"]])
     values, place = np.unique(tokens, return_inverse=True)
     total = np.bincount(place, counts)
     return pa.table({"token": pa.array(values[total >= least].astype(np.int64))})
@@ -144,7 +156,7 @@ def _is_frequent(h: np.ndarray, seen: Filter) -> np.ndarray:
 
 
 def _keys(size: int, percent: int, sent, chunk: int = 100_000):
-    """Index keys of each document, in rows of at most ``chunk`` keys."""
+    """Index keys of each document, and in one row its first p tokens; combinations in rows of about ``chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,34 +171,36 @@ def _keys(size: int, percent: int, sent, chunk: int = 100_000):
                 prefix = n - -(-percent * n // 100) + 1
                 place = np.arange(len(h)) - begin[text]
                 within = place < prefix[text]
-                owner, keys = [text[within & ~frequent]], [h[within & ~frequent]]
+                alone, rare = within & ~frequent, np.zeros(texts + 1, np.int64)
+                np.cumsum(np.bincount(text[alone], minlength=texts), out=rare[1:])
+                first = np.zeros(texts + 1, np.int64)
+                np.cumsum(np.bincount(text[within], minlength=texts), out=first[1:])
+                yield _rows(part, signature, np.arange(texts), _lists(h[alone], rare), _lists(h[within], first))
                 # Combinations: only where a frequent token is among the first p.
-                open_ = np.unique(text[within & frequent])
-                own = np.bincount(owner[0], minlength=texts)
-                ends = np.cumsum(own)
-                for i in range(texts):
-                    if own[i]:
-                        yield _key_row(part, signature, i, keys[0][ends[i] - own[i]:ends[i]])
-                for i in open_.tolist():
+                for i in np.unique(text[within & frequent]).tolist():
                     tokens = h[begin[i]:begin[i] + min(n[i], prefix[i] + 1)]
                     tokens = tokens[frequent[begin[i]:begin[i] + len(tokens)]]
                     held: list[np.ndarray] = []
                     for j in range(len(tokens) - 1):
-                        held.append(W.mix(tokens[j] * np.uint64(0x9E3779B97F4A7C15) + tokens[j + 1:]))
-                        if sum(map(len, held)) >= chunk:
-                            yield _key_row(part, signature, i, np.concatenate(held))
+                        held.append(W.mix(tokens[j:j + 1] * np.uint64(0x9E3779B97F4A7C15) + tokens[j + 1:]))
+                        if sum(map(len, held)) >= chunk or j == len(tokens) - 2:
+                            keys = np.concatenate(held)
+                            yield _rows(part, signature, np.array([i]), _lists(keys, np.array([0, len(keys)])),
+                                        pa.nulls(1, pa.list_(pa.int64())))
                             held = []
-                    if held:
-                        yield _key_row(part, signature, i, np.concatenate(held))
 
     return run
 
 
-def _key_row(part: pa.RecordBatch, signature: list[pa.Array], i: int, keys: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        part.column("doc_id").slice(i, 1), *(s.slice(i, 1) for s in signature),
-        pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys.view(np.int64)))],
-        names=["doc_id", *_SET, "_keys"])
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _rows(part: pa.RecordBatch, signature: list[pa.Array], which: np.ndarray, keys: pa.Array, prefix: pa.Array) -> pa.RecordBatch:
+    which = pa.array(which)
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id").take(which), *(s.take(which) for s in signature), keys, prefix],
+        names=["doc_id", *_SET, "_keys", "_prefix"])
 
 
 def _sets(size: int, sent):
@@ -234,53 +248,63 @@ class _Join:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def index(self) -> DataFrame:
-        """``key, node, n, s1, pivot, pivot_n, pivot_s1`` of each key that several classes have."""
+        """``key, node, n, pivot`` of each key that several classes have; sets ``self.prefixes``."""
         spark = self.texts.sparkSession
         total = self.rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         seen = frequent_tokens(self.texts, total, self.size, self.frequent, self.bits)
         sent = spark.sparkContext.broadcast(seen)
-        keyed = self.one_per_class(self.texts.mapInArrow(
-            _keys(self.size, self.percent, sent), f"{self.fields}, _keys array<bigint>"))
-        entries = written(keyed.select(
-            F.explode("_keys").alias("key"), F.struct(F.col("doc_id").alias("node"), F.col("_n").alias("n"),
-                                                      F.col("_s1").alias("s1")).alias("m")), "keys")
-        shared = entries.groupBy("key").agg(F.min("m").alias("pivot"), F.max("m").alias("last")).where("pivot <> last")
-        return written(entries.join(shared, "key").select("key", "m.*", "pivot"), "index")
+        keyed = written(self.one_per_class(self.texts.mapInArrow(
+            _keys(self.size, self.percent, sent), f"{self.fields}, _keys array<bigint>, _prefix array<bigint>")), "keys")
+        self.prefixes = keyed.where("_prefix is not null").select(F.col("doc_id").alias("node"), "_s1", "_n", "_prefix")
+        entries = keyed.select(F.explode("_keys").alias("key"), F.col("doc_id").alias("node"), F.col("_n").alias("n"))
+        shared = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where(
+            "pivot <> _last").drop("_last")
+        return written(entries.join(shared, "key"), "index")
+
+    def joined(self, pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        """``a, b`` with ``_x`` and ``_y``: what ``sets`` (``node`` and more) has of either."""
+        left = sets.select(F.col("node").alias("_a"), F.col("_n").alias("_nx"), F.col("_s1").alias("_sx"), F.col(column).alias("_x"))
+        right = sets.select(F.col("node").alias("_b"), F.col("_n").alias("_ny"), F.col("_s1").alias("_sy"), F.col(column).alias("_y"))
+        return pairs.join(left, pairs["a"] == left["_a"]).join(right, F.col("b") == F.col("_b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of distinct ``a, b`` (structs node, n, s1)."""
-        wanted = pairs.select("a.s1").union(pairs.select("b.s1")).distinct()
-        sent = self.texts.sparkSession.sparkContext.broadcast(filter_of(wanted, "s1", self.bits))
+        """The linked ones of distinct ``a, b``.
+
+        First by the tokens of both prefixes: those after a prefix are known in number, so they and the
+        shared ones of the prefixes bound what a pair can share. What is left is compared by whole sets.
+        """
+        n, other = F.col("_nx"), F.col("_ny")
+        shared = F.size(F.array_intersect("_x", "_y"))
+        rest = F.greatest(n - F.size("_x"), other - F.size("_y"))
+        near = written(self.joined(pairs, self.prefixes, "_prefix").where(
+            self.compatible("_nx", "_ny") & ((100 + self.percent) * (shared + rest) >= self.percent * (n + other))).select(
+            "a", "b", "_sx", "_sy"), "near")
+        wanted = near.select(F.col("_sx").alias("s")).union(near.select("_sy")).distinct()
+        sent = self.texts.sparkSession.sparkContext.broadcast(filter_of(wanted, "s", self.bits))
         sets = written(self.one_per_class(self.texts.mapInArrow(
-            _sets(self.size, sent), f"{self.fields}, _set array<bigint>")), "sets")
-        left = sets.select(F.col("doc_id").alias("_a"), F.col("_set").alias("_x"))
-        right = sets.select(F.col("doc_id").alias("_b"), F.col("_set").alias("_y"))
-        both = F.size(F.array_intersect("_x", "_y"))
-        return written(pairs.join(left, pairs["a.node"] == left["_a"]).join(right, F.col("b.node") == F.col("_b")).where(
-            100 * both >= self.percent * (F.size("_x") + F.size("_y") - both)).select(
-            F.col("a.node").alias("a"), F.col("b.node").alias("b")), "links")
+            _sets(self.size, sent), f"{self.fields}, _set array<bigint>")).withColumnRenamed("doc_id", "node"), "sets")
+        return written(self.joined(near.select("a", "b"), sets, "_set").where(
+            100 * shared >= self.percent * (n + other - shared)).select("a", "b"), "links")
 
     def links(self) -> DataFrame:
         """Links that connect whatever is connected; ``a, b`` are classes' documents."""
         index = self.index()
-        me = F.struct("node", "n", "s1")
-        star = written(index.where((F.col("node") != F.col("pivot.node")) & self.compatible("n", "pivot.n")).select(
-            F.col("pivot").alias("a"), me.alias("b")).distinct(), "pairs")
+        star = written(index.where("node <> pivot").select(
+            F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         first = self.verified(star)
         groups = components(first)
-        placed = index.drop("pivot").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = written(placed, "placed")
+        placed = written(index.drop("pivot").join(groups, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")), "placed")
         member = F.xxhash64("node")
         unsettled = placed.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"),
             F.bit_xor(member).alias("h1"), F.sum(F.shiftright(member, 24)).alias("h2")).where("x <> y")
         chosen = unsettled.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-        rest = written(placed.join(chosen, "key", "left_semi").select(
-            "key", "component", me.alias("m")), "unsettled")
-        a = rest.select("key", F.col("component").alias("ca"), F.col("m").alias("a"))
-        b = rest.select("key", F.col("component").alias("cb"), F.col("m").alias("b"))
+        rest = written(placed.join(chosen, "key", "left_semi"), "unsettled")
+        a = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
+        b = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
         pairs = a.join(b, "key").where(
-            (F.col("a.node") < F.col("b.node")) & (F.col("ca") != F.col("cb")) & self.compatible("a.n", "b.n")).select("a", "b").distinct()
+            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.compatible("na", "nb")).select("a", "b").distinct()
         pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
         return first.union(self.verified(pairs))
 
