@@ -18,7 +18,7 @@ HEADLINE = (
     "fil16_replica_problems", "rul01_dns_posture", "rul06_route_messages", "rul07_clean_headers",
     "src02_parse_access_log", "src03_parse_webmail_auth", "snk02_changed_only",
     "sort03_top_sources", "win02_transitions", "win03_install_decisions", "win05_ban_events",
-    "win06_recidive", "win07_queue_trend", "win11_leaky_bucket", "str01_ban_ledger",
+    "win06_recidive", "win07_queue_trend", "str01_ban_ledger",
     "str01_ban_stream", "str03_watchdog_stream", "str04_alert_stream",
     "str07_message_state_stream",
 )

@@ -45,18 +45,6 @@ rn as (select a.ip, a.second, min(b.second) as next_second from rt a join rt b o
 rw as (select ip, min(second) as second from rt where n >= 2 group by 1 union all select w.ip, x.next_second from rw w join rn x on x.ip = w.ip and x.second = w.second)
 select 'recidive' as jail, ip, second as start, second + 604800 as "end" from rw
 """
-BUCKET = """
-with recursive q as (select ip, zone, epoch_us(ts) // 1000 as ms, row_number() over (partition by ip, zone order by epoch_us(ts) // 1000, event_id) as i, case zone when 'webmail_login' then 3000 else 2000 end as cap from fx_login),
-b as (
- select ip, zone, ms, i, 0 as excess, ms as last, 'accepted' as verdict from q where i = 1
- union all
- select q.ip, q.zone, q.ms, q.i, case when greatest(0, b.excess - 100 * (q.ms - b.last) // 1000 + 1000) > q.cap then b.excess else greatest(0, b.excess - 100 * (q.ms - b.last) // 1000 + 1000) end,
-  case when greatest(0, b.excess - 100 * (q.ms - b.last) // 1000 + 1000) > q.cap then b.last else q.ms end,
-  case when greatest(0, b.excess - 100 * (q.ms - b.last) // 1000 + 1000) > q.cap then 'refused' when b.excess - 100 * (q.ms - b.last) // 1000 + 1000 > 0 then 'burst' else 'accepted' end
- from b join q on q.ip = b.ip and q.zone = b.zone and q.i = b.i + 1)
-select ip, zone, ms, count(*) as requests, count(*) filter (verdict = 'accepted') as accepted, count(*) filter (verdict = 'burst') as burst, count(*) filter (verdict = 'refused') as refused from b group by 1, 2, 3
-"""
-
 
 def fails(v: Views):
     return v("fx_auth").where("outcome = 'fail'").select("jail", "ip", "ts")
@@ -129,7 +117,8 @@ def _(v):
 
 @query("fil11_restriction_chain", """
 with f as (select *, case
- when service = 'submission' then (case when not sasl_ok then 'client:reject' when login_mismatch then 'sender:reject_sender_login_mismatch' when pipelining then 'data:reject_unauth_pipelining' end)
+ when service not in ('smtp', 'submission', 'smtps') then 'service:unknown'
+ when service in ('submission', 'smtps') then (case when not sasl_ok then 'client:reject' when login_mismatch then 'sender:reject_sender_login_mismatch' when pipelining then 'data:reject_unauth_pipelining' end)
  when in_networks then (case when pipelining then 'data:reject_unauth_pipelining' end)
  when not sasl_ok and client_unknown then 'client:reject_unknown_client_hostname'
  when not sasl_ok and helo_invalid then 'helo:reject_invalid_helo_hostname' when not sasl_ok and helo_not_fqdn then 'helo:reject_non_fqdn_helo_hostname'
@@ -224,30 +213,6 @@ def _(v):
     return A.login_rate(v("fx_auth"), span_s=43200)
 
 
-@query("win11_leaky_bucket", BUCKET)
-def _(v):
-    return A.leaky_bucket(v("fx_login"))
-
-
-@query("udf05_sequential", """
-select ip, count(*) as rows, count(*) filter (before is null or second - before > 3600) as runs from (
- select ip, second, lag(second) over (partition by ip order by second) as before from (select distinct ip, cast(floor(epoch(ts)) as bigint) as second from fx_auth)) group by ip""")
-def _(v):
-    from mailfleet.plans.fold import sequential
-    from mailfleet.plans.scan import per_second
-
-    def fold(_key, group):
-        before, rows, runs = None, 0, 0
-        for second, _n in group:
-            rows += 1
-            runs += before is None or second - before > 3600
-            before = second
-        yield rows, runs
-
-    seconds = per_second(v("fx_auth"), ["ip"], "ts")
-    return sequential(seconds, ["ip"], ["second"], fold, "ip string, rows bigint, runs bigint")
-
-
 @query("agg13_node_traffic", """
 select cast(floor(epoch(a.ts) / 60) as bigint) * 60 as minute, case when event_id % 2 = 0 then 'sg1' else 'us1' end as node, case when event_type = 'signup' then 302 else 200 end as status, count(*) as requests,
  round(quantile_cont(cast('0.' || cast(100 + event_id % 900 as varchar) as double), 0.95), 6) as p95_rt from events a group by 1, 2, 3""")

@@ -186,21 +186,23 @@ def _(v):
 
 
 @query("join06_expand_aliases", """
-with recursive starts as (select distinct split_part(split_part(lower(rcpt), '@', 1), '+', 1) || '@' || split_part(lower(rcpt), '@', 2) as origin from fx_rcpt),
-edges as (select address, trim(unnest(string_split(goto_list, ','))) as target from fx_alias where active = 1),
+with recursive starts as (
+ select distinct split_part(split_part(lower(rcpt), '@', 1), '+', 1) || '@' || split_part(lower(rcpt), '@', 2) as origin from fx_rcpt union select address from fx_alias_loop),
+edges as (select address, trim(unnest(string_split(goto_list, ','))) as target from (
+ select address, goto_list from fx_alias where active = 1 union all select address, goto_list from fx_alias_loop)),
 walk as (
- select origin, origin as node, 0 as depth, [origin] as path, false as looped from starts
- union all
- select w.origin, e.target, w.depth + 1, list_append(w.path, e.target), list_contains(w.path, e.target)
- from walk w join edges e on e.address = w.node where not w.looped and w.depth < 10)
-select origin, node as target, case when looped then 'cycle' when node in (select address from edges) then 'too_deep' else 'leaf' end as kind, min(depth) as depth
-from walk where looped or node not in (select address from edges) or depth = 10 group by 1, 2, 3
+ select distinct s.origin, e.target as node from (select origin from starts union select address from edges) s join edges e on e.address = s.origin
+ union select w.origin, e.target from walk w join edges e on e.address = w.node)
+select origin, node as target, 'leaf' as kind from walk where origin in (select origin from starts) and node not in (select address from edges)
+union all select origin, origin, 'leaf' from starts where origin not in (select address from edges)
+union all select origin, node, 'cycle' from walk where origin in (select origin from starts) and node in (select origin from walk where node = origin)
 """)
 def _(v):
-    starts = v("fx_rcpt").select(S.bare_addr("rcpt").alias("address"))
-    return D.expand_aliases(starts, directory(v)["alias"]).select(
-        "origin", "target", "kind", "depth"
-    )
+    loops = v("fx_alias_loop")
+    starts = v("fx_rcpt").select(S.bare_addr("rcpt").alias("address")).union(loops.select("address"))
+    alias = directory(v)["alias"].select("address", "goto", "active")
+    more = loops.select("address", F.col("goto_list").alias("goto"), F.lit(1).alias("active"))
+    return D.expand_aliases(starts, alias.union(more)).select("origin", "target", "kind")
 
 
 _LOGINS = R + """,

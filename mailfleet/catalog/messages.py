@@ -219,8 +219,7 @@ def _(v):
 @query("str09_delivery_outcomes", """
 with a as (select queue_id, delivered_after_h * 3600 as s from fx_delivery),
 l as (select *, case when s is not null and s < 259200 then s else 259200 end as lived from a)
-select queue_id, case when lived = 0 then 1 when lived < 120 then 1 else 6 + greatest(0, cast(floor((lived - 1920) / 1800.0) as int)) - case when lived = 259200 and (259200 - 1920) % 1800 = 0 then 1 else 0 end end as attempts,
- case when lived >= 14400 then 1 else 0 end as warned, case when s is not null and s < 259200 then 'delivered' else 'bounced' end as outcome from l""")
+select queue_id, case when lived >= 14400 then 1 else 0 end as warned, case when s is not null and s < 259200 then 'delivered' else 'bounced' end as outcome from l""")
 def _(v):
     queue = v("fx_delivery").select(
         "queue_id", (F.col("delivered_after_h") * 3600).alias("delivered_after_s")

@@ -83,7 +83,7 @@ def _(v):
 
 @query("agg03_ordered_checksum", """
 with pair as (select 'A' as node, domain, username from fx_mailbox union all select 'B', domain, username from fx_mailbox where local_part <> 'u7')
-select node, domain, count(*) as keys, md5(string_agg(username, ',' order by username)) as checksum, 'list' as form from pair group by node, domain""")
+select node, domain, count(*) as keys, md5(concat_ws(':', count(*), sum(cast('0x' || substr(md5(username), 1, 8) as bigint)), sum(cast('0x' || substr(md5(username), 9, 8) as bigint)), sum(cast('0x' || substr(md5(username), 17, 8) as bigint)), sum(cast('0x' || substr(md5(username), 25, 8) as bigint)))) as checksum from pair group by node, domain""")
 def _(v):
     box = v("fx_mailbox")
     both = box.select(F.lit("A").alias("node"), "domain", "username").unionByName(
@@ -93,7 +93,7 @@ def _(v):
 
 
 @query("agg03_set_checksum", """
-select count(*) as keys, cast(sum(cast('0x' || substr(md5(natural_key), 1, 8) as bigint)) as bigint) as checksum from fx_log_a""")
+select count(*) as keys, md5(concat_ws(':', count(*), sum(cast('0x' || substr(md5(natural_key), 1, 8) as bigint)), sum(cast('0x' || substr(md5(natural_key), 9, 8) as bigint)), sum(cast('0x' || substr(md5(natural_key), 17, 8) as bigint)), sum(cast('0x' || substr(md5(natural_key), 25, 8) as bigint)))) as checksum from fx_log_a""")
 def _(v):
     return R.set_checksum(v("fx_log_a"), "natural_key")
 
@@ -130,9 +130,9 @@ def _(v):
 
 
 @query("snk05_update_by_key", """
-with c as (select *, row_number() over (partition by username order by changed desc, seq desc) as rn from fx_password_change)
-select m.username, coalesce(c.password, 'old') as password, coalesce(epoch_us(c.changed), epoch_us(timestamp '2000-01-01 00:00:00')) as modified_us
-from fx_mailbox m left join c on c.username = m.username and c.rn = 1""")
+with c as (select *, row_number() over (partition by lower(username) order by changed desc, seq desc) as rn from fx_password_change)
+select m.username, case when c.username is null then 'old' else c.password end as password, coalesce(epoch_us(c.changed), epoch_us(timestamp '2000-01-01 00:00:00')) as modified_us
+from fx_mailbox m left join c on lower(c.username) = lower(m.username) and c.rn = 1""")
 def _(v):
     target = directory(v)["mailbox"].select(
         "username", F.lit("old").alias("password"),

@@ -66,23 +66,6 @@ HARD_ERRORS = 20
 LOGINS_PER_MINUTE = 3
 
 
-@dataclass(frozen=True)
-class Zone:
-    """A request limit: ``rate`` in thousandths of a request per second, and a burst."""
-
-    rate: int
-    burst: int
-
-
-# 6 per minute for logins, 30 per second for pages, with their bursts.
-ZONES = {
-    "admin_login": Zone(100, 2),
-    "webmail_login": Zone(100, 3),
-    "admin_app": Zone(30_000, 30),
-    "webmail_app": Zone(30_000, 50),
-}
-
-
 def _param(table: Mapping[str, Jail], jail: str, value) -> Column:
     """A jail setting as an expression over the jail name; the rule table needs no join."""
     cells = [F.lit(x) for name, j in table.items() for x in (name, value(j))]
@@ -280,74 +263,13 @@ def login_rate(
     return counted.where(F.col("logins") > limit).select(user, "second", "logins")
 
 
-def bucket_step(zone: Zone):
-    """Leaky bucket over (millisecond, n) rows: how many of ``n`` requests are accepted at once,
-    accepted within the burst, and refused. A refused request leaves the bucket as it was."""
-
-    def step(state: dict, ms: int, n: int) -> tuple[int, int, int]:
-        plain = burst = refused = 0
-        for _ in range(n):
-            if state["last"] is None:
-                excess = 0
-            else:
-                drained = zone.rate * abs(ms - state["last"]) // 1000
-                excess = max(0, state["excess"] - drained + 1000)
-            if excess > zone.burst * 1000:
-                # The same millisecond cannot drain, so the rest is refused as well.
-                refused = n - plain - burst
-                break
-            state["excess"], state["last"] = excess, ms
-            if excess:
-                burst += 1
-            else:
-                plain += 1
-        return plain, burst, refused
-
-    return step
-
-
-def leaky_bucket(
-    requests: DataFrame, zones: Mapping[str, Zone] = ZONES, ip: str = "ip", zone: str = "zone",
-    ts: str = "ts",
-) -> DataFrame:
-    """Verdicts per (source, zone, millisecond): accepted, accepted in the burst, refused.
-
-    Requests of one millisecond are one row. A source is cut where it pauses long enough for its
-    bucket to run empty, and each stretch is walked in order with constant memory.
-    """
-    ticks = requests.where(F.col(zone).isin(*zones)).groupBy(
-        F.col(ip).alias("ip"), F.col(zone).alias("zone"),
-        F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    # A full bucket plus one request is empty again after this pause, in milliseconds.
-    empty_after = {name: ((z.burst + 1) * 1_000_000) // z.rate + 1 for name, z in zones.items()}
-    cells = [F.lit(x) for pair in empty_after.items() for x in pair]
-    pause = F.try_element_at(F.create_map(*cells), F.col("zone"))
-    cut = segments(
-        ticks, ["ip", "zone"], "ms", F.floor(F.col("ms") / 3_600_000), pause, "stretch"
-    )
-    table = dict(zones)
-
-    def fold(key, group):
-        step, state = bucket_step(table[key[1]]), {"excess": 0, "last": None}
-        for ms, n in group:
-            yield (ms, n, *step(state, ms, n))
-
-    return sequential(
-        cut.select("ip", "zone", "stretch", "ms", "n"), ["ip", "zone"], ["ms"], fold,
-        "ip string, zone string, ms bigint, requests bigint, accepted bigint, burst bigint, "
-        "refused bigint",
-        spread=["stretch"],
-    )
-
-
 # -- session checks --------------------------------------------------------------------------
 
 Rule = tuple[str, Column, str]
 
 
 def smtp_rules() -> dict[str, list[tuple[str, list[Rule]]]]:
-    """Ordered restriction lists of the two services, over the flags of a session."""
+    """Ordered restriction lists of the services, over the flags of a session."""
     c = F.col
     trusted = [("permit_mynetworks", c("in_networks"), "permit")]
     login = [("permit_sasl_authenticated", c("sasl_ok"), "permit")]
@@ -358,6 +280,13 @@ def smtp_rules() -> dict[str, list[tuple[str, list[Rule]]]]:
     def reject(name: str, flag: Column) -> Rule:
         return (f"reject_{name}", flag, "reject")
 
+    submission = [
+        ("client", [*login, *nothing_else]),
+        ("sender", [*owner, *login, *nothing_else]),
+        ("relay", [*login, *nothing_else]),
+        ("recipient", [*login, *nothing_else]),
+        ("data", early),
+    ]
     return {
         "smtp": [
             ("client", [*trusted, *login, reject("unknown_client_hostname", c("client_unknown"))]),
@@ -378,13 +307,8 @@ def smtp_rules() -> dict[str, list[tuple[str, list[Rule]]]]:
             ]),
             ("data", early),
         ],
-        "submission": [
-            ("client", [*login, *nothing_else]),
-            ("sender", [*owner, *login, *nothing_else]),
-            ("relay", [*login, *nothing_else]),
-            ("recipient", [*login, *nothing_else]),
-            ("data", early),
-        ],
+        "submission": submission,
+        "smtps": submission,
     }
 
 
@@ -395,10 +319,12 @@ def restriction_chain(
     """Verdict of each session with the rule that decided.
 
     In every list the first rule that holds counts: a permit ends that list, a reject ends the
-    session. One projection, however long the lists are.
+    session. One projection, however long the lists are. A service without lists is rejected.
     """
-    deciders = []
-    for name, lists in (rules or smtp_rules()).items():
+    rules = rules or smtp_rules()
+    known = F.coalesce(F.col(service).isin(*rules), F.lit(False))
+    deciders = [(~known, F.lit("service:unknown"))]
+    for name, lists in rules.items():
         stops = []
         for list_name, chain in lists:
             hit = first_match([

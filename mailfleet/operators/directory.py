@@ -357,55 +357,51 @@ def alias_rows(alias: DataFrame) -> DataFrame:
     )
 
 
-def expand_aliases(addresses: DataFrame, alias: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Final targets of each address of ``addresses`` (column ``address``).
+def expand_aliases(addresses: DataFrame, alias: DataFrame) -> DataFrame:
+    """Final targets of each address of ``addresses`` (column ``address``): where lists lead to.
 
-    Follows alias lists round by round. A branch ends at an address without an alias (``leaf``),
-    at one already on its path (``cycle``), or after ``max_depth`` rounds (``too_deep``). A round
-    is written to the shared folder once and read back for its results and for the next round, so
-    lineage stays one round long; lists that converge go on as one state per (origin, target).
+    A target is a ``leaf`` (an address without an alias) or on a ``cycle`` (it leads back to
+    itself); ``depth`` is its least distance. The pairs (origin, reached) grow round by round until
+    nothing new is reached, so there is no limit to the length of a chain, and lists that share
+    members or loop are one pair each. A round is stored in the shared folder.
     """
     spark = addresses.sparkSession
-    lists = _active(alias).select(
-        F.lower("address").alias("__from"), to_list(F.lower("goto")).alias("__to")
-    )
-    start = F.lower("address")
-    frontier = addresses.select(start.alias("origin"), start.alias("at")).distinct().select(
-        "origin", "at", F.array("at").alias("path")
-    )
-    fields = "origin string, at string, path array<string>, kind string"
-    root, paths = shared_folder(spark, "expand"), []
-    for depth in range(max_depth + 1):
-        found = frontier.join(lists, F.col("at") == F.col("__from"), "left")
-        has_list = F.col("__from").isNotNull()
-        if depth == max_depth:
-            states = found.select(
-                "origin", "at", "path", F.when(has_list, "too_deep").otherwise("leaf").alias("kind")
-            )
-        else:
-            # A leaf stays as it is; a list gives its members, each looping or open.
-            member = F.when(has_list, F.col("__to")).otherwise(F.array(F.lit(None).cast("string")))
-            rows = found.select("origin", "at", "path", F.explode(member).alias("__next"))
-            looped = F.array_contains("path", F.col("__next"))
-            kind = F.when(F.col("__next").isNull(), "leaf").when(looped, "cycle").otherwise("open")
-            states = rows.select(
-                "origin", F.coalesce("__next", "at").alias("at"),
-                F.when(kind == "open", F.array_append("path", F.col("__next")))
-                .otherwise(F.col("path")).alias("path"),
-                kind.alias("kind"),
-            )
-        paths.append(f"{root}/depth={depth}")
-        states.write.parquet(paths[-1])
-        still_open = spark.read.schema(fields).parquet(paths[-1]).where("kind = 'open'")
-        if still_open.isEmpty():
+    member = _active(alias).select(
+        F.lower("address").alias("__from"), F.explode(to_list(F.lower("goto"))).alias("__to")
+    ).distinct()
+    starts = addresses.select(F.lower("address").alias("origin")).distinct()
+    root = shared_folder(spark, "expand")
+    fields = "origin string, at string"
+    # Members are followed for the lists too: a list on a cycle is a pair with itself.
+    origins = starts.union(member.select("__from")).distinct()
+    found = origins.join(member, F.col("origin") == F.col("__from")).select(
+        "origin", F.col("__to").alias("at")
+    ).distinct()
+    paths = [f"{root}/depth=1"]
+    found.write.parquet(paths[0])
+    while True:
+        reached = spark.read.schema(f"{fields}, depth int").option("basePath", root).parquet(*paths)
+        newest = spark.read.schema(fields).parquet(paths[-1])
+        if newest.isEmpty():
             break
-        frontier = still_open.groupBy("origin", "at").agg(F.min("path").alias("path"))
-    ended = spark.read.schema(f"{fields}, depth int").option("basePath", root).parquet(*paths)
-    # A member is one level below its list; a leaf is found in the round after that.
-    level = F.when(F.col("kind") == "cycle", F.col("depth") + 1).otherwise(F.col("depth"))
-    return ended.where("kind <> 'open'").groupBy(
-        "origin", F.col("at").alias("target"), "kind"
-    ).agg(F.min(level).alias("depth"))
+        further = newest.join(member, F.col("at") == F.col("__from")).select(
+            "origin", F.col("__to").alias("at")
+        ).distinct().join(reached, ["origin", "at"], "left_anti")
+        paths.append(f"{root}/depth={len(paths) + 1}")
+        further.write.parquet(paths[-1])
+    lists = member.select("__from").distinct()
+    cycles = reached.where("origin = at").select(F.col("at").alias("__on"))
+    wanted = reached.join(starts, "origin", "left_semi").unionByName(
+        starts.select("origin", F.col("origin").alias("at"), F.lit(0).alias("depth"))
+    )
+    kinds = wanted.join(lists, F.col("at") == F.col("__from"), "left").join(
+        cycles, F.col("at") == F.col("__on"), "left"
+    ).withColumn("kind", F.when(F.col("__from").isNull(), "leaf").when(
+        F.col("__on").isNotNull() & (F.col("depth") > 0), "cycle"
+    ))
+    return kinds.where("kind is not null").select(
+        "origin", F.col("at").alias("target"), "kind", "depth"
+    )
 
 
 # -- senders ---------------------------------------------------------------------------------

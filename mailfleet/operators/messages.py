@@ -355,23 +355,13 @@ def sessionize(
 
 # -- delivery ----------------------------------------------------------------------------------
 
-# When a sender is warned and a message given up, and the retry delays.
+# When a sender is warned and a message given up.
 WARN_AFTER_S = 4 * 3600
 EXPIRE_AFTER_S = 3 * 86400
-MIN_BACKOFF_S = 120
-MAX_BACKOFF_S = 1800
-
-
-def retry_ages() -> list[int]:
-    """Message ages at which delivery is tried: the delay is the age within the two backoffs."""
-    ages = [0]
-    while ages[-1] < EXPIRE_AFTER_S:
-        ages.append(ages[-1] + min(max(ages[-1], MIN_BACKOFF_S), MAX_BACKOFF_S))
-    return [a for a in ages if a < EXPIRE_AFTER_S]
 
 
 def delivery_outcomes(queue: DataFrame) -> DataFrame:
-    """Life of each queued message: attempts, whether the sender was warned, delivered or bounced.
+    """Fate of each queued message: whether the sender was warned, delivered or bounced.
 
     ``delivered_after_s`` is null while a message cannot be delivered; one that takes longer than
     the lifetime bounces as well.
@@ -379,10 +369,8 @@ def delivery_outcomes(queue: DataFrame) -> DataFrame:
     age = F.col("delivered_after_s")
     done = age.isNotNull() & (age < EXPIRE_AFTER_S)
     lived = F.when(done, age).otherwise(EXPIRE_AFTER_S)
-    ages = F.array(*[F.lit(a) for a in retry_ages()])
     return queue.select(
         "queue_id",
-        F.size(F.filter(ages, lambda a: a <= lived)).alias("attempts"),
         (lived >= WARN_AFTER_S).cast("int").alias("warned"),
         F.when(done, "delivered").otherwise("bounced").alias("outcome"),
     )

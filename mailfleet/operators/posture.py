@@ -307,29 +307,28 @@ def spf_rows(records: DataFrame) -> DataFrame:
 def spf_audit(records: DataFrame, policy: DnsPolicy = DnsPolicy()) -> DataFrame:
     """Per zone: number of records, node addresses authorised, mechanisms that cost a DNS lookup
     (worst record) and the qualifier at the end."""
-    spf = records.where(
-        (F.col("type") == "TXT") & (F.col("name") == "@") & F.col("target").startswith("v=spf1")
+    is_spf = F.coalesce(
+        (F.col("type") == "TXT") & (F.col("name") == "@") & F.col("target").startswith("v=spf1"),
+        F.lit(False),
     )
-    parts = F.split(F.trim(F.regexp_replace("target", '"', "")), r"\s+")
-    rows = spf.select("zone", parts.alias("m")).select(
-        "zone",
-        F.size(F.filter("m", lambda x: x.rlike(SPF_LOOKUP_MECHANISMS))).alias("lookups"),
-        F.regexp_extract(F.element_at("m", -1), r"^([+?~-]?)all$", 1).alias("q"),
-        F.element_at("m", -1).rlike(r"^[+?~-]?all$").alias("closed"),
-        *[
-            F.array_contains("m", f"ip4:{a}").cast("int").alias(f"node_{i}")
-            for i, a in enumerate(policy.addresses)
-        ],
-    )
-    ending = F.when(F.col("closed"), F.when(F.col("q") == "", "+").otherwise(F.col("q")))
-    per_zone = rows.groupBy("zone").agg(
-        F.count(F.lit(1)).alias("records"),
-        (F.max("node_0") + F.max("node_1")).alias("nodes_authorised"),
-        F.max("lookups").alias("lookups"),
-        F.min(ending).alias("ending"),
+    m = F.split(F.trim(F.regexp_replace("target", '"', "")), r"\s+")
+    last = F.element_at(m, -1)
+    sign = F.regexp_extract(last, r"^([+?~-]?)all$", 1)
+    ending = F.when(last.rlike(r"^[+?~-]?all$"), F.when(sign == "", "+").otherwise(sign))
+
+    def most(of: Column) -> Column:
+        return F.coalesce(F.max(F.when(is_spf, of)), F.lit(0))
+
+    # Over all records of a zone, so that a zone without any such record is an error, not absent.
+    per_zone = records.groupBy("zone").agg(
+        F.count_if(is_spf).alias("records"),
+        sum(most(F.array_contains(m, f"ip4:{a}").cast("int")) for a in policy.addresses)
+        .alias("nodes_authorised"),
+        most(F.size(F.filter(m, lambda x: x.rlike(SPF_LOOKUP_MECHANISMS)))).alias("lookups"),
+        F.min(F.when(is_spf, ending)).alias("ending"),
     )
     bad = (
-        (F.col("records") != 1) | (F.col("nodes_authorised") < 2)
+        (F.col("records") != 1) | (F.col("nodes_authorised") < len(policy.addresses))
         | (F.col("lookups") > MAX_SPF_LOOKUPS)
     )
     status = F.when(bad, "error").when(

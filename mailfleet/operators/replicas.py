@@ -97,50 +97,34 @@ def table_counts(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
     return out
 
 
-def ordered_checksum(
-    df: DataFrame, group: Sequence[str], key: str, max_list: int = 100_000
-) -> DataFrame:
-    """MD5 of the ordered, comma-joined keys of each group, equal on converged replicas.
+def _key_sums(key: str) -> list[Column]:
+    """Sums of the four 32-bit parts of each key's MD5; a null key adds nothing."""
+    return [
+        F.coalesce(
+            F.sum(F.conv(F.substring(F.md5(F.col(key)), 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")),
+            F.lit(0),
+        )
+        for i in range(4)
+    ]
+
 
-    Joining a group's keys needs them in one place, so that is done only for groups of at most
-    ``max_list`` keys (form ``list``). A larger group is cut into leaves by a prefix of each
-    key's own MD5, long enough for its size; its checksum is the MD5 of the ordered leaf
-    checksums (form ``tree``). The prefix length depends on the group's count alone, so two
-    equal sets get equal checksums, and sets of unequal size differ by the count anyway.
+def ordered_checksum(df: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Count and checksum of the keys of each group, equal on converged replicas.
+
+    The checksum is the MD5 of the count and of four sums over the whole MD5 of every key. Sums
+    do not depend on order and are combined in the reading tasks, so a group of any size costs
+    one row per task, and the definition is the same at every size.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    # Hex digits needed for leaves of about a quarter of the limit: 16 ** digits * limit / 4 >= n.
-    digits = F.ceil(F.log(F.col("n") * 4.0 / max_list) / F.log(F.lit(16.0))).cast("int")
-    sizes = sizes.withColumn(
-        "__digits", F.when(F.col("n") <= max_list, 0).otherwise(F.greatest(digits, F.lit(1)))
-    )
-    on = None
-    renamed = sizes.select(*[F.col(g).alias(f"__g_{g}") for g in group], "n", "__digits")
-    for g in group:
-        part = F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-        on = part if on is None else on & part
-    rows = df.select(*group, F.col(key).alias("__key")).join(renamed, on)
-    leaf = F.substring(F.md5("__key"), F.lit(1), F.col("__digits"))
-    leaves = rows.groupBy(*group, "n", "__digits", leaf.alias("__leaf")).agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list("__key")), ",")).alias("__sum")
-    )
-    whole = leaves.groupBy(*group, "n", "__digits").agg(
-        F.array_sort(F.collect_list(F.struct("__leaf", "__sum"))).alias("__all")
-    )
-    sums = F.transform("__all", lambda x: x["__sum"])
-    checksum = F.when(F.col("__digits") == 0, F.element_at(sums, 1)).otherwise(
-        F.md5(F.array_join(sums, ","))
-    )
-    return whole.select(
-        *group, F.col("n").alias("keys"), checksum.alias("checksum"),
-        F.when(F.col("__digits") == 0, "list").otherwise("tree").alias("form"),
+    count = F.count(F.lit(1))
+    parts = [c.cast("string") for c in (count, *_key_sums(key))]
+    return df.groupBy(*group).agg(
+        count.alias("keys"), F.md5(F.concat_ws(":", *parts)).alias("checksum")
     )
 
 
 def set_checksum(df: DataFrame, key: str) -> DataFrame:
-    """Order-free checksum of a whole table: count and sum of 32-bit parts of each key's MD5."""
-    part = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("keys"), F.sum(part).alias("checksum"))
+    """The same for a whole table."""
+    return ordered_checksum(df, [], key)
 
 
 def parity_report(
@@ -197,19 +181,23 @@ def update_by_key(
     target: DataFrame, changes: DataFrame, key: str, values: Sequence[str], at: str,
     order: Sequence[str], modified: str = "modified",
 ) -> DataFrame:
-    """``target`` with the latest change of each key applied; unknown keys have no effect."""
-    latest = changes.groupBy(F.col(key).alias("__k")).agg(
+    """``target`` with the latest change of each key applied; unknown keys have no effect.
+
+    Keys are compared in lower case; a change to null is a change.
+    """
+    latest = changes.groupBy(F.lower(key).alias("__k")).agg(
         F.max_by(F.struct(*values, at), F.struct(*order)).alias("__c")
     )
-    rows = target.join(latest, F.col(key) == F.col("__k"), "left")
+    rows = target.join(latest, F.lower(key) == F.col("__k"), "left")
+    changed = F.col("__k").isNotNull()
     cells: list[Column] = []
     for c in target.columns:
         source = c if c in values else at if c == modified else None
         if source is None:
             cells.append(F.col(c))
         else:
-            cells.append(F.coalesce(F.col(f"__c.{source}").cast(target.schema[c].dataType), F.col(c))
-                         .alias(c))
+            new = F.col(f"__c.{source}").cast(target.schema[c].dataType)
+            cells.append(F.when(changed, new).otherwise(F.col(c)).alias(c))
     return rows.select(*cells)
 
 

@@ -35,6 +35,11 @@ from supplier s join customer a on a.c_custkey = s.s_suppkey join customer b on
 union all select concat('@d', cast(n_nationkey as string), '.example.com'), concat('postmaster@d', cast(n_nationkey as string), '.example.com'),
  concat('d', cast(n_nationkey as string), '.example.com'), 1 from nation where n_nationkey % 4 = 0
 
+-- view: fx_alias_loop
+select concat('loop', cast(s_suppkey as string), '@l.example.com') as address,
+ concat('loop', cast(s_suppkey - s_suppkey % 3 + (s_suppkey + 1) % 3 as string), '@l.example.com,loop', cast(s_suppkey % 5 as string), '@l.example.com,end', cast(s_suppkey % 7 as string), '@l.example.com') as goto_list
+from supplier
+
 -- view: fx_rcpt
 select o.o_orderkey as rcpt_id, case o.o_orderkey % 6
  when 0 then concat('u', cast(c.c_custkey as string), '@d', cast(c.c_nationkey as string), '.example.com')
@@ -136,7 +141,7 @@ select concat('d', cast(user_id % 25 as string), '.example.com') as domain, case
 
 -- view: fx_dnsbl
 select concat('203.0.113.', cast(user_id % 40 as string)) as ip, case event_type when 'error' then 'zen' when 'click' then 'spamcop' when 'view' then 'barracuda' else 'dnswl2' end as list_name
-from events where event_id % 37 = 0
+from events
 
 -- view: fx_vacation
 select concat('u', cast(c_custkey as string), '@d', cast(c_nationkey as string), '.example.com') as email, case when c_custkey % 15 = 0 then 0 else 1 end as active,
@@ -225,8 +230,9 @@ select doc_id, concat('u', cast(doc_id % 50 as string), '@d1.example.com') as us
  case doc_id % 11 when 0 then 'Junk' when 1 then 'Spam' when 2 then 'Sent' when 3 then 'Sent Items' when 4 then 'Sent Messages' when 5 then 'Trash' when 6 then 'Deleted Items' when 7 then 'Drafts' when 8 then 'Archive' else concat('Project', cast(doc_id % 3 as string)) end as folder from documents
 
 -- view: fx_password_change
-select concat('u', cast(o_custkey as string), '@d', cast(c_nationkey as string), '.example.com') as username, concat('hash', cast(o_orderkey as string)) as password, o_orderdate as changed, o_orderkey as seq
-from orders join customer on c_custkey = o_custkey where o_orderkey % 3 = 0
+select case when o_orderkey % 9 = 0 then upper(concat('u', cast(o_custkey as string), '@d', cast(c_nationkey as string), '.example.com')) else concat('u', cast(o_custkey as string), '@d', cast(c_nationkey as string), '.example.com') end as username,
+ case when o_orderkey % 7 = 0 then cast(null as string) else concat('hash', cast(o_orderkey as string)) end as password, o_orderdate as changed, o_orderkey as seq
+from orders join customer on c_custkey = o_custkey
 union all select concat('ghost', cast(o_orderkey as string), '@nowhere.org'), 'x', o_orderdate, o_orderkey from orders where o_orderkey % 10 = 1
 
 -- view: fx_vacation_msg
@@ -248,7 +254,7 @@ select event_id, ts, concat('u', cast(user_id as string)) as username, case when
 -- view: fx_smtp
 select o_orderkey as session_no, o_orderkey % 17 = 0 as in_networks, o_orderkey % 5 = 0 as sasl_ok, o_orderkey % 20 = 0 as login_mismatch, o_orderkey % 7 = 0 as helo_invalid, o_orderkey % 11 = 0 as helo_not_fqdn,
  o_orderkey % 13 = 0 as client_unknown, o_orderkey % 19 = 0 as sender_not_fqdn, o_orderkey % 23 = 0 as sender_domain_unknown, o_orderkey % 29 = 0 as rcpt_not_fqdn, o_orderkey % 31 = 0 as rcpt_domain_unknown, o_orderkey % 3 <> 0 as dest_local, o_orderkey % 37 = 0 as rcpt_unlisted,
- o_orderkey % 41 = 0 as spf_fail, o_orderkey % 43 = 0 as pipelining, case when o_orderkey % 5 = 0 and o_orderkey % 2 = 0 then 'submission' else 'smtp' end as service from orders
+ o_orderkey % 41 = 0 as spf_fail, o_orderkey % 43 = 0 as pipelining, case when o_orderkey % 5 = 0 and o_orderkey % 4 = 0 then 'smtps' when o_orderkey % 5 = 0 and o_orderkey % 2 = 0 then 'submission' when o_orderkey % 47 = 0 then 'lmtp' else 'smtp' end as service from orders
 
 -- view: fx_usage
 select d.doc_id, concat('u', cast(c.c_custkey as string), '@d', cast(c.c_nationkey as string), '.example.com') as username, d.n_chars as vsize, timestamp '2024-01-01 00:00:00' + interval '1' minute * cast(d.doc_id as int) as saved_at,

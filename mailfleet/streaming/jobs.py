@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailfleet.functions.scalars import epoch_s
 from mailfleet.operators.abuse import (
-    JAILS, RECIDIVE, ZONES, Jail, Zone, bucket_step, enabled, hold_off, not_ignored,
+    JAILS, RECIDIVE, Jail, enabled, hold_off, not_ignored,
 )
 from mailfleet.operators.messages import (
     EXPIRE_AFTER_S, WARN_AFTER_S, reply_once, vacation_candidates,
@@ -191,46 +191,6 @@ def marker_stream(
     )
 
 
-# -- limits ------------------------------------------------------------------------------------
-
-
-def limiter_stream(
-    requests: DataFrame, zones: Mapping[str, Zone] = ZONES, watermark: str = "1 minute"
-) -> DataFrame:
-    """Verdicts per (ip, zone, millisecond) as requests (ip, zone, ts) come in."""
-    table = dict(zones)
-    rows = requests.where(F.col("zone").isin(*table)).select(
-        "ip", "zone", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")
-    )
-
-    def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        zone = table[key[1]]
-        step, held = bucket_step(zone), {"excess": 0, "last": None}
-        if state.exists:
-            held["excess"], held["last"] = state.get
-        out, last = [], 0
-        for ms, n in _in_order(batches, "ms").itertuples(index=False, name=None):
-            last = int(ms)
-            out.append((*key, last, int(n), *step(held, last, int(n))))
-        state.update((held["excess"], held["last"]))
-        _keep_until(state, last // 1000 + (zone.burst + 1) * 1000 // zone.rate + 2)
-        yield pd.DataFrame(
-            out, columns=["ip", "zone", "ms", "requests", "accepted", "burst", "refused"]
-        )
-
-    return _ticks(rows, ["ip", "zone"], "ms", watermark, 1000).groupBy(
-        "ip", "zone"
-    ).applyInPandasWithState(
-        fold,
-        "ip string, zone string, ms bigint, requests bigint, accepted bigint, burst bigint, "
-        "refused bigint",
-        "excess bigint, last bigint", "append", TIMEOUT,
-    )
-
-
 # -- messages ----------------------------------------------------------------------------------
 
 

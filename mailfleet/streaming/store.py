@@ -53,13 +53,16 @@ def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
 
 def reconcile(a: DataFrame, b: DataFrame, state: DataFrame) -> DataFrame:
     """Full reconciliation: messages whose streamed state differs from the merge of both stores,
-    with what has to be put right. Repairs notifications that were lost."""
+    with what has to be put right. Repairs notifications that were lost; a state that neither
+    store holds is to be removed and has no wanted values."""
     merged = merge_stores(a, b).select(
         *KEY, F.struct("modseq", "flags", "folder", "expunged").alias("want")
     )
     held = state.select(*KEY, F.struct("modseq", "flags", "folder", "expunged").alias("have"))
-    rows = merged.join(held, list(KEY), "left")
-    repair = F.when(F.col("have").isNull(), "add").when(F.col("have") != F.col("want"), "update")
+    rows = merged.join(held, list(KEY), "full")
+    repair = F.when(F.col("have").isNull(), "add").when(F.col("want").isNull(), "remove").when(
+        F.col("have") != F.col("want"), "update"
+    )
     return rows.select(*KEY, repair.alias("repair"), "want.*").where("repair is not null")
 
 

@@ -57,33 +57,6 @@ def test_stock_jails(spark):
     assert [tuple(r) for r in A.ban_ledger(df).collect()] == [("smtp", "x", 240, 240 + 3600)]
 
 
-def test_bucket_golden():
-    """Six a minute with a burst of two: three pass at once, the fourth does not, one drains in
-    ten seconds."""
-    step, state = A.bucket_step(A.Zone(100, 2)), {"excess": 0, "last": None}
-    got = [step(state, ms, 1) for ms in (0, 0, 0, 0, 9_000, 10_000, 60_000)]
-    plain, burst, refused = (1, 0, 0), (0, 1, 0), (0, 0, 1)
-    assert got == [plain, burst, burst, refused, refused, burst, plain]
-    again, fresh = A.bucket_step(A.Zone(100, 2)), {"excess": 0, "last": None}
-    assert again(fresh, 0, 9) == (1, 2, 6)
-
-
-def test_leaky_bucket_counts_every_request(spark):
-    rng = random.Random(5)
-    rows = [("a" if i % 3 else "b", "admin_login", rng.randrange(400_000)) for i in range(600)]
-    df = spark.createDataFrame(rows, "ip string, zone string, ms bigint").withColumn(
-        "ts", F.timestamp_millis("ms")
-    )
-    got = {(r.ip, r.ms): (r.accepted, r.burst, r.refused) for r in A.leaky_bucket(df).collect()}
-    want = {}
-    for ip in "ab":
-        step, state = A.bucket_step(A.ZONES["admin_login"]), {"excess": 0, "last": None}
-        times = sorted(t for i, _, t in rows if i == ip)
-        for ms in sorted(set(times)):
-            want[(ip, ms)] = step(state, ms, times.count(ms))
-    assert got == want and sum(map(sum, got.values())) == len(rows)
-
-
 def test_requests_while_banned(spark):
     bans = spark.createDataFrame([("a", 100, 8000), ("a", 7000, 7300)], "ip string, start bigint, end bigint")
     req = spark.createDataFrame(

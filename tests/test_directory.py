@@ -89,21 +89,29 @@ def test_expand(spark, tables):
         "origin", "target", "kind", "depth").collect()}
     assert got == {
         ("info@a.org", "u1@a.org", "leaf", 1), ("info@a.org", "ext@z.org", "leaf", 1),
-        ("loop1@a.org", "loop1@a.org", "cycle", 2), ("loop1@a.org", "u2@a.org", "leaf", 2),
+        ("loop1@a.org", "loop1@a.org", "cycle", 2), ("loop1@a.org", "loop2@a.org", "cycle", 1), ("loop1@a.org", "u2@a.org", "leaf", 2),
         ("u1@a.org", "u1@a.org", "leaf", 0),
     }
 
 
-def test_expand_stops_at_depth(spark):
+def test_expand_has_no_depth_limit(spark):
     alias = spark.createDataFrame(
-        [(f"n{i}@a.org", f"n{i + 1}@a.org", 1) for i in range(9)],
+        [(f"n{i}@a.org", f"n{i + 1}@a.org", 1) for i in range(14)],
         "address string, goto string, active int",
     )
     start = spark.createDataFrame([("n0@a.org",)], "address string")
-    row = D.expand_aliases(start, alias, max_depth=3).first()
-    assert (row.target, row.kind, row.depth) == ("n3@a.org", "too_deep", 3)
-    row = D.expand_aliases(start, alias, max_depth=20).first()
-    assert (row.target, row.kind, row.depth) == ("n9@a.org", "leaf", 9)
+    row = D.expand_aliases(start, alias).first()
+    assert (row.target, row.kind, row.depth) == ("n14@a.org", "leaf", 14)
+
+
+def test_expand_lists_that_meet_and_loop(spark):
+    alias = spark.createDataFrame(
+        [("o@x", "a@x,b@x", 1), ("a@x", "x@x", 1), ("b@x", "x@x", 1), ("x@x", "b@x", 1)],
+        "address string, goto string, active int",
+    )
+    got = {(r.target, r.kind) for r in D.expand_aliases(
+        spark.createDataFrame([("o@x",)], "address string"), alias).collect()}
+    assert got == {("x@x", "cycle"), ("b@x", "cycle")}
 
 
 def test_spoofed_sender_is_refused(spark, tables):

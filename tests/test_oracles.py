@@ -6,11 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from mailfleet.catalog import ORACLES, QUERIES
 from mailfleet.sources.fixtures import TABLES, view_sql, with_views
 from tests.compare import oracle_rows, rows_of
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck(folder):
@@ -30,6 +29,7 @@ def test_query(name, spark, folder, duck):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):

@@ -90,14 +90,6 @@ def test_windows(spark, folder, live):
     assert rows_of(last_update(got, ["start", "node"])) == rows_of(H.watchdog_windows(samples))
 
 
-def test_limits(spark, folder, live):
-    requests = Views(spark, folder)("fx_login").select("ip", "zone", "ts")
-    got = run_available(jobs.limiter_stream(live("events")("fx_login").select("ip", "zone", "ts")), "limits")
-    batch = A.leaky_bucket(requests)
-    assert rows_of(got.drop("batch_id")) == rows_of(batch)
-    assert batch.agg(F.sum("refused")).first()[0] > 0
-
-
 def test_vacation(spark, folder, live):
     views = Views(spark, folder)
     vacation = conform(views("fx_vacation"), "vacation")
