@@ -13,7 +13,7 @@ from mailfleet.plans.session import shared_folder
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 from mailfleet.streaming import jobs, store
-from mailfleet.streaming.runs import StreamViews, last_update, run_available
+from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, run_available, run_closed
 
 
 def live(v: Views, *tables: str) -> StreamViews:
@@ -67,11 +67,10 @@ def _(v):
     return kept.select("node", "sample_id", "before", "state")
 
 
-# Rows of the last day may still wait for the watermark, so both sides stop before it.
 @query("str05_marker_stream", """
 with s as (select natural_key as marker, created + interval '1' second * cast(id % 41 as int) as ts from fx_log_b)
 select a.natural_key as marker, epoch_us(a.created) as sent_us, epoch_us(s.ts) as seen_us
-from fx_log_a a left join s on s.marker = a.natural_key and s.ts between a.created and a.created + interval '20' second where a.created < timestamp '2001-07-30 00:00:00'""")
+from fx_log_a a left join s on s.marker = a.natural_key and s.ts between a.created and a.created + interval '20' second""")
 def _(v):
     s = live(v, "orders")
     sent = s.sql("select natural_key as marker, created as ts from fx_log_a")
@@ -79,8 +78,9 @@ def _(v):
         "select natural_key as marker, created + interval '1' second * cast(id % 41 as int) as ts "
         "from fx_log_b"
     )
-    rows = run_available(jobs.marker_stream(sent, seen), "markers").drop("batch_id")
-    return rows.where(F.timestamp_micros("sent_us") < F.lit("2001-07-30").cast("timestamp"))
+    end = {"marker": "closing", "ts": CLOSING}
+    rows = run_closed(jobs.marker_stream, [sent, seen], [end, end], "markers")
+    return rows.where("marker <> 'closing'").drop("batch_id")
 
 
 @query("str07_message_state_stream", MERGED + "select username, guid, modseq, flags, folder, expunged from merged")
@@ -107,7 +107,7 @@ def _(v):
 
 
 @query("str09_delivery_stream", """
-with a as (select queue_id, cast(epoch(queued_at) as bigint) as q, delivered_after_h * 3600 as s, queued_at from fx_delivery where queued_at < timestamp '2001-07-01 00:00:00')
+with a as (select queue_id, cast(epoch(queued_at) as bigint) as q, delivered_after_h * 3600 as s, queued_at from fx_delivery)
 select queue_id, 'warned' as outcome, q + 14400 as second from a where s is null or s >= 14400 union all select queue_id, 'delivered', q + s from a where s < 259200
 union all select queue_id, 'bounced', q + 259200 from a where s is null or s >= 259200""")
 def _(v):
@@ -117,29 +117,33 @@ def _(v):
         "select queue_id, queued_at + interval '1' hour * delivered_after_h as ts "
         "from fx_delivery where delivered_after_h is not null"
     )
-    rows = run_available(jobs.delivery_stream(queued, done), "delivery")
-    early = v("fx_delivery").where("queued_at < timestamp '2001-07-01 00:00:00'")
-    return rows.drop("batch_id").join(early.select("queue_id"), "queue_id", "left_semi")
+    end = {"queue_id": -1, "ts": CLOSING}
+    rows = run_closed(jobs.delivery_stream, [queued, done], [end, end], "delivery")
+    return rows.where("queue_id >= 0").drop("batch_id")
 
 
-@query("str10_sessions_stream", SESSIONS + """
-where "end" < cast(epoch(timestamp '2024-01-29 00:00:00') as bigint)""")
+@query("str10_sessions_stream", SESSIONS)
 def _(v):
-    rows = run_available(jobs.sessions_stream(live(v, "events")("fx_session"), 14400), "sessions")
-    cut = F.unix_seconds(F.lit("2024-01-29").cast("timestamp"))
-    return rows.drop("batch_id").where(F.col("end") < cut)
+    end = {"event_id": -1, "ts": CLOSING, "username": "closing", "session_id": ""}
+    rows = run_closed(
+        lambda events: jobs.sessions_stream(events, 14400), [live(v, "events")("fx_session")],
+        [end], "sessions",
+    )
+    return rows.where("username <> 'closing'").drop("batch_id")
 
 
 @query("str11_node_traffic_stream", """
 with m as (select case when event_id % 2 = 0 then 'sg1' else 'us1' end as node, cast(floor(epoch(ts) / 60) as bigint) * 60 as minute from events),
 w as (select node, minute - 60 * unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) as start from m)
-select start, node, count(*) as requests from w where start < cast(epoch(timestamp '2024-01-30 00:00:00') as bigint) group by 1, 2""")
+select start, node, count(*) as requests from w group by 1, 2""")
 def _(v):
     access = live(v, "events").sql(
         "select ts, case when event_id % 2 = 0 then 'sg1' else 'us1' end as node from events"
     )
-    rows = run_available(jobs.node_traffic_stream(access), "traffic").drop("batch_id")
-    return rows.where(F.col("start") < F.unix_seconds(F.lit("2024-01-30").cast("timestamp")))
+    rows = run_closed(
+        jobs.node_traffic_stream, [access], [{"ts": CLOSING, "node": "closing"}], "traffic"
+    )
+    return rows.where("node <> 'closing'").drop("batch_id")
 
 
 @query("str12_vacation_stream", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Callable, Sequence
 
@@ -77,6 +78,34 @@ def run_available(
     return spark.read.schema(fields).option("basePath", out).parquet(f"{out}/{BATCH}=*")
 
 
+# Later than any deadline of any input.
+CLOSING = datetime.datetime(2200, 1, 1)
+
+
+def run_closed(
+    job: Callable[..., DataFrame], inputs: Sequence[DataFrame], closing: Sequence[dict], name: str
+) -> DataFrame:
+    """All rows of ``job(*inputs)``, also those that wait for time to pass.
+
+    After the inputs are worked off, each gets one closing row whose time lies past every
+    deadline (``closing``, by column), in a second run over the same progress folder. That moves
+    the watermark, so all state is written out. The caller filters what the closing rows cause.
+    """
+    spark = inputs[0].sparkSession
+    folders, united = [], []
+    for stream in inputs:
+        folders.append(shared_folder(spark, f"{name}-closing"))
+        spark.createDataFrame([], stream.schema).write.parquet(folders[-1])
+        united.append(stream.unionByName(spark.readStream.schema(stream.schema).parquet(folders[-1])))
+    rows = job(*united)
+    place = {"path": shared_folder(spark, name), "checkpoint": shared_folder(spark, f"{name}-progress")}
+    run_available(rows, name, **place)
+    for stream, folder, row in zip(inputs, folders, closing, strict=True):
+        cells = tuple(row.get(c) for c in stream.columns)
+        spark.createDataFrame([cells], stream.schema).write.mode("append").parquet(folder)
+    return run_available(rows, name, **place)
+
+
 def last_update(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Of rows written in update mode, the newest of each key."""
     rest = [c for c in rows.columns if c not in key and c != BATCH]
