@@ -24,19 +24,28 @@ def _fails(s: StreamViews):
     return s("fx_auth").where("outcome = 'fail'").select("jail", "ip", "ts")
 
 
+def _bans(v):
+    """All bans of the stream; a closing row of a source of its own makes every second final."""
+    jail = sorted(WIDE)[0]
+    end = {"jail": jail, "ip": "closing", "ts": CLOSING}
+    rows = run_closed(lambda f: jobs.ban_stream(f, WIDE), [_fails(live(v, "events"))], [end], "bans")
+    return rows.where("ip is distinct from 'closing'").drop("batch_id")
+
+
 @query("str01_ban_stream", LEDGER + "select jail, ip, start, \"end\" from ledger")
 def _(v):
-    return run_available(jobs.ban_stream(_fails(live(v, "events")), WIDE), "bans").drop("batch_id")
+    return _bans(v)
 
 
 @query("str02_recidive_stream", RECIDIVE_LEDGER)
 def _(v):
     path = shared_folder(v.spark, "bans")
-    bans = run_available(jobs.ban_stream(_fails(live(v, "events")), WIDE), "bans", path=path)
-    source = v.spark.readStream.schema(bans.schema).option("basePath", path).parquet(
-        f"{path}/batch_id=*"
-    )
-    return run_available(jobs.recidive_stream(source, DAILY), "recidive").drop("batch_id")
+    bans = _bans(v)
+    bans.write.parquet(path)
+    source = v.spark.readStream.schema(bans.schema).parquet(path)
+    end = {"jail": "recidive", "ip": "closing", "start": int(CLOSING.timestamp()), "end": 0}
+    rows = run_closed(lambda b: jobs.recidive_stream(b, DAILY), [source], [end], "recidive")
+    return rows.where("ip is distinct from 'closing'").drop("batch_id")
 
 
 @query("str03_watchdog_stream", """

@@ -32,7 +32,7 @@ def _ticks(df: DataFrame, keys: Sequence[str], tick: str, watermark: str, per_s:
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.groupby(names, as_index=False, sort=False)["n"].sum()
+            yield batch.groupby(names, as_index=False, sort=False, dropna=False)["n"].sum()
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     summed = df.select(*keys, tick, F.lit(1).cast("bigint").alias("n")).mapInPandas(
@@ -61,7 +61,12 @@ def ban_stream(
     fails: DataFrame, jails: Mapping[str, Jail] = JAILS, ignore: Sequence[str] = (),
     watermark: str = "5 minutes",
 ) -> DataFrame:
-    """Bans (jail, ip, start, end) as failures (jail, ip, ts) come in."""
+    """Bans (jail, ip, start, end) as failures (jail, ip, ts) come in.
+
+    Seconds wait in the state until the watermark has passed them, so the order in which rows
+    come does not matter within the watermark; an event-time timer wakes a key whose seconds have
+    become final.
+    """
     live = enabled(jails)
     params = {name: (j.maxretry, j.find_s, j.ban_s) for name, j in live.items()}
     rows = fails.where(F.col("jail").isin(*live))
@@ -70,24 +75,31 @@ def ban_stream(
     rows = rows.select("jail", "ip", epoch_s("ts").alias("second"))
 
     def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         maxretry, find_s, ban_s = params[key[0]]
         step = hold_off(maxretry, find_s, ban_s)
-        held = {"until": -(2**62), "recent": []}
+        held, waiting = {"until": -(2**62), "recent": []}, {}
         if state.exists:
-            until, seconds, counts = state.get
+            until, seconds, counts, ahead, ahead_counts = state.get
             held = {"until": until, "recent": list(zip(seconds, counts))}
-        out, last = [], 0
-        for second, n in _in_order(batches, "second").itertuples(index=False, name=None):
-            second, last = int(second), int(second)
-            if step(held, second, int(n)):
+            waiting = dict(zip(ahead, ahead_counts))
+        if not state.hasTimedOut:
+            for second, n in _in_order(batches, "second").itertuples(index=False, name=None):
+                waiting[int(second)] = waiting.get(int(second), 0) + int(n)
+        final = state.getCurrentWatermarkMs() // 1000
+        out = []
+        for second in sorted(s for s in waiting if s <= final):
+            if step(held, second, waiting.pop(second)):
                 out.append((*key, second, second + ban_s))
-        state.update((
-            held["until"], [s for s, _ in held["recent"]], [int(c) for _, c in held["recent"]]
-        ))
-        _keep_until(state, max(held["until"], last + find_s + 1))
+        recent = [(s, int(c)) for s, c in held["recent"]]
+        if waiting or held["until"] > final or any(s + find_s >= final for s, _ in recent):
+            state.update((
+                held["until"], [s for s, _ in recent], [c for _, c in recent],
+                list(waiting), list(waiting.values()),
+            ))
+            quiet = max([held["until"], *(s + find_s + 1 for s, _ in recent)])
+            _keep_until(state, min(waiting) if waiting else quiet)
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["jail", "ip", "start", "end"])
 
@@ -95,7 +107,8 @@ def ban_stream(
         "jail", "ip"
     ).applyInPandasWithState(
         fold, "jail string, ip string, start bigint, end bigint",
-        "until bigint, seconds array<bigint>, counts array<bigint>", "append", TIMEOUT,
+        "until bigint, seconds array<bigint>, counts array<bigint>, ahead array<bigint>, "
+        "ahead_counts array<bigint>", "append", TIMEOUT,
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import os
+import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from mailfleet.operators import messages as M
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 from mailfleet.streaming import jobs, store
-from mailfleet.streaming.runs import StreamViews, last_update, run_available
+from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, run_available, run_closed
 from tests.compare import rows_of
 
 ORDER = {"events": "ts", "orders": "o_orderdate", "documents": "doc_id"}
@@ -56,15 +59,40 @@ def test_bans(spark, folder, live):
     rule = {name: A.Jail(2, "3d", j.bantime) for name, j in WIDE.items()}
     batch = A.ban_ledger(fails(views), rule)
     source = live("events")("fx_auth").where("outcome = 'fail'").select("jail", "ip", "ts")
-    got = run_available(jobs.ban_stream(source, rule), "bans")
+    end = {"jail": sorted(rule)[0], "ip": "closing", "ts": CLOSING}
+    got = run_closed(lambda f: jobs.ban_stream(f, rule), [source], [end], "bans")
     assert got.select("batch_id").distinct().count() > 1
     assert rows_of(got.drop("batch_id")) == rows_of(batch) != []
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_bans_do_not_depend_on_the_order_of_arrival(spark, tmp_path, seed):
+    """Rows shuffled within the watermark, some without a source; and three rows that only look
+    like a run when the middle one comes last."""
+    rng = random.Random(seed)
+    rule = {"smtp": A.Jail(3, "60s", "200s")}
+    rows = [("x", 1100), ("x", 1101), ("x", 1000)]
+    rows += [(rng.choice(["y", "z", None]), rng.randrange(2000, 4000)) for _ in range(160)]
+    come = sorted(rows, key=lambda r: r[1] + (150 if r[1] == 1000 else rng.randrange(140)))
+    ddl = "jail string, ip string, ts timestamp"
+    frame = lambda part: spark.createDataFrame(
+        [("smtp", ip, datetime.datetime.fromtimestamp(t, datetime.UTC).replace(tzinfo=None)) for ip, t in part], ddl)
+    for i in range(0, len(come), 12):
+        put(pa.Table.from_batches(frame(come[i:i + 12]).toArrow().to_batches()), None, tmp_path / "in", f"p{i:04}", 1_700_000_000 + i)
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    end = {"jail": "smtp", "ip": "closing", "ts": CLOSING}
+    got = run_closed(lambda f: jobs.ban_stream(f, rule), [source], [end], "late")
+    want = rows_of(A.ban_ledger(frame(rows), rule))
+    assert rows_of(got.where("ip is distinct from 'closing'").drop("batch_id")) == want
+    assert any(r[1] is None for r in want) or any(None in r for r in want)
+
+
 def test_ignored_sources_are_not_banned(spark, live):
     rule = {name: A.Jail(1, "1d", "1h") for name in WIDE}
     source = live("events")("fx_auth").where("outcome = 'fail'").select("jail", "ip", "ts")
-    got = run_available(jobs.ban_stream(source, rule, ignore=["203.0.113.0/30"]), "ignored")
+    end = {"jail": sorted(rule)[0], "ip": "198.51.100.9", "ts": CLOSING}
+    got = run_closed(
+        lambda f: jobs.ban_stream(f, rule, ignore=["203.0.113.0/30"]), [source], [end], "ignored")
     assert not got.isEmpty()
     assert got.where(A.in_ranges("ip", ["203.0.113.0/30"])).isEmpty()
 
