@@ -8,7 +8,7 @@ from mailfleet.catalog.registry import AS_OF, as_of, directory, query
 from mailfleet.functions import scalars as S
 from mailfleet.operators import directory as D
 from mailfleet.plans.session import shared_folder
-from mailfleet.sources.schema import conform, load_mail_schema
+from mailfleet.sources.schema import KEYS, conform, load_mail_schema
 
 # Recipients with their parts, as every oracle here starts.
 R = """
@@ -36,6 +36,48 @@ def _(v):
     )
 
 
+# Every table of the schema: how its rows come about here, and its key.
+ALL_TABLES = {
+    "admin": ("select concat(' Admin', cast(s_suppkey as string), '@D1.example.com') as username, 1 as active from supplier", "username"),
+    "domain": ("select * from fx_domain", "domain"),
+    "domain_admins": ("select * from fx_grant", "username, domain"),
+    "alias": ("select address, goto_list as goto, active from fx_alias", "address"),
+    "alias_domain": ("select upper(alias_domain) as alias_domain, target_domain, active from fx_alias_domain", "alias_domain"),
+    "mailbox": ("select username, quota, active from fx_mailbox", "username"),
+    "log": ("select id, data, created as \"timestamp\" from fx_log_a", "id"),
+    "vacation": ("select * from fx_vacation", "email"),
+    "vacation_notification": ("select * from fx_notified", "on_vacation, notified"),
+    "quota": ("select username, folder as path, cast(sum(vsize) as bigint) as current from fx_usage group by username, folder", "username, path"),
+    "quota2": ("select username, cast(sum(vsize) as bigint) as bytes, cast(count(*) as int) as messages from fx_usage group by username", "username"),
+    "fetchmail": ("select cast(c_custkey as int) as id, 'pop' as src_auth, 1 as active from customer", "id"),
+    "tls_policy": ("select * from fx_tls", "domain"),
+    "config": ("select cast(p_partkey as int) as id, p_name as name from part", "id"),
+}
+
+
+def _counted(name: str) -> str:
+    sql, key = ALL_TABLES[name]
+    parts = [c if c == "path" else f"lower(trim(cast({c} as varchar)))" for c in key.split(", ")]
+    return (f"select '{name}' as \"table\", count(*) as rows, count(distinct ({' || chr(10) || '.join(parts)})) as keys, "
+            f"{len(parts)} as key_columns from ({sql})")
+
+
+@query("src01_load_all_tables", " union all ".join(_counted(name) for name in ALL_TABLES))
+def _(v):
+    path = shared_folder(v.spark, "schema")
+    for name, (sql, _key) in ALL_TABLES.items():
+        v.sql(sql.replace('"', "`")).write.parquet(f"{path}/{name}")
+    out = None
+    for name, df in load_mail_schema(v.spark, path).items():
+        key = KEYS[name]
+        one = df.agg(
+            F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
+            F.count_distinct(*key).alias("keys"), F.lit(len(key)).alias("key_columns"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("fil01_local_domains", R + "select rcpt_id, d as domain from r where d in (select domain from ld)")
 def _(v):
     keys = v("fx_rcpt").select("rcpt_id", S.addr_domain("rcpt").alias("domain"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -152,6 +153,33 @@ def in_ranges(ip: ColumnOrName, ranges: Sequence[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def ipv6_hex(c: ColumnOrName) -> Column:
+    """An IPv6 text as 32 hex digits, so that addresses compare as text; null for other text."""
+    text = F.lower(col(c))
+    halves = F.split(text, "::", 2)
+
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(part, ":"), lambda g: g != "")
+
+    left = groups(F.get(halves, F.lit(0)))
+    right = groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+    whole = F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0"))
+    good = text.rlike("^[0-9a-f:]*$") & F.when(F.size(halves) == 2, missing >= 0).otherwise(missing == 0)
+    return F.when(good & text.contains(":"), F.array_join(whole, ""))
+
+
+def in_ipv6_ranges(ip: ColumnOrName, ranges: Sequence[str]) -> Column:
+    """Whether an IPv6 text lies in one of the listed literal subnets or is a listed address."""
+    digits, hit = ipv6_hex(ip), F.lit(False)
+    for text in ranges:
+        network = ipaddress.IPv6Network(text, strict=False)
+        lo, hi = (f"{int(a):032x}" for a in (network.network_address, network.broadcast_address))
+        hit = hit | digits.between(lo, hi)
+    return F.coalesce(hit, F.lit(False))
+
+
 def is_private(c: ColumnOrName) -> Column:
     return in_ranges(c, PRIVATE_RANGES)
 

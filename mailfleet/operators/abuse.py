@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailfleet.functions.rules import first_match
-from mailfleet.functions.scalars import epoch_s, in_ranges, seconds_of
+from mailfleet.functions.scalars import epoch_s, in_ipv6_ranges, in_ranges, seconds_of
 from mailfleet.plans.fold import sequential
 from mailfleet.plans.scan import (
     balanced, per_second, running, segments, time_chunk, trailing_count,
@@ -82,11 +82,8 @@ def enabled(jails: Mapping[str, Jail]) -> dict[str, Jail]:
 def not_ignored(df: DataFrame, ignore: Sequence[str], ip: str = "ip") -> DataFrame:
     """Rows whose source is neither a listed host nor in a listed subnet."""
     ranges = [entry for entry in ignore if ":" not in entry]
-    hosts = [entry for entry in ignore if ":" in entry]
-    hit = in_ranges(ip, ranges)
-    if hosts:
-        hit = hit | F.col(ip).isin(*hosts)
-    return df.where(~hit)
+    ipv6 = [entry for entry in ignore if ":" in entry]
+    return df.where(~(in_ranges(ip, ranges) | in_ipv6_ranges(ip, ipv6)))
 
 
 def top_sources(fails: DataFrame, k: int, jail: str = "jail", ip: str = "ip") -> DataFrame:

@@ -65,14 +65,14 @@ select o_orderkey * 2 + case when o_custkey % 2 = 1 then 1 else 0 end + case whe
  case when o_custkey % 2 = 1 then 'A' else 'B' end as node, o_orderdate as ts from orders
 
 -- view: fx_msg
-select d.doc_id as guid, n.node, concat('u', cast(c.c_custkey as string), '@d', cast(c.c_nationkey as string), '.example.com') as username,
+select d.doc_id as guid, d.node, concat('u', cast(c.c_custkey as string), '@d', cast(c.c_nationkey as string), '.example.com') as username,
  case d.doc_id % 8 when 0 then 'Junk' when 1 then 'Trash' when 2 then 'Sent Items' when 3 then 'Sent' else 'INBOX' end as folder,
- d.n_chars as vsize, d.doc_id * 3 + case when n.node = 'B' and d.doc_id % 4 = 0 then 1 else 0 end as modseq,
- case when n.node = 'A' then (case when d.doc_id % 3 = 0 then 'S' else '' end) else (case when d.doc_id % 4 = 0 then 'SR' when d.doc_id % 3 = 0 then 'S' else '' end) end as flags,
- case when n.node = 'B' and d.doc_id % 20 = 3 then 1 else 0 end as expunged,
+ d.n_chars as vsize, d.doc_id * 3 + case when d.node = 'B' and d.doc_id % 4 = 0 then 1 else 0 end as modseq,
+ case when d.node = 'A' then (case when d.doc_id % 3 = 0 then 'S' else '' end) else (case when d.doc_id % 4 = 0 then 'SR' when d.doc_id % 3 = 0 then 'S' else '' end) end as flags,
+ case when d.node = 'B' and d.doc_id % 20 = 3 then 1 else 0 end as expunged,
  timestamp '2024-01-31 00:00:00' - interval '1' day * cast(d.doc_id % 90 as int) as saved_at
-from documents d join customer c on c.c_custkey = d.doc_id % 50 cross join (select 'A' as node union all select 'B') n
-where (n.node = 'A' and d.doc_id % 10 <> 7) or (n.node = 'B' and d.doc_id % 10 <> 6)
+from (select doc_id, n_chars, 'A' as node from documents union all select doc_id, n_chars, 'B' as node from documents) d join customer c on c.c_custkey = d.doc_id % 50
+where (d.node = 'A' and d.doc_id % 10 <> 7) or (d.node = 'B' and d.doc_id % 10 <> 6)
 
 -- view: fx_move
 select doc_id as guid, doc_id % 50 as user_no, case when doc_id % 3 = 0 then 'Junk' else 'INBOX' end as from_folder,

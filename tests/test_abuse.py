@@ -128,3 +128,10 @@ def test_odd_access_lines(spark):
     assert (first.rt, first.node, first.agent) == (1.25, "us1", "Agent (a; b)")
     assert first.ts.hour == 20
     assert got[1].ip is None and got[2].ip is None and got[3].status == 400
+
+
+def test_ipv6_subnets_are_ignored(spark):
+    ips = ["2001:db8::1", "2001:DB8:0:0:ffff::", "2001:db9::1", "::1", "0:0:0:0:0:0:0:1", "::2", "fe80::1:2", "1.2.3.4", "a:b", None, "x"]
+    df = spark.createDataFrame([(ip,) for ip in ips], "ip string")
+    ignore = ["2001:db8::/32", "::1", "fe80::/10", "1.2.3.0/24"]
+    assert [r.ip for r in A.not_ignored(df, ignore).collect()] == ["2001:db9::1", "::2", "a:b", None, "x"]
