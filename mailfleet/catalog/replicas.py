@@ -73,11 +73,12 @@ def _(v):
 select 'log' as "table", 'A' as node, count(*) as rows from fx_log_a union all select 'log', 'B', count(*) from fx_log_b
 union all select 'mailbox', 'A', count(*) from fx_mailbox union all select 'message', node, count(*) from fx_msg group by node""")
 def _(v):
-    msg = v("fx_msg")
+    def on(view: str, node: str):
+        return v(view).select(F.lit(node).alias("node"))
+
     return R.table_counts({
-        ("log", "A"): v("fx_log_a"), ("log", "B"): v("fx_log_b"),
-        ("mailbox", "A"): v("fx_mailbox"), ("message", "A"): msg.where("node = 'A'"),
-        ("message", "B"): msg.where("node = 'B'"),
+        "log": on("fx_log_a", "A").union(on("fx_log_b", "B")), "mailbox": on("fx_mailbox", "A"),
+        "message": v("fx_msg"),
     })
 
 

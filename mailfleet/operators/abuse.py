@@ -204,15 +204,25 @@ def requests_while_banned(
 ) -> DataFrame:
     """Requests whose source is banned at that time: ``start <= ts < end``.
 
-    Bans are cut into hours and matched by (source, hour), so a busy source is spread over its
-    hours; a request counts once however many bans cover it.
+    Bans are cut into hours, and those of an hour are merged to intervals that do not meet, so a
+    request is tried against few of them. Matching by (source, hour) spreads a busy source over
+    its hours; an hour has at most one ban start per second after the first grouping.
     """
     hours = F.sequence(
         F.floor(F.col("start") / slice_s), F.floor((F.col("end") - 1) / slice_s)
     )
-    held = bans.select(
+    pieces = bans.select(
         F.col("ip").alias("__ip"), "start", "end", F.explode(hours).alias("__hour")
-    )
+    ).select(
+        "__ip", "__hour", F.greatest("start", F.col("__hour") * slice_s).alias("start"),
+        F.least("end", (F.col("__hour") + 1) * slice_s).alias("end"),
+    ).groupBy("__ip", "__hour", "start").agg(F.max("end").alias("end"))
+    w = Window.partitionBy("__ip", "__hour").orderBy("start")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before >= F.col("start"), 0).otherwise(1)
+    held = pieces.withColumn("__opens", opens).withColumn(
+        "__island", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ).groupBy("__ip", "__hour", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     at = epoch_s(ts)
     cond = (
         (F.col("ip") == F.col("__ip")) & (F.floor(at / slice_s) == F.col("__hour"))

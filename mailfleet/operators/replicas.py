@@ -83,18 +83,14 @@ def marker_lag(
     return rows.select(key, lag.alias("lag_ms"), state.alias("state"))
 
 
-def table_counts(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
-    """Row counts; the mapping is keyed by (table, node)."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(table).alias("table"), F.lit(node).alias("node"), "rows"
-        )
-        for (table, node), df in tables.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Row counts per table and node (column ``node``), in one grouping over all tables; a node
+    without rows of a table has no row."""
+    out = None
+    for table, df in tables.items():
+        rows = df.select(F.lit(table).alias("table"), "node")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("table", "node").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _key_sums(key: str) -> list[Column]:

@@ -45,7 +45,7 @@ def local_session(cores: str = "8", name: str = "mailfleet", **extra: str) -> Sp
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the checkpoint folder the cluster names.
+    """A fresh folder below the checkpoint folder the cluster names; it goes when Spark ends.
 
     Without that setting a temporary folder is used, on a local master only: on a cluster other
     machines could not read it.
@@ -56,7 +56,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="mailfleet-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def checkpointed(df: DataFrame, purpose: str = "cut") -> DataFrame:
