@@ -85,24 +85,18 @@ def port_findings(scan: DataFrame) -> DataFrame:
 
 
 def sample_checks(samples: DataFrame) -> DataFrame:
-    """Check rows (node, sample, check, status) of the health samples, several rule packs."""
-    def pack(check: str, status: Column) -> DataFrame:
-        return samples.select("node", "sample_id", F.lit(check).alias("check"), status.alias("status"))
-
+    """Check rows (node, sample, check, status) of the health samples, several rule packs; a
+    sample is read once and its checks are taken from its columns."""
     lag = F.when(F.col("lag_s") > MAX_LAG_S, "error").otherwise("ok")
     errno = F.when(F.col("errno") != 0, "error").otherwise("ok")
-    return all_checks(
-        pack("queue", band("queued", *QUEUE_BAND)), pack("disk", band("disk_pct", *DISK_BAND)),
-        pack("lag", lag), pack("errno", errno),
-    )
-
-
-def all_checks(*packs: DataFrame) -> DataFrame:
-    """Checks of all rule packs under one another."""
-    out = packs[0]
-    for pack in packs[1:]:
-        out = out.unionByName(pack, allowMissingColumns=True)
-    return out
+    packs = {
+        "queue": band("queued", *QUEUE_BAND), "disk": band("disk_pct", *DISK_BAND),
+        "lag": lag, "errno": errno,
+    }
+    checks = F.array(*[
+        F.struct(F.lit(name).alias("check"), status.alias("status")) for name, status in packs.items()
+    ])
+    return samples.select("node", "sample_id", F.inline(checks))
 
 
 def health_rollup(checks: DataFrame, by: Sequence[str] = ("node",)) -> DataFrame:
