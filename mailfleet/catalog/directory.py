@@ -363,6 +363,30 @@ def _(v):
     return D.address_rules(t)
 
 
+_OCTETS = " || '.' || ".join(f"cast(({{0}} >> {n}) & 255 as varchar)" for n in (24, 16, 8, 0))
+
+
+@query("scalar_networks", f"""
+with c as (select c_custkey as k, 167772160 + c_custkey * 37 as n, cast(pow(2, 32 - (20 + c_custkey % 13)) as bigint) as size from customer),
+r as (select *, n - n % size as lo, n - n % size + size - 1 as hi from c)
+select k, {_OCTETS.format("lo")} as first_ip, {_OCTETS.format("hi")} as last_ip,
+ array_to_string(range(k % 3 + 2, k % 7 + 2), ',') as missing, '{{"network":"' || {_OCTETS.format("n")} || '/' || cast(20 + k % 13 as varchar) || '","size":' || cast(size as varchar) || '}}' as report from r""")
+def _(v):
+    k = F.col("c_custkey")
+    bits = F.lit(20) + k % 13
+    cidr = F.concat_ws("/", S.long_to_ip(F.lit(167772160) + k * 37), bits.cast("string"))
+    rows = v("customer").select(k.alias("k"), cidr.alias("network")).withColumn(
+        "bounds", S.cidr_range("network")
+    )
+    lo, hi = F.col("bounds.lo"), F.col("bounds.hi")
+    want, have = (F.sequence(F.lit(1), (F.col("k") % n + 1).cast("int")) for n in (7, 3))
+    return rows.select(
+        "k", S.long_to_ip(lo).alias("first_ip"), S.long_to_ip(hi).alias("last_ip"),
+        F.array_join(S.list_diff(want, have).cast("array<string>"), ",").alias("missing"),
+        S.report_json(network="network", size=hi - lo + 1).alias("report"),
+    )
+
+
 @query("scalar_suite", """
 select rcpt_id, lower(trim(rcpt)) as addr, split_part(split_part(lower(rcpt), '@', 1), '+', 1) as local,
  case when contains(split_part(lower(rcpt), '@', 1), '+') then split_part(split_part(lower(rcpt), '@', 1), '+', 2) end as detail, split_part(lower(rcpt), '@', 2) as domain,
