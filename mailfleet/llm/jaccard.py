@@ -12,7 +12,8 @@ that consist almost entirely of frequent tokens have such keys. No key, candidat
 
 Candidates of a key are first verified against one member of it. Verified links are contracted to
 components; keys whose members are all in one component are done, keys with the same members count once,
-and of the rest every pair from different components is verified. Documents that have many near copies
+and of the rest every pair from different components is verified, if the places of the key leave enough
+tokens behind it in both (a pair's first shared key does). Documents that have many near copies
 are thereby joined by a star, not by all pairs. Every verification compares whole token sets.
 """
 
@@ -156,7 +157,7 @@ def _is_frequent(h: np.ndarray, seen: Filter) -> np.ndarray:
 
 
 def _keys(size: int, percent: int, sent, chunk: int = 100_000):
-    """Index keys of each document, and in one row its first p tokens; combinations in rows of about ``chunk``."""
+    """Index keys of each document with the place of their first token, and in one row its first p tokens; combinations in rows of about ``chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,19 +176,23 @@ def _keys(size: int, percent: int, sent, chunk: int = 100_000):
                 np.cumsum(np.bincount(text[alone], minlength=texts), out=rare[1:])
                 first = np.zeros(texts + 1, np.int64)
                 np.cumsum(np.bincount(text[within], minlength=texts), out=first[1:])
-                yield _rows(part, signature, np.arange(texts), _lists(h[alone], rare), _lists(h[within], first))
+                yield _rows(part, signature, np.arange(texts), _lists(h[alone], rare), _lists(place[alone], rare),
+                            _lists(h[within], first))
                 # Combinations: only where a frequent token is among the first p.
                 for i in np.unique(text[within & frequent]).tolist():
                     tokens = h[begin[i]:begin[i] + min(n[i], prefix[i] + 1)]
-                    tokens = tokens[frequent[begin[i]:begin[i] + len(tokens)]]
+                    own = np.flatnonzero(frequent[begin[i]:begin[i] + len(tokens)])
+                    tokens = tokens[own]
                     held: list[np.ndarray] = []
+                    places: list[np.ndarray] = []
                     for j in range(len(tokens) - 1):
                         held.append(W.mix(tokens[j:j + 1] * np.uint64(0x9E3779B97F4A7C15) + tokens[j + 1:]))
+                        places.append(np.full(len(held[-1]), own[j], np.int64))
                         if sum(map(len, held)) >= chunk or j == len(tokens) - 2:
-                            keys = np.concatenate(held)
-                            yield _rows(part, signature, np.array([i]), _lists(keys, np.array([0, len(keys)])),
-                                        pa.nulls(1, pa.list_(pa.int64())))
-                            held = []
+                            keys, bounds = np.concatenate(held), np.array([0, sum(map(len, held))])
+                            yield _rows(part, signature, np.array([i]), _lists(keys, bounds),
+                                        _lists(np.concatenate(places), bounds), pa.nulls(1, pa.list_(pa.int64())))
+                            held, places = [], []
 
     return run
 
@@ -196,11 +201,11 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _rows(part: pa.RecordBatch, signature: list[pa.Array], which: np.ndarray, keys: pa.Array, prefix: pa.Array) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, signature: list[pa.Array], which: np.ndarray, *lists: pa.Array) -> pa.RecordBatch:
     which = pa.array(which)
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id").take(which), *(s.take(which) for s in signature), keys, prefix],
-        names=["doc_id", *_SET, "_keys", "_prefix"])
+        [part.column("doc_id").take(which), *(s.take(which) for s in signature), *lists],
+        names=["doc_id", *_SET, "_keys", "_at", "_prefix"])
 
 
 def _sets(size: int, sent):
@@ -248,19 +253,28 @@ class _Join:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def index(self) -> DataFrame:
-        """``key, node, n, pivot`` of each key that several classes have; sets ``self.prefixes``."""
+        """``key, node, n, at, pivot, pivot_n, pivot_at`` of each key that several classes have; sets
+        ``self.prefixes``. ``at`` is the place of the key's (first) token among the node's."""
         spark = self.texts.sparkSession
         total = self.rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         seen = frequent_tokens(self.texts, total, self.size, self.frequent, self.bits)
         sent = spark.sparkContext.broadcast(seen)
         keyed = written(self.one_per_class(self.texts.mapInArrow(
-            _keys(self.size, self.percent, sent), f"{self.fields}, _keys array<bigint>, _prefix array<bigint>")), "keys")
+            _keys(self.size, self.percent, sent), f"{self.fields}, _keys array<bigint>, _at array<bigint>, _prefix array<bigint>")), "keys")
         self.prefixes = keyed.where("_prefix is not null").select(F.col("doc_id").alias("node"), "_s1", "_n", "_prefix")
-        entries = keyed.select(F.explode("_keys").alias("key"), F.col("doc_id").alias("node"), F.col("_n").alias("n"))
-        shared = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where(
-            "pivot <> _last").drop("_last")
+        entries = keyed.select(
+            F.explode(F.arrays_zip("_keys", "_at")).alias("k"), F.col("doc_id").alias("node"), F.col("_n").alias("n")).select(
+            F.col("k._keys").alias("key"), "node", "n", F.col("k._at").alias("at"))
+        shared = entries.groupBy("key").agg(
+            F.min("node").alias("pivot"), F.max("node").alias("_last"), F.min_by("n", "node").alias("pivot_n"),
+            F.min_by("at", "node").alias("pivot_at")).where("pivot <> _last").drop("_last")
         return written(entries.join(shared, "key"), "index")
 
+    def reaches(self, n: str, at: str, other: str):
+        """Whether enough tokens follow a pair's first shared one, which stands at place ``at`` of ``n``."""
+        total = F.col(n) + F.col(other)
+        return (100 + self.percent) * (F.col(n) - F.col(at)) >= self.percent * total
+
     def joined(self, pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         """``a, b`` with ``_x`` and ``_y``: what ``sets`` (``node`` and more) has of either."""
         left = sets.select(F.col("node").alias("_a"), F.col("_n").alias("_nx"), F.col("_s1").alias("_sx"), F.col(column).alias("_x"))
@@ -289,22 +303,26 @@ class _Join:
     def links(self) -> DataFrame:
         """Links that connect whatever is connected; ``a, b`` are classes' documents."""
         index = self.index()
-        star = written(index.where("node <> pivot").select(
+        star = written(index.where(
+            (F.col("node") != F.col("pivot")) & self.compatible("n", "pivot_n")
+            & self.reaches("n", "at", "pivot_n") & self.reaches("pivot_n", "pivot_at", "n")).select(
             F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         first = self.verified(star)
         groups = components(first)
-        placed = written(index.drop("pivot").join(groups, "node", "left").withColumn(
+        placed = written(index.drop("pivot", "pivot_n", "pivot_at").join(groups, "node", "left").withColumn(
             "component", F.coalesce("component", "node")), "placed")
         member = F.xxhash64("node")
         unsettled = placed.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"),
-            F.bit_xor(member).alias("h1"), F.sum(F.shiftright(member, 24)).alias("h2")).where("x <> y")
-        chosen = unsettled.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+            F.bit_xor(member).alias("h1"), F.sum(F.shiftright(member, 24)).alias("h2"), F.sum("at").alias("at")).where("x <> y")
+        # Of keys with the same members the first in the order of tokens: it may be a pair's first shared one.
+        chosen = unsettled.groupBy("m", "h1", "h2").agg(F.min(F.struct("at", "key")).alias("k")).select("k.key")
         rest = written(placed.join(chosen, "key", "left_semi"), "unsettled")
-        a = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
-        b = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
+        a = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+        b = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
         pairs = a.join(b, "key").where(
-            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.compatible("na", "nb")).select("a", "b").distinct()
+            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.compatible("na", "nb")
+            & self.reaches("na", "pa", "nb") & self.reaches("nb", "pb", "na")).select("a", "b").distinct()
         pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
         return first.union(self.verified(pairs))
 
