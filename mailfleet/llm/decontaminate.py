@@ -15,6 +15,7 @@ grows with the number of items or documents but the joins, whose hot keys are sp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mailfleet.llm import words as W
 from mailfleet.llm.bloom import filter_of
-from mailfleet.llm.shared import written
+from mailfleet.llm.shared import without_rows, written
 
 WINDOW, EQUAL, LEAST = 13, 11, 5
 #: One mask of five words in eight is enough: no two changed words of thirteen spoil all its places.
@@ -71,7 +72,7 @@ def _seeds(short: list[int]):
 
 
 def _places(short: list[int], sent):
-    """Rows of documents to those with a possible hit: id, words, and their places and hashes."""
+    """Rows of documents to those with a possible hit: id, digest of the text, words, and their places and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = _masks(short)
@@ -93,12 +94,14 @@ def _places(short: list[int], sent):
                 if not len(chosen):
                     continue
                 bounds = np.r_[np.searchsorted(text, chosen), len(text)].astype(np.int32)
+                raw = part.column("_text").take(pa.array(chosen)).cast(pa.large_binary())
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(pa.array(chosen)),
+                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw], pa.string()),
                     pa.array([found.hash[begin[i]:begin[i] + length[i]].tobytes() for i in chosen.tolist()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(place - begin[text], pa.int32())),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64))),
-                ], names=["doc_id", "_words", "_at", "_seed"])
+                ], names=["doc_id", "_sha", "_words", "_at", "_seed"])
 
     return run
 
@@ -134,9 +137,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = pa.array([r is not None for r in rows], pa.bool_())
         rows = [r for r in rows if r]
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").filter(keep), batch.column("item_id").filter(keep),
+            batch.column("doc_id").filter(keep), batch.column("_sha").filter(keep), batch.column("item_id").filter(keep),
             *(pa.array([r[j] for r in rows], pa.int64()) for j in range(3))],
-            names=["doc_id", "item_id", "first_word", "end_word", "equal_words"])
+            names=["doc_id", "_sha", "item_id", "first_word", "end_word", "equal_words"])
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,16 +153,11 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["item_id", "_item"])
 
 
-def overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", *, filter_bits: int = 24,
+def _hits(
+    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, filter_bits: int,
 ) -> DataFrame:
-    """``doc_id, item_id, first_word, end_word, equal_words``: the longest overlap of each pair.
-
-    Words are compared without regard to A-Z capitals, in whole texts. Null and empty texts overlap
-    nothing. Rows without an id are compared as well and have a null id in the result; rows that repeat
-    an id count as one document here. Other columns are ignored, whatever their names.
-    """
+    """``doc_id, _sha, item_id, first_word, end_word, equal_words``: the longest overlap of each shift of each row;
+    ``_sha`` is the digest of the row's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text"))
     item_type = items.schema["item_id"].dataType.simpleString()
@@ -171,25 +169,43 @@ def overlaps(
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     found = written(source.mapInArrow(
-        _places(short, sent), f"doc_id {id_type}, _words binary, _at array<int>, _seed array<bigint>"), "places")
-    # A row is known by its words: equal rows hit alike.
-    found = found.withColumn("_row", F.sha2(F.concat(F.col("_words"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary")), 256))
+        _places(short, sent), f"doc_id {id_type}, _sha string, _words binary, _at array<int>, _seed array<bigint>"), "places")
+    # A row is known by its id and text: equal rows hit alike.
+    own = F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-"))
+    found = found.withColumn("_row", F.sha2(F.concat("_sha", own), 256))
     hits = found.select("_row", F.explode(F.arrays_zip("_at", "_seed")).alias("_hit")).select(
         "_row", F.col("_hit._at").alias("_at"), F.col("_hit._seed").alias("seed"))
     shifts = hits.join(seeds, "seed").select("_row", "item_id", (F.col("_at") - F.col("at")).alias("_shift")).distinct()
-    texts = found.select("_row", "doc_id", "_words").groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("_words").alias("_words"))
+    texts = found.select("_row", "doc_id", "_sha", "_words").groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("_sha").alias("_sha"), F.first("_words").alias("_words"))
     pairs = shifts.join(texts, "_row").join(stored, shifts["item_id"].eqNullSafe(stored["item_id"])).select(
-        "doc_id", stored["item_id"], "_words", "_item", "_shift")
-    verified = pairs.mapInArrow(
-        _verified, f"doc_id {id_type}, item_id {item_type}, first_word bigint, end_word bigint, equal_words bigint")
+        "doc_id", "_sha", stored["item_id"], "_words", "_item", "_shift")
+    return pairs.mapInArrow(
+        _verified, f"doc_id {id_type}, _sha string, item_id {item_type}, first_word bigint, end_word bigint, equal_words bigint")
+
+
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", *, filter_bits: int = 24,
+) -> DataFrame:
+    """``doc_id, item_id, first_word, end_word, equal_words``: the longest overlap of each pair.
+
+    Words are compared without regard to A-Z capitals, in whole texts. Null and empty texts overlap
+    nothing. Rows without an id are compared as well and have a null id in the result; rows that repeat
+    an id count as one document here. Other columns are ignored, whatever their names.
+    """
+    verified = _hits(docs, benchmark, id_col, text_col, item_col, item_text_col, filter_bits)
     longest = F.struct("equal_words", (-F.col("first_word")).alias("a"), (-F.col("end_word")).alias("b"))
     return verified.groupBy("doc_id", "item_id").agg(F.max(longest).alias("m")).select(
         "doc_id", "item_id", (-F.col("m.a")).alias("first_word"), (-F.col("m.b")).alias("end_word"),
         F.col("m.equal_words").alias("equal_words"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id overlaps no item, all columns unchanged."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_gone"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, filter_bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose own text overlaps no item, all columns unchanged.
+
+    A row goes by its id and its text together: rows that share an id, or have none, are decided each.
+    """
+    gone = _hits(docs, benchmark, "doc_id", "text", "item_id", "text", filter_bits).select(
+        F.col("doc_id").alias("_gone"), F.col("_sha").alias("_gone_sha")).distinct()
+    return without_rows(docs, "doc_id", F.sha2("text", 256), gone)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailfleet.llm.shared import some_of, written
+from mailfleet.llm.shared import some_of, without_rows, written
 
 PREFIX_CHARS = 256
 
@@ -62,6 +62,11 @@ def exact_groups(
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no row with a smaller id has, all columns unchanged."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs`` that ``exact_groups`` keeps, all columns unchanged.
+
+    A row goes by its id and its text together: what goes for one text of an id (null is one) does
+    not take other texts of that id along.
+    """
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    return without_rows(docs, id_col, F.sha2(normalised(F.col(text_col)), 256), gone)

@@ -35,6 +35,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without_rows(docs: DataFrame, id_col: str, digest: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and digest are in no row of ``gone`` (``_gone, _gone_sha``); null ids are equal.
+
+    The digest stands beside the whole row, so no column of ``docs`` can clash with it.
+    """
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), digest.alias("_sha"))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    return rows.join(gone, same, "left_anti").select("_doc.*")
+
+
 def some_of(keys: DataFrame, key: Column, rows: DataFrame, row_key: Column, bits: int = 1 << 20) -> DataFrame:
     """``rows`` with a boolean ``candidate``: false only where the key is not among ``keys``.
 

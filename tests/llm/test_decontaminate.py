@@ -80,6 +80,15 @@ def test_nothing_to_find(spark, docs, items):
     assert D.decontaminated(docs_of(spark, docs), items_of(spark, items)).count() == len(docs)
 
 
+def test_documents_go_by_row(spark):
+    item = " ".join(WORDS[:14])
+    rows = [(None, "x " + item), (None, "clean"), (None, None), (1, item), (1, "clean too"), (2, item + " y"), (3, "")]
+    kept = D.decontaminated(docs_of(spark, rows), items_of(spark, [(1, item, 1, "a")])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(
+        [(None, "clean"), (None, None), (1, "clean too"), (3, "")], key=repr)
+    assert len(kept[0]) == len(docs_of(spark, rows).columns)
+
+
 def test_documents(spark, folder):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]

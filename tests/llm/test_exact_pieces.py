@@ -54,6 +54,15 @@ def test_kept_rows_keep_their_columns(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 3, 6, 8, 9, 11, 12, 13, 13]
 
 
+def test_copies_go_by_row(spark):
+    rows = [(1, "a"), (2, "a "), (2, "b"), (None, "a"), (None, "own"), (None, None), (3, "c")]
+    kept = without_copies(docs_of(spark, rows)).collect()
+    want = [(1, "a"), (2, "b"), (None, "own"), (None, None), (3, "c"), (2, "a ")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
+    kept = without_copies(docs_of(spark, [(1, "a"), (2, "a"), (2, "b"), (None, "a"), (None, "own"), (4, None), (None, "")])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, "a"), (2, "b"), (None, "own"), (4, None)], key=repr)
+
+
 def test_empty_tables(spark):
     assert exact_groups(docs_of(spark, [])).count() == 0
     assert token_counts(docs_of(spark, []), tokenizer("piece_bpe_32k.model")).count() == 0
