@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,11 @@ from mailfleet.llm.decontaminate import overlaps
 from mailfleet.llm.exact import exact_groups
 from mailfleet.llm.jaccard import similar_groups
 from mailfleet.llm.labelled import fold_of
+from mailfleet.llm.license import PHRASES, TEMPLATES, license_labels
 from mailfleet.llm.pieces import token_counts
+from mailfleet.llm.trie import conversation_trie
 from mailfleet.llm.urls import Rule, judged as judged_urls
+from mailfleet.llm.whiten import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +184,72 @@ select doc_id, len(s) as n_shingles, least(doc_id, coalesce((select min(b) from
 from s""")
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "documents"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def _sql_words(text: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in re.findall("[a-z0-9]+", text.lower())) + "]"
+
+
+@query(r"""
+with phrase(label, p) as (values """ + ", ".join(f"('{label}', {_sql_words(text)})" for label, text in PHRASES) + r"""),
+template(label, p) as (values """ + ", ".join(f"('{label}', {_sql_words(text)})" for label, text in TEMPLATES) + r"""),
+held as (select row_number() over () as t, label, len(p) as width, list_distinct(p) as own, len(list_distinct(p)) as size,
+  cast(ceil(4 * len(list_distinct(p)) / 5) as bigint) as least from template),
+token as (select t, label, width, size, least, unnest(own) as word from held),
+w as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as x from documents),
+u as (select rid, unnest(x) as word, generate_subscripts(x, 1) - 1 as pos from w),
+base as (select u.rid, label, pos from u join phrase on word = p[1] join w on w.rid = u.rid where x[pos + 1 : pos + len(p)] = p),
+o as (select rid, t, label, width, size, least, pos,
+    coalesce(lag(pos) over (partition by rid, t, word order by pos), -1) as prev from u join token using (word)),
+ev as (select rid, t, label, size, least, greatest(prev + 1, pos - width + 1, 0) as spot, 1 as step from o
+  union all select rid, t, label, size, least, pos + 1, -1 from o),
+sums as (select rid, t, label, size, least, spot, sum(step) as step from ev group by all),
+level as (select *, sum(step) over (partition by rid, t order by spot) as common from sums),
+run as (select *, lag(common) over (partition by rid, t order by spot) as before from level),
+hit as (select rid, label, max(common / size) as containment, count(*) filter (coalesce(before, 0) < least) as n from run where common >= least group by rid, t, label),
+b as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by rid),
+h as (select rid, sum(n) as n_blocks, max(containment) as c from hit group by rid),
+l as (select rid, string_agg(distinct label, ',' order by label) as labels from (select rid, label from base union select rid, label from hit) group by rid)
+select doc_id, len(x) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+  coalesce(labels, '') as labels, cast(coalesce(n_blocks, 0) as bigint) as n_blocks, case when n_base > 0 then 1.0 else coalesce(c, 0) end as score
+from w left join b using (rid) left join h using (rid) left join l using (rid)""")
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_labels(table(spark, folder, "documents"))
+
+
+@query(r"""
+with ids as (
+  select distinct conv_id as c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id as varchar), ''), lambda s: cast(ascii(s) as bigint))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda q, i: xor(q >> 1, 3988292384 * (q & 1))))) % 9 as h
+  from conversations where conv_id is not null),
+o as (
+  select conv_id as c, k, bytes, row_number() over (partition by conv_id order by turn nulls first, k) as pos from (
+    select *, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, strlen(coalesce(text, '')) as bytes
+    from conversations where conv_id is not null)),
+src as (
+  select ids.c, 0 as own, pos, k, bytes from ids join o on o.c = ids.c - ids.c % 5 and pos <= h
+  union all select ids.c, 1, pos, k, bytes from ids join o on o.c = ids.c and pos > h),
+r as (select c, k, bytes, row_number() over (partition by c order by own, pos) as depth from src),
+m as (
+  select c, depth, bytes, md5(string_agg(k, ' ') over (partition by c order by depth)) as node,
+    coalesce(md5(string_agg(k, ' ') over (partition by c order by depth rows between unbounded preceding and 1 preceding)), '') as parent from r
+  union all select c, 0, 0, '', null from ids),
+n as (select node, depth, min(c) as conv_id, count(*) as n_convs, max(parent) as parent, (count(*) - 1) * max(bytes) as own from m group by node, depth),
+kids as (select parent, count(*) as n from n where depth > 0 group by parent),
+below as (select distinct a.node, b.node as down from m a join m b on a.c = b.c and b.depth >= a.depth),
+tree as (
+  select below.node, sum(n.own) as saved, count(*) filter (kids.n is null) as leaves
+  from below join n on n.node = down left join kids on kids.parent = down group by below.node),
+last as (select c, max_by(node, depth) as node from m group by c),
+ends as (select node, sha256(string_agg(cast(c as varchar), ',' order by c)) as sha from last group by node)
+select n.conv_id, cast(n.depth as bigint) as depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, leaves as n_leaves,
+  cast(saved as bigint) as saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from n join tree using (node) left join n up on up.node = n.parent left join kids on kids.parent = n.node left join ends on ends.node = n.node""")
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))

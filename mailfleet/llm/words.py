@@ -78,10 +78,10 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of texts that lie one after the other."""
+def word_bounds(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts that lie one after the other; ``space`` tells which bytes divide them."""
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     change = inside[1:] != inside[:-1]
     # A text's first byte starts a word even if the text before ends in one.
     cuts = bounds[1:-1]
@@ -106,7 +106,12 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool)
 def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
     """All words of a column; without ``lower`` the hash tells capital letters apart."""
     data, bounds = buffers(column)
-    starts, ends = word_bounds(data, bounds)
+    return hash_words(data, bounds, SPACE, lower)
+
+
+def hash_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray, lower: bool) -> Words:
+    """Words of texts that lie one after the other, divided by the bytes of ``space``."""
+    starts, ends = word_bounds(data, bounds, space)
     text = np.searchsorted(bounds[1:], starts, side="right")
     hashes = np.empty(len(starts), np.uint64)
     first = 0

@@ -43,7 +43,7 @@ def test_stages_by_brute_force(spark, folder):
 
 def test_run_is_its_stages(spark, folder):
     assert set(P.QUERIES) == {"pipeline", *P.OPERATORS} and P.QUERIES["pipeline"] is P.run
-    assert sorted(int(name[2:].split("_")[0]) for name in P.OPERATORS) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in P.OPERATORS) == list(range(1, 14))
     out = P.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 100
 
