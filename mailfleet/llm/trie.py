@@ -147,10 +147,11 @@ def _end_digests(ends: DataFrame, sequences: DataFrame) -> DataFrame:
     """
     alone = sequences.where("weight = 1").select(*KEY, F.sha2(F.col("rep").cast("string").cast("binary"), 256).alias("ends"))
     shared = sequences.where("weight > 1").select(*KEY)
-    pieces = ends.join(shared, KEY, "left_semi").groupBy(*KEY, F.shiftright("conv_id", PIECE_BITS).alias("_piece")).agg(
+    # Pieces are made before lists meet their key, so a long list is spread over tasks until it is short.
+    pieces = ends.groupBy(*KEY, F.shiftright("conv_id", PIECE_BITS).alias("_piece")).agg(
         F.array_join(F.array_sort(F.collect_list("conv_id")), ",").alias("_ids"))
     return alone.unionByName(
-        pieces.repartition(*KEY).sortWithinPartitions(*KEY, "_piece").select(*KEY, "_ids").mapInArrow(
+        pieces.join(shared, KEY, "left_semi").repartition(*KEY).sortWithinPartitions(*KEY, "_piece").select(*KEY, "_ids").mapInArrow(
             _digests, "depth bigint, h1 bigint, h2 bigint, ends string"))
 
 
