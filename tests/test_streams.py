@@ -160,11 +160,86 @@ def test_message_state(spark, folder, live, tmp_path):
     state = store.message_state_stream(live("documents")("fx_msg"), str(tmp_path / "state"))
     body = ["username", "guid", "modseq", "flags", "folder", "expunged"]
     assert rows_of(state, *body) == rows_of(merged, *body)
-    small = store.compact(spark, str(tmp_path / "state"), str(tmp_path / "small"))
-    assert rows_of(small, *body) == rows_of(merged, *body)
     assert store.reconcile(msg.where("node = 'A'"), msg.where("node = 'B'"), state).isEmpty()
 
 
+CHANGES = "username string, guid bigint, modseq bigint, flags string, folder string, expunged int"
+
+
+def trigger(spark, root, number, rows):
+    store._newest(spark.createDataFrame(rows, CHANGES)).write.mode("overwrite").parquet(f"{root}/batch_id={number}")
+
+
+def changes_of(seed, triggers=6):
+    """Changes of some messages, repeats and tombstones among them, and a user that is null."""
+    rng = random.Random(seed)
+    return [[(rng.choice(["ann", "bob", None]), rng.randrange(12), rng.randrange(50), rng.choice(["", "S", "SR"]), "INBOX",
+              int(rng.random() < 0.1)) for _ in range(15)] for _ in range(triggers)]
+
+
+def read_folders(df):
+    return {part for f in df.inputFiles() for part in f.split("/") if part.startswith("batch_id=") or part[:12].isdigit()}
+
+
+@pytest.mark.parametrize("fails_at", ["point", "drop"])
+def test_state_survives_an_end_inside_compaction(spark, tmp_path, monkeypatch, fails_at):
+    root, parts = str(tmp_path / "state"), changes_of(3)
+    whole = lambda n: rows_of(store._newest(spark.createDataFrame(sum(parts[:n], []), CHANGES)))
+    state = lambda: rows_of(store.message_state(spark, root))
+    for i in (0, 1, 2):
+        trigger(spark, root, i, parts[i])
+    assert state() == whole(3)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store._Place, fails_at, stop)
+        with pytest.raises(KeyboardInterrupt):
+            store.compact(spark, root)
+    switched = fails_at == "drop"
+    assert state() == whole(3)
+    assert any(f.startswith("batch_id") for f in read_folders(store.message_state(spark, root))) != switched
+    trigger(spark, root, 2, parts[2])  # the stream starts again with its last trigger
+    trigger(spark, root, 3, parts[3])
+    assert state() == whole(4)
+    assert store.compact(spark, root) == 3
+    assert state() == whole(4) and len(read_folders(store.message_state(spark, root))) == 1
+    trigger(spark, root, 4, parts[4])
+    assert state() == whole(5)
+    assert {f for f in read_folders(store.message_state(spark, root)) if f.startswith("batch_id")} == {"batch_id=4"}
+    assert store.compact(spark, root) == 4 == store.compact(spark, root)
+    assert state() == whole(5)
+    # The generation before is still there for readers that began with it, nothing older.
+    left = sorted(os.listdir(root))
+    assert "batch_id=0" not in left and "batch_id=3" not in left and len(os.listdir(f"{root}/base")) <= 2
+
+
+def test_readers_keep_the_state_they_began_with(spark, tmp_path):
+    root, parts = str(tmp_path / "state"), changes_of(4)
+    for i in (0, 1):
+        trigger(spark, root, i, parts[i])
+    store.compact(spark, root)
+    trigger(spark, root, 2, parts[2])
+    begun = store.message_state(spark, root)
+    want = rows_of(store._newest(spark.createDataFrame(sum(parts[:3], []), CHANGES)))
+    store.compact(spark, root)
+    assert rows_of(begun) == want
+
+
+def test_stream_compacts_as_it_goes(spark, folder, live, tmp_path):
+    views = Views(spark, folder)
+    msg = views("fx_msg")
+    merged = M.merge_stores(msg.where("node = 'A'"), msg.where("node = 'B'"))
+    root = str(tmp_path / "state")
+    state = store.message_state_stream(live("documents")("fx_msg"), root, compact_every=3)
+    body = ["username", "guid", "modseq", "flags", "folder", "expunged"]
+    assert rows_of(state, *body) == rows_of(merged, *body)
+    assert len([f for f in read_folders(state) if f.startswith("batch_id")]) == PARTS - 3
+    with pytest.raises(FileNotFoundError):
+        store.message_state(spark, str(tmp_path / "nothing"))
+
+
 def test_restart_keeps_state(spark, folder, tmp_path):
     """Half of the input, a stop, then the rest with the same progress folder."""
     data = pq.read_table(f"{folder}/events.parquet").sort_by("ts")
