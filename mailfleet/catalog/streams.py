@@ -13,6 +13,7 @@ from mailfleet.plans.session import shared_folder
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 from mailfleet.streaming import jobs, store
+from mailfleet.streaming.processors import ROCKSDB
 from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, run_available, run_closed
 
 
@@ -62,18 +63,23 @@ def _(v):
     return last_update(run_available(stream, "health", "update"), ["start", "node"])
 
 
+def _alerts(v, **run):
+    end = {"node": "closing", "sample_id": -1, "ts": CLOSING, "state": "ok"}
+    rows = run_closed(
+        jobs.alert_stream, [states(live(v, "events"))], [end], "alerts", settings=ROCKSDB, **run)
+    return rows.where("node <> 'closing'")
+
+
 @query("str04_alert_stream", STATES + """
 select node, sample_id, epoch_us(ts) as us, before, state from p where state <> before""")
 def _(v):
-    alerts = jobs.alert_stream(states(live(v, "events")))
-    return run_available(alerts, "alerts").drop("batch_id")
+    return _alerts(v).drop("batch_id")
 
 
 @query("snk04_alert_sink", STATES + "select node, sample_id, before, state from p where state <> before")
 def _(v):
-    alerts = jobs.alert_stream(states(live(v, "events")))
-    kept = store.alert_sink(alerts, shared_folder(v.spark, "alert-sink"))
-    return kept.select("node", "sample_id", "before", "state")
+    path = shared_folder(v.spark, "alert-sink")
+    return _alerts(v, path=path, write=store.alert_writer(path)).select("node", "sample_id", "before", "state")
 
 
 @query("str05_marker_stream", """
@@ -158,15 +164,20 @@ def _(v):
 @query("str12_vacation_stream", """
 with recursive cand as (
  select distinct m.rcpt, m.sender, cast(floor(epoch(m.ts)) as bigint) as second, cast(v.interval_time as bigint) as gap
- from fx_vacation_msg m join fx_vacation v on v.email = m.rcpt and v.active = 1 and m.ts between v.activefrom and v.activeuntil),
+ from fx_vacation_msg m join fx_vacation v on v.email = m.rcpt and v.active = 1 and m.ts between v.activefrom and v.activeuntil
+ where not exists (select 1 from fx_notified n where n.on_vacation = m.rcpt and n.notified = m.sender and floor(epoch(m.ts)) >= floor(epoch(n.notified_at))
+   and (v.interval_time = 0 or floor(epoch(m.ts)) < floor(epoch(n.notified_at)) + v.interval_time))),
 nxt as (select a.rcpt, a.sender, a.second, (select min(b.second) from cand b where b.rcpt = a.rcpt and b.sender = a.sender and a.gap > 0 and b.second >= a.second + a.gap) as next_second from cand a),
 walk as (select rcpt, sender, min(second) as second from cand group by 1, 2
  union all select w.rcpt, w.sender, x.next_second from walk w join nxt x on x.rcpt = w.rcpt and x.sender = w.sender and x.second = w.second where x.next_second is not null)
 select rcpt, sender, second from walk""")
 def _(v):
-    msgs = live(v, "events")("fx_vacation_msg")
-    stream = jobs.vacation_stream(msgs, conform(v("fx_vacation"), "vacation"))
-    return run_available(stream, "vacation").drop("batch_id")
+    vacation = conform(v("fx_vacation"), "vacation")
+    end = {"msg_id": -1, "ts": CLOSING, "rcpt": "closing", "sender": "closing"}
+    rows = run_closed(
+        lambda m: jobs.vacation_stream(m, vacation, v("fx_notified")), [live(v, "events")("fx_vacation_msg")], [end],
+        "vacation", settings=ROCKSDB)
+    return rows.drop("batch_id")
 
 
 @query("win02_alert_history", STATES + """

@@ -274,15 +274,16 @@ def bayes_score(
 # -- vacation ----------------------------------------------------------------------------------
 
 
-def vacation_candidates(msgs: DataFrame, vacation: DataFrame) -> DataFrame:
-    """Messages that arrive while their recipient is away, with the recipient's interval."""
+def vacation_candidates(msgs: DataFrame, vacation: DataFrame, keep_end: bool = False) -> DataFrame:
+    """Messages that arrive while their recipient is away, with the recipient's interval (and, on
+    demand, the end of the absence)."""
     away = vacation.where(F.col("active") == 1).select(
         F.lower("email").alias("__e"), "activefrom", "activeuntil", "interval_time"
     )
     rows = msgs.withColumn("rcpt", norm_addr("rcpt")).withColumn("sender", norm_addr("sender"))
     in_time = F.col("ts").between(F.col("activefrom"), F.col("activeuntil"))
     joined = rows.join(away, (F.col("rcpt") == F.col("__e")) & in_time)
-    return joined.drop("__e", "activefrom", "activeuntil")
+    return joined.drop("__e", "activefrom", *([] if keep_end else ["activeuntil"]))
 
 
 def reply_once(interval_s: int, until: int | None, second: int) -> int | None:
@@ -331,26 +332,34 @@ def vacation_replies(msgs: DataFrame, vacation: DataFrame, notified: DataFrame)
 
 
 def sessionize(
-    events: DataFrame, gap_s: int = 1800, chunk_s: int = 3600, ts: str = "ts"
+    events: DataFrame, gap_s: int = 1800, chunk_s: int = 3600, ts: str = "ts",
+    named_gap_s: int | None = None,
 ) -> DataFrame:
     """Sessions per user: by session id where the line has one, else by a quiet gap.
 
+    With ``named_gap_s`` a session with an id ends, too, when it has been quiet for so long; its id may
+    then begin again. A stream needs that, because it cannot wait for ever.
+
     A busy user is cut by the hour and the session number is carried over. The gap scan looks at
     distinct seconds, summed on the map side.
     """
     named = F.col("session_id") != ""
-    by_id = events.where(named).groupBy("username", "session_id").agg(
-        F.min(epoch_s(ts)).alias("start"), F.max(epoch_s(ts)).alias("end"),
-        F.count(F.lit(1)).alias("events"),
-    )
-    seconds = per_second(events.where(~named), ["username"], ts)
-    cut = segments(
-        seconds, ["username"], "second", F.floor(F.col("second") / chunk_s), F.lit(gap_s), "number"
-    )
-    by_gap = cut.groupBy("username", "number").agg(
-        F.min("second").alias("start"), F.max("second").alias("end"), F.sum("n").alias("events")
-    )
-    return by_id.unionByName(by_gap.drop("number").withColumn("session_id", F.lit("")))
+    totals = [F.min("second").alias("start"), F.max("second").alias("end"), F.sum("n").alias("events")]
+
+    def by_gap(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+        cut = segments(
+            per_second(rows, keys, ts), keys, "second", F.floor(F.col("second") / chunk_s), F.lit(gap), "number")
+        return cut.groupBy(*keys, "number").agg(*totals).drop("number")
+
+    if named_gap_s is None:
+        by_id = events.where(named).groupBy("username", "session_id").agg(
+            F.min(epoch_s(ts)).alias("start"), F.max(epoch_s(ts)).alias("end"),
+            F.count(F.lit(1)).alias("events"),
+        )
+    else:
+        by_id = by_gap(events.where(named), ["username", "session_id"], named_gap_s)
+    unnamed = by_gap(events.where(~named), ["username"], gap_s)
+    return by_id.unionByName(unnamed.withColumn("session_id", F.lit("")))
 
 
 # -- delivery ----------------------------------------------------------------------------------

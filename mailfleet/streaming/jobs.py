@@ -18,9 +18,8 @@ from mailfleet.functions.scalars import epoch_s
 from mailfleet.operators.abuse import (
     JAILS, RECIDIVE, Jail, enabled, hold_off, not_ignored,
 )
-from mailfleet.operators.messages import (
-    EXPIRE_AFTER_S, WARN_AFTER_S, reply_once, vacation_candidates,
-)
+from mailfleet.operators.messages import EXPIRE_AFTER_S, WARN_AFTER_S, vacation_candidates
+from mailfleet.streaming.processors import Changes, Replies
 
 TIMEOUT = GroupStateTimeout.EventTimeTimeout
 
@@ -138,30 +137,34 @@ def watchdog_stream(
              "any_error")
 
 
-def alert_stream(samples: DataFrame, watermark: str = "5 minutes") -> DataFrame:
-    """One row per change of a node's state (columns node, sample_id, ts, state)."""
+def alert_stream(
+    samples: DataFrame, unit: str = "1 minute", watermark: str = "5 minutes"
+) -> DataFrame:
+    """One row per change of a node's state (columns node, sample_id, ts, state), the first compared
+    with ``ok``.
+
+    Samples are first reduced to one row per node and clock unit: its first and last state and the
+    changes inside it, in the order of time, whatever the order of arrival. A unit is handed on when
+    the watermark has passed it; what is carried over is one row per node and unit.
+    """
     rows = samples.select(
-        "node", "sample_id", F.col("ts").cast("timestamp").alias("ts"), "state",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        "node", F.col("ts").cast("timestamp").alias("ts"),
+        F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "sample_id", "state").alias("s"),
     ).withWatermark("ts", watermark)
-
-    def fold(key, batches, state: GroupState):
-        before = state.get[0] if state.exists else "ok"
-        rows = pd.concat([b[["sample_id", "us", "state"]] for b in batches], ignore_index=True)
-        rows = rows.sort_values(["us", "sample_id"])
-        prior = rows["state"].shift(fill_value=before)
-        changed = rows[rows["state"] != prior]
-        state.update((rows["state"].iloc[-1],))
-        if len(changed):
-            yield pd.DataFrame({
-                "node": key[0], "sample_id": changed["sample_id"], "us": changed["us"],
-                "before": prior[changed.index], "state": changed["state"],
-            })
-
-    return rows.groupBy("node").applyInPandasWithState(
-        fold, "node string, sample_id bigint, us bigint, before string, state string",
-        "state string", "append", GroupStateTimeout.NoTimeout,
+    units = rows.groupBy(F.window("ts", unit).alias("w"), "node").agg(F.array_sort(F.collect_list("s")).alias("all"))
+    first, last = F.col("all")[0], F.element_at("all", -1)
+    pairs = F.zip_with(
+        F.slice("all", F.lit(1), F.size("all") - 1), F.slice("all", F.lit(2), F.size("all") - 1),
+        lambda a, b: F.struct(
+            b["sample_id"].alias("sample_id"), b["us"].alias("us"), a["state"].alias("before"), b["state"].alias("state")),
+    )
+    reduced = units.select(
+        "node", F.unix_micros("w.start").alias("unit"), first["state"].alias("first"), first["sample_id"].alias("first_id"),
+        first["us"].alias("first_us"), last["state"].alias("last"),
+        F.filter(pairs, lambda p: ~p["before"].eqNullSafe(p["state"])).alias("inner"),
     )
+    return reduced.groupBy("node").transformWithStateInPandas(
+        Changes(), "node string, sample_id bigint, us bigint, before string, state string", "Append", "None")
 
 
 def node_traffic_stream(
@@ -207,13 +210,19 @@ def marker_stream(
 # -- messages ----------------------------------------------------------------------------------
 
 
-def sessions_stream(events: DataFrame, gap_s: int = 1800, watermark: str = "1 hour") -> DataFrame:
+def sessions_stream(
+    events: DataFrame, gap_s: int = 1800, watermark: str = "1 hour", named_gap_s: int = 86400
+) -> DataFrame:
     """Closed sessions per user: by session id where there is one, else by a quiet gap.
 
-    A named session is closed when it has been quiet for a day.
+    A session with an id is closed when it has been quiet for ``named_gap_s``, as in ``sessionize`` with
+    that setting.
     """
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    gap = F.when(F.col("session_id") != "", "86400 seconds").otherwise(f"{gap_s} seconds")
+    # In whole seconds, and a pause of exactly the gap ends a session: Spark's windows would still meet.
+    whole = F.timestamp_seconds(epoch_s(F.col("ts").cast("timestamp")))
+    rows = events.withColumn("ts", whole).withWatermark("ts", watermark)
+    named, unnamed = (f"{s - 1}.999999 seconds" for s in (named_gap_s, gap_s))
+    gap = F.when(F.col("session_id") != "", named).otherwise(unnamed)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "username", "session_id").agg(
         F.min(epoch_s("ts")).alias("start"), F.max(epoch_s("ts")).alias("end"),
         F.count(F.lit(1)).alias("events"),
@@ -256,33 +265,29 @@ def delivery_stream(
 
 
 def vacation_stream(
-    msgs: DataFrame, vacation: DataFrame, watermark: str = "1 hour"
+    msgs: DataFrame, vacation: DataFrame, notified: DataFrame | None = None, watermark: str = "1 hour"
 ) -> DataFrame:
-    """Vacation replies (rcpt, sender, second) as messages come in."""
-    rows = vacation_candidates(msgs, vacation).select(
-        "rcpt", "sender", F.col("interval_time").cast("bigint").alias("interval_s"),
-        epoch_s("ts").alias("second"), F.col("ts").cast("timestamp").alias("at"),
-    ).withWatermark("at", watermark)
+    """Vacation replies (rcpt, sender, second) as messages come in, by the order of their times.
 
-    def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until = state.get[0] if state.exists else None
-        rows = pd.concat([b[["second", "interval_s"]] for b in batches], ignore_index=True)
-        rows = rows.drop_duplicates().sort_values("second")
-        out = []
-        for second, interval_s in rows.itertuples(index=False, name=None):
-            after = reply_once(int(interval_s), until, int(second))
-            if after is not None:
-                until = after
-                out.append((*key, int(second)))
-        state.update((until,))
-        if until < 2**62:
-            _keep_until(state, until)
-        if out:
-            yield pd.DataFrame(out, columns=["rcpt", "sender", "second"])
-
-    return rows.groupBy("rcpt", "sender").applyInPandasWithState(
-        fold, "rcpt string, sender string, second bigint", "until bigint", "append", TIMEOUT
+    ``notified`` (on_vacation, notified, notified_at) are replies that were sent before the stream began; they are the
+    state it begins with. A row of it for somebody who is not away silences nothing and is left out.
+    """
+    # Every message moves the watermark, also one to somebody who is not away.
+    timed = msgs.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
+    rows = vacation_candidates(timed, vacation, keep_end=True).select(
+        "rcpt", "sender", F.col("interval_time").cast("bigint").alias("interval_s"),
+        epoch_s("ts").alias("second"), epoch_s("activeuntil").alias("ends"), "at",
     )
+    begin = None
+    if notified is not None:
+        away = vacation.where("active = 1").select(
+            F.lower("email").alias("__e"), F.col("interval_time").cast("bigint").alias("interval_s"),
+            epoch_s("activeuntil").alias("ends"),
+        )
+        begin = notified.groupBy(F.lower("on_vacation").alias("rcpt"), F.lower("notified").alias("sender")).agg(
+            F.max(epoch_s("notified_at")).alias("noted")
+        ).join(away, F.col("rcpt") == F.col("__e")).groupBy("rcpt", "sender").agg(
+            F.max("noted").alias("noted"), F.max("interval_s").alias("interval_s"), F.max("ends").alias("ends")
+        ).groupBy("rcpt", "sender")
+    return rows.groupBy("rcpt", "sender").transformWithStateInPandas(
+        Replies(), "rcpt string, sender string, second bigint", "Append", "EventTime", begin)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,48 +61,69 @@ def write_batches(path: str) -> Callable[[DataFrame, int], None]:
 def run_available(
     stream: DataFrame, name: str, mode: str = "append",
     write: Callable[[DataFrame, int], None] | None = None, path: str | None = None,
-    checkpoint: str | None = None,
+    checkpoint: str | None = None, settings: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Processes what there is and returns all written rows, with their ``batch_id``."""
+    """Processes what there is and returns all written rows, with their ``batch_id``.
+
+    ``settings`` hold for this query alone: a query takes the session's when it starts.
+    """
     spark = stream.sparkSession
     out = path or shared_folder(spark, name)
-    query = (
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    for key, value in (settings or {}).items():
+        spark.conf.set(key, value)
+    try:
+        query = _started(stream, name, mode, write or write_batches(out), checkpoint)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    query.awaitTermination()
+    fields = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.IntegerType())])
+    return spark.read.schema(fields).option("basePath", out).parquet(f"{out}/{BATCH}=*")
+
+
+def _started(stream: DataFrame, name: str, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str | None):
+    return (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(write or write_batches(out))
-        .option("checkpointLocation", checkpoint or shared_folder(spark, f"{name}-progress"))
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint or shared_folder(stream.sparkSession, f"{name}-progress"))
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    fields = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.IntegerType())])
-    return spark.read.schema(fields).option("basePath", out).parquet(f"{out}/{BATCH}=*")
 
 
 # Later than any deadline of any input.
 CLOSING = datetime.datetime(2200, 1, 1)
 
 
+def _nullable(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+
+
 def run_closed(
-    job: Callable[..., DataFrame], inputs: Sequence[DataFrame], closing: Sequence[dict], name: str
+    job: Callable[..., DataFrame], inputs: Sequence[DataFrame], closing: Sequence[dict], name: str,
+    **run,
 ) -> DataFrame:
     """All rows of ``job(*inputs)``, also those that wait for time to pass.
 
     After the inputs are worked off, each gets one closing row whose time lies past every
     deadline (``closing``, by column), in a second run over the same progress folder. That moves
     the watermark, so all state is written out. The caller filters what the closing rows cause.
+    ``run`` is passed to ``run_available``.
     """
     spark = inputs[0].sparkSession
     folders, united = [], []
     for stream in inputs:
         folders.append(shared_folder(spark, f"{name}-closing"))
-        spark.createDataFrame([], stream.schema).write.parquet(folders[-1])
-        united.append(stream.unionByName(spark.readStream.schema(stream.schema).parquet(folders[-1])))
+        shape = _nullable(stream)
+        spark.createDataFrame([], shape).write.parquet(folders[-1])
+        united.append(stream.unionByName(spark.readStream.schema(shape).parquet(folders[-1])))
     rows = job(*united)
-    place = {"path": shared_folder(spark, name), "checkpoint": shared_folder(spark, f"{name}-progress")}
+    place = {"path": shared_folder(spark, name), "checkpoint": shared_folder(spark, f"{name}-progress"), **run}
     run_available(rows, name, **place)
     for stream, folder, row in zip(inputs, folders, closing, strict=True):
         cells = tuple(row.get(c) for c in stream.columns)
-        spark.createDataFrame([cells], stream.schema).write.mode("append").parquet(folder)
+        spark.createDataFrame([cells], _nullable(stream)).write.mode("append").parquet(folder)
     return run_available(rows, name, **place)
 
 

@@ -171,10 +171,11 @@ def reconcile(a: DataFrame, b: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select(*KEY, repair.alias("repair"), "want.*").where("repair is not null")
 
 
-def alert_sink(
-    alerts: DataFrame, path: str, send: Callable[[DataFrame, int], None] | None = None, **run: str
-) -> DataFrame:
-    """Keeps one row per state change below ``path`` and hands each trigger's rows to ``send``.
+def alert_writer(
+    path: str, send: Callable[[DataFrame, int], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Sink of ``alert_stream``: keeps one row per state change below ``path`` and hands each trigger's
+    rows to ``send``.
 
     Alerts are changes already, so a steady state sends nothing; the batch number lets the
     receiver drop a trigger that is repeated.
@@ -186,4 +187,4 @@ def alert_sink(
         if send is not None:
             send(df.sparkSession.read.schema(df.schema).parquet(kept), batch)
 
-    return run_available(alerts, "alerts", write=write, path=path, **run)
+    return write

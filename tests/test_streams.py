@@ -19,6 +19,7 @@ from mailfleet.operators import messages as M
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 from mailfleet.streaming import jobs, store
+from mailfleet.streaming.processors import ROCKSDB
 from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, run_available, run_closed
 from tests.compare import rows_of
 
@@ -97,19 +98,45 @@ def test_ignored_sources_are_not_banned(spark, live):
     assert got.where(A.in_ranges("ip", ["203.0.113.0/30"])).isEmpty()
 
 
-def test_alerts(spark, folder, live):
-    batch = H.transitions(states(Views(spark, folder)))
-    got = run_available(jobs.alert_stream(states(live("events"))), "alerts")
-    assert rows_of(got, "node", "sample_id", "before", "state") == rows_of(
-        batch, "node", "sample_id", "before", "state")
+def shuffled(spark, tmp_path, ddl, rows, at, seed, per_file=9, late=200):
+    """A stream of rows in small files, each up to ``late`` seconds out of order."""
+    rng = random.Random(seed)
+    come = sorted(rows, key=lambda r: r[at] + datetime.timedelta(seconds=rng.randrange(late)))
+    for i in range(0, len(come), per_file):
+        part = spark.createDataFrame(come[i:i + per_file], ddl)
+        put(pa.Table.from_batches(part.toArrow().to_batches()), None, tmp_path / "in", f"p{i:04}", 1_700_000_000 + i)
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+
+
+def moment(second):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=second)
+
+
+SAMPLES = "node string, sample_id bigint, ts timestamp, state string"
+ALERT_END = {"node": "closing", "sample_id": -1, "ts": CLOSING, "state": "ok"}
 
 
-def test_alert_sink_sends_each_change_once(spark, live, tmp_path):
-    sent = []
-    kept = store.alert_sink(
-        jobs.alert_stream(states(live("events"))), str(tmp_path / "alerts"),
-        send=lambda df, batch: sent.append((batch, df.count())))
-    assert sum(n for _, n in sent) == kept.count() and len({b for b, _ in sent}) == len(sent)
+@pytest.mark.parametrize("seed", range(2))
+def test_alerts_do_not_depend_on_the_order_of_arrival(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [("C", 1, moment(1000), "ok"), ("C", 3, moment(1100), "ok"), ("C", 2, moment(1050), "problem")]
+    rows += [(rng.choice("AB"), 100 + i, moment(rng.randrange(3000)), rng.choice(["ok", "problem"])) for i in range(60)]
+    source = shuffled(spark, tmp_path, SAMPLES, rows, 2, seed)
+    got = run_closed(jobs.alert_stream, [source], [ALERT_END], "alerts", settings=ROCKSDB).where("node <> 'closing'")
+    want = H.transitions(spark.createDataFrame(rows, SAMPLES))
+    columns = "node", "sample_id", "before", "state"
+    assert got.select("batch_id").distinct().count() > 1
+    assert rows_of(got, *columns) == rows_of(want, *columns)
+
+
+def test_alert_sink_sends_each_change_once(spark, folder, live, tmp_path):
+    sent, path = [], str(tmp_path / "alerts")
+    kept = run_closed(
+        jobs.alert_stream, [states(live("events"))], [ALERT_END], "alerts", settings=ROCKSDB, path=path,
+        write=store.alert_writer(path, send=lambda df, batch: sent.append((batch, df.count()))))
+    batch = H.transitions(states(Views(spark, folder)))
+    assert sum(n for _, n in sent) == kept.count() == batch.count() and len({b for b, _ in sent}) == len(sent)
+    assert max(n for _, n in sent) < kept.count()
 
 
 def test_windows(spark, folder, live):
@@ -118,15 +145,58 @@ def test_windows(spark, folder, live):
     assert rows_of(last_update(got, ["start", "node"])) == rows_of(H.watchdog_windows(samples))
 
 
-def test_vacation(spark, folder, live):
+MESSAGES = "rcpt string, sender string, ts timestamp"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_vacation_replies_by_event_time(spark, tmp_path, seed):
+    """Shuffled files, replies recorded before, intervals with and without an end, and nothing left in the state."""
+    rng = random.Random(seed)
+    away = [(f"u{i}@d", 1, moment(0), moment(2500 if i % 2 else 10**8), [0, 300, 700][i % 3]) for i in range(6)]
+    vacation = spark.createDataFrame(
+        [*away, ("off@d", 0, moment(0), moment(10**8), 60)],
+        "email string, active int, activefrom timestamp, activeuntil timestamp, interval_time int")
+    notified = spark.createDataFrame(
+        [("U0@d", "s0", moment(-50)), ("u1@d", "s1", moment(900)), ("u1@d", "s1", moment(100)), ("u3@d", "s2", moment(1500)),
+         ("off@d", "s0", moment(5)), ("nobody@d", "s0", moment(5))], "on_vacation string, notified string, notified_at timestamp")
+    rows = [(rng.choice([*[e for e, *_ in away], "off@d", "other@d"]), f"s{rng.randrange(3)}", moment(rng.randrange(4000))) for _ in range(160)]
+    progress = str(tmp_path / "progress")
+    source = shuffled(spark, tmp_path, MESSAGES, rows, 2, seed)
+    end = {"rcpt": "closing", "sender": "closing", "ts": CLOSING}
+    got = run_closed(
+        lambda m: jobs.vacation_stream(m, vacation, notified), [source], [end], "vacation", settings=ROCKSDB, checkpoint=progress)
+    want = M.vacation_replies(spark.createDataFrame(rows, MESSAGES), vacation, notified)
+    assert got.select("batch_id").distinct().count() > 1
+    assert rows_of(got.drop("batch_id")) == rows_of(want) != []
+    for name in ("waiting", "memory"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(progress).isEmpty()
+
+
+def test_vacation_without_earlier_replies(spark, folder, live):
     views = Views(spark, folder)
     vacation = conform(views("fx_vacation"), "vacation")
     nobody = views("fx_notified").where("false")
     batch = M.vacation_replies(views("fx_vacation_msg"), vacation, nobody)
-    got = run_available(jobs.vacation_stream(live("events")("fx_vacation_msg"), vacation), "vacation")
+    end = {"msg_id": -1, "ts": CLOSING, "rcpt": "closing", "sender": "closing"}
+    got = run_closed(
+        lambda m: jobs.vacation_stream(m, vacation), [live("events")("fx_vacation_msg")], [end], "vacation", settings=ROCKSDB)
     assert rows_of(got.drop("batch_id")) == rows_of(batch)
 
 
+def test_named_sessions_end_after_a_quiet_day(spark, tmp_path):
+    ddl = "event_id bigint, ts timestamp, username string, session_id string"
+    day = 86400
+    rows = [(i, moment(t), "u", s) for i, (t, s) in enumerate([
+        (0, "a"), (100, "a"), (100 + day, "a"), (99 + 2 * day, "a"), (50, ""), (1849, ""), (3649, ""), (200, "b"), (200 + 3 * day, "b")])]
+    source = shuffled(spark, tmp_path, ddl, rows, 1, 0, per_file=2)
+    end = {"event_id": -1, "ts": CLOSING, "username": "closing", "session_id": ""}
+    got = run_closed(jobs.sessions_stream, [source], [end], "named").where("username <> 'closing'")
+    events = spark.createDataFrame(rows, ddl)
+    want = rows_of(M.sessionize(events, named_gap_s=day))
+    assert rows_of(got.drop("batch_id")) == want and len(want) == 6
+    assert M.sessionize(events).where("session_id <> ''").count() == 2
+
+
 def test_sessions(spark, folder, live):
     views = Views(spark, folder)
     cut = F.unix_seconds(F.lit("2024-01-27").cast("timestamp"))
