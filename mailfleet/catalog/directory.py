@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mailfleet.catalog.registry import AS_OF, as_of, directory, query
 from mailfleet.functions import scalars as S
 from mailfleet.operators import directory as D
+from mailfleet.operators.lists import expand_aliases
 from mailfleet.plans.session import shared_folder
 from mailfleet.sources.schema import KEYS, conform, load_mail_schema
 
@@ -244,7 +245,7 @@ def _(v):
     starts = v("fx_rcpt").select(S.bare_addr("rcpt").alias("address")).union(loops.select("address"))
     alias = directory(v)["alias"].select("address", "goto", "active")
     more = loops.select("address", F.col("goto_list").alias("goto"), F.lit(1).alias("active"))
-    return D.expand_aliases(starts, alias.union(more)).select("origin", "target", "kind")
+    return expand_aliases(starts, alias.union(more)).select("origin", "target", "kind")
 
 
 _LOGINS = R + """,

@@ -16,7 +16,6 @@ from mailfleet.functions.scalars import (
     NEVER_EXPIRES, addr_domain, addr_local, bare_addr, is_domain, is_login, norm_addr,
     storage_home, storage_path, to_list,
 )
-from mailfleet.plans.session import shared_folder
 from mailfleet.plans.sizes import broadcast_if_small
 
 Tables = Mapping[str, DataFrame]
@@ -357,53 +356,6 @@ def alias_rows(alias: DataFrame) -> DataFrame:
     )
 
 
-def expand_aliases(addresses: DataFrame, alias: DataFrame) -> DataFrame:
-    """Final targets of each address of ``addresses`` (column ``address``): where lists lead to.
-
-    A target is a ``leaf`` (an address without an alias) or on a ``cycle`` (it leads back to
-    itself); ``depth`` is its least distance. The pairs (origin, reached) grow round by round until
-    nothing new is reached, so there is no limit to the length of a chain, and lists that share
-    members or loop are one pair each. A round is stored in the shared folder.
-    """
-    spark = addresses.sparkSession
-    member = _active(alias).select(
-        F.lower("address").alias("__from"), F.explode(to_list(F.lower("goto"))).alias("__to")
-    ).distinct()
-    starts = addresses.select(F.lower("address").alias("origin")).distinct()
-    root = shared_folder(spark, "expand")
-    fields = "origin string, at string"
-    # Members are followed for the lists too: a list on a cycle is a pair with itself.
-    origins = starts.union(member.select("__from")).distinct()
-    found = origins.join(member, F.col("origin") == F.col("__from")).select(
-        "origin", F.col("__to").alias("at")
-    ).distinct()
-    paths = [f"{root}/depth=1"]
-    found.write.parquet(paths[0])
-    while True:
-        reached = spark.read.schema(f"{fields}, depth int").option("basePath", root).parquet(*paths)
-        newest = spark.read.schema(fields).parquet(paths[-1])
-        if newest.isEmpty():
-            break
-        further = newest.join(member, F.col("at") == F.col("__from")).select(
-            "origin", F.col("__to").alias("at")
-        ).distinct().join(reached, ["origin", "at"], "left_anti")
-        paths.append(f"{root}/depth={len(paths) + 1}")
-        further.write.parquet(paths[-1])
-    lists = member.select("__from").distinct()
-    cycles = reached.where("origin = at").select(F.col("at").alias("__on"))
-    wanted = reached.join(starts, "origin", "left_semi").unionByName(
-        starts.select("origin", F.col("origin").alias("at"), F.lit(0).alias("depth"))
-    )
-    kinds = wanted.join(lists, F.col("at") == F.col("__from"), "left").join(
-        cycles, F.col("at") == F.col("__on"), "left"
-    ).withColumn("kind", F.when(F.col("__from").isNull(), "leaf").when(
-        F.col("__on").isNotNull() & (F.col("depth") > 0), "cycle"
-    ))
-    return kinds.where("kind is not null").select(
-        "origin", F.col("at").alias("target"), "kind", "depth"
-    )
-
-
 # -- senders ---------------------------------------------------------------------------------
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from mailfleet.catalog.registry import directory
 from mailfleet.operators import directory as D
+from mailfleet.operators import lists as alias_lists
+from mailfleet.operators.lists import expand_aliases
+from mailfleet.plans.session import checkpointed
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 
@@ -85,7 +91,7 @@ def test_alias_lookup_retries_the_domain(spark, tables):
 
 def test_expand(spark, tables):
     df = spark.createDataFrame([("info@a.org",), ("loop1@a.org",), ("u1@a.org",)], "address string")
-    got = {tuple(r) for r in D.expand_aliases(df, tables["alias"]).select(
+    got = {tuple(r) for r in expand_aliases(df, tables["alias"]).select(
         "origin", "target", "kind", "depth").collect()}
     assert got == {
         ("info@a.org", "u1@a.org", "leaf", 1), ("info@a.org", "ext@z.org", "leaf", 1),
@@ -100,7 +106,7 @@ def test_expand_has_no_depth_limit(spark):
         "address string, goto string, active int",
     )
     start = spark.createDataFrame([("n0@a.org",)], "address string")
-    row = D.expand_aliases(start, alias).first()
+    row = expand_aliases(start, alias).first()
     assert (row.target, row.kind, row.depth) == ("n14@a.org", "leaf", 14)
 
 
@@ -109,11 +115,65 @@ def test_expand_lists_that_meet_and_loop(spark):
         [("o@x", "a@x,b@x", 1), ("a@x", "x@x", 1), ("b@x", "x@x", 1), ("x@x", "b@x", 1)],
         "address string, goto string, active int",
     )
-    got = {(r.target, r.kind) for r in D.expand_aliases(
+    got = {(r.target, r.kind) for r in expand_aliases(
         spark.createDataFrame([("o@x",)], "address string"), alias).collect()}
     assert got == {("x@x", "cycle"), ("b@x", "cycle")}
 
 
+ALIASES = "address string, goto string, active int"
+
+
+def walked(lists, starts):
+    """Targets, kinds and depths by walking from each start."""
+    def steps(node):
+        depth, now = {}, [node]
+        for d in itertools.count(1):
+            now = {t for n in now for t in lists.get(n, ()) if t not in depth}
+            if not now:
+                return depth
+            depth.update(dict.fromkeys(now, d))
+
+    out = set()
+    for s in starts:
+        reached = steps(s)
+        out |= {(s, t, "leaf", d) for t, d in reached.items() if t not in lists}
+        out |= {(s, t, "cycle", d) for t, d in reached.items() if t in lists and t in steps(t)}
+        out |= {(s, s, "leaf", 0)} if s not in lists else set()
+    return out
+
+
+def expanded(spark, lists, starts):
+    alias = spark.createDataFrame([(a, ",".join(t), 1) for a, t in lists.items()], ALIASES)
+    df = spark.createDataFrame([(s,) for s in starts], "address string")
+    return {tuple(r) for r in expand_aliases(df, alias).select("origin", "target", "kind", "depth").collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_expand_by_walking(spark, seed):
+    """Random lists: chains, trees, rings of one and of many, and rings that share lists."""
+    rng = random.Random(seed)
+    names = [f"n{i}@x" for i in range(40)]
+    lists = {}
+    for n in names[:30]:
+        size = rng.choice([1, 1, 1, 2, 3])
+        near = names[names.index(n) + 1:names.index(n) + 4] if rng.random() < [0.9, 0.6, 0.3][seed] else names
+        lists[n] = sorted(set(rng.choices(near or names, k=size)))
+    starts = rng.sample(names, 12) + ["other@x"]
+    assert expanded(spark, lists, starts) == walked(lists, starts)
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 lists, each with an address of its own, into a ring of three."""
+    lists = {f"c{i:05}@x": [f"c{i + 1:05}@x", f"user{i}@x"] for i in range(10_000)}
+    lists |= {"c10000@x": ["r1@x"], "r1@x": ["r2@x"], "r2@x": ["c10000@x", "out@x"]}
+    lists |= {f"unasked{i}@x": ["c00000@x", "c05000@x"] for i in range(50)}
+    rounds = []
+    monkeypatch.setattr(alias_lists, "checkpointed", lambda df, name: rounds.append(name) or checkpointed(df, name))
+    got = expanded(spark, lists, ["c00000@x", "c09998@x"])
+    assert got == walked(lists, ["c00000@x", "c09998@x"])
+    assert len(got) > 10_000 and len(rounds) < 30
+
+
 def test_spoofed_sender_is_refused(spark, tables):
     df = spark.createDataFrame(
         [("u1@a.org", "u1@a.org"), ("u2@a.org", "u1@a.org"), ("info@a.org", "U1@a.org"),
