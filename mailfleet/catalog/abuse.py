@@ -195,6 +195,36 @@ def _(v):
     return A.rate_violations(v("fx_client"), limits, unit_s=21600)
 
 
+@query("win08_concurrent_connections", """
+with c as (select ip, case when event_id % 3 = 0 then 'submission' else 'smtp' end as service, cast(floor(epoch(ts)) as bigint) as s,
+  case when event_id % 19 <> 0 then cast(floor(epoch(ts)) as bigint) + event_id % 7 * 14400 end as t from fx_client),
+e as (select ip, service, s as second, 1 as step from c union all select ip, service, t, -1 from c where t is not null),
+n as (select ip, service, second, sum(step) as step from e group by all),
+l as (select *, sum(step) over (partition by ip, service order by second) as open from n)
+select ip, service, min(second) as second, cast(max(open) as bigint) as most from l where open > case service when 'smtp' then 5 else 2 end group by ip, service""")
+def _(v):
+    rows = v("fx_client").select(
+        "ip", F.when(F.col("event_id") % 3 == 0, "submission").otherwise("smtp").alias("service"),
+        F.timestamp_seconds(S.epoch_s("ts")).alias("opened"),
+        F.when(F.col("event_id") % 19 != 0, F.timestamp_seconds(S.epoch_s("ts") + F.col("event_id") % 7 * 14400)).alias("closed"))
+    return A.concurrent_connections(rows, {"smtp": 5, "submission": 2})
+
+
+@query("win05_unknown_jails", """
+select jail, count(*) as rows from (select case when event_id % 7 = 0 then 'own-' || jail when event_id % 11 = 0 then null else jail end as jail from fx_auth where outcome = 'fail')
+where jail is null or jail like 'own-%' group by jail""")
+def _(v):
+    own = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("own-"), "jail")).when(F.col("event_id") % 11 != 0, F.col("jail"))
+    return A.unknown_jails(v("fx_auth").where("outcome = 'fail'").withColumn("jail", own))
+
+
+@query("fil12_large_ignore_list", """
+select event_id, ip from fx_auth where not (ip like '203.0.113.%' and cast(split_part(ip, '.', 4) as int) % 3 = 0)""")
+def _(v):
+    others = [f"10.{o // 250}.{o % 250}.0/25" for o in range(3000)]
+    return A.not_ignored(v("fx_auth"), [*others, *[f"203.0.113.{h}" for h in range(0, 256, 3)]]).select("event_id", "ip")
+
+
 @query("win09_error_limits", """
 with e as (select event_id, user_id, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) as errors from fx_auth where outcome = 'fail')
 select event_id, user_id, errors, case when errors = 11 then 'soft' else 'hard' end as "limit" from e where errors in (11, 20)""")

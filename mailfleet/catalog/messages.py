@@ -154,8 +154,8 @@ def _(v):
     return M.training_labels(v("fx_move")).select("guid", "label")
 
 
-_TOKENS = """
-with tok as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as token from documents),
+_TOKENS = r"""
+with tok as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as token from documents),
 lab as (select doc_id, toxic as is_spam from labels),
 model as (select token, count(*) filter (is_spam = 1) as spam, count(*) filter (is_spam = 0) as ham from tok join lab using (doc_id) where token <> '' group by token)
 """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailfleet.functions.rules import findings
 from mailfleet.functions.scalars import band, epoch_s
-from mailfleet.plans.scan import balanced, previous, running, time_chunk
+from mailfleet.plans.scan import balanced, growth, previous, time_chunk
 
 # Thresholds of the checks and the ports that must be open or closed.
 MAX_LAG_S = 300
@@ -176,24 +176,13 @@ def queue_trend(
     chunk_s: int = 3600, ts: str = "ts",
 ) -> DataFrame:
     """How many samples in a row the queue has grown, and whether that is at least ``k``."""
-    rows = balanced(samples, [key], order, time_chunk(ts, chunk_s), "__part")
-    chunk = F.col("__part")
-    rows = previous(rows, [key], order, chunk, F.col("queued"), "__before")
-    rows = rows.withColumn(
-        "__up", F.coalesce((F.col("queued") > F.col("__before")).cast("int"), F.lit(0))
-    )
-    rows = running(rows, [key], order, chunk, F.col("__up"), "__ups")
-    # The running count at the last sample that did not grow: counts never fall, so a maximum.
-    at_reset = F.when(F.col("__up") == 0, F.col("__ups"))
-    rows = running(rows, [key], order, chunk, at_reset, "__reset", how="max")
-    streak = F.col("__ups") - F.coalesce("__reset", F.lit(0))
+    cut = balanced(samples, [key], order, time_chunk(ts, chunk_s), "__part")
+    rows = growth(cut, [key], order, F.col("__part"), F.col("queued"), "__before", "streak")
     trend = (
-        F.when(streak >= k, "growing")
+        F.when(F.col("streak") >= k, "growing")
         .when(F.col("queued") < F.col("__before"), "draining").otherwise("steady")
     )
-    return rows.withColumn("streak", streak).withColumn("trend", trend).drop(
-        "__before", "__up", "__ups", "__reset", "__part"
-    )
+    return rows.withColumn("trend", trend).drop("__before", "__part")
 
 
 def watchdog_windows(samples: DataFrame, width: str = "5 minutes", ts: str = "ts") -> DataFrame:

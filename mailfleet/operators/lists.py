@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailfleet.functions.scalars import to_list
+from mailfleet.plans.jumps import along, jump_tables
 from mailfleet.plans.session import checkpointed
 
 # Steps of a search between two writes.
@@ -31,47 +32,11 @@ def list_members(alias: DataFrame) -> DataFrame:
         "src", "dst", F.col("__l").isNotNull().alias("inner"))
 
 
-def jump_tables(single: DataFrame) -> list[DataFrame]:
-    """Tables of ``node, to, steps``: from each node with one way on (``src, dst``), 1, 2, 4, … steps on.
-
-    A jump ends at a node without a single way on, with the steps it took. The last table therefore tells the end of each
-    chain; where that end has a way on itself, the chain runs into a ring of such nodes, and is on it.
-    """
-    now = checkpointed(single.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(1).cast("bigint").alias("steps")), "jumps")
-    moving, tables = now.count(), []
-    if not moving:
-        return tables
-    while True:
-        tables.append(now)
-        # What leads into a ring moves for ever, and so does the ring: neither is longer than these are many.
-        if 1 << len(tables) > 2 * moving:
-            return tables
-        on = now.select(F.col("node").alias("__n"), F.col("to").alias("__to"), F.col("steps").alias("__s"))
-        further = checkpointed(now.join(on, F.col("to") == F.col("__n"), "left").select(
-            "node", F.coalesce("__to", "to").alias("to"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"),
-            F.col("__n").isNotNull().alias("moved")), "jumps")
-        moving = further.where("moved").count()
-        if not moving:
-            return tables
-        now = further.drop("moved")
-
-
-def _along(rows: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """``origin, at, depth`` with all nodes on the chains that begin at ``at``, each at its least depth."""
-    for table in jumps:
-        jump = table.select(F.col("node").alias("__n"), F.col("to").alias("__to"), F.col("steps").alias("__s"))
-        stay, go = F.struct("at", "depth"), F.struct(F.col("__to").alias("at"), (F.col("depth") + F.col("__s")).alias("depth"))
-        both = F.when(F.col("__n").isNull(), F.array(stay)).otherwise(F.array(stay, go))
-        rows = rows.join(jump, F.col("at") == F.col("__n"), "left").select("origin", F.explode(both).alias("p")).select(
-            "origin", "p.at", "p.depth").groupBy("origin", "at").agg(F.min("depth").alias("depth"))
-    return rows
-
-
 def _reached(begin: DataFrame, jumps: list[DataFrame], branches: DataFrame) -> DataFrame:
     """``origin, at, depth``: every list that is reached, at its least depth. One round for each branching list on a way."""
     best, frontier = None, begin
     while True:
-        step = _along(frontier, jumps)
+        step = along(frontier, jumps)
         if best is None:
             best = checkpointed(step.withColumn("before", F.lit(None).cast("bigint")), "reached")
         else:
@@ -155,7 +120,7 @@ def _on_cycles(lists: DataFrame, jumps: list[DataFrame], branches: DataFrame) ->
     parts = strong_components(edges.select("a", "b"))
     first, second = parts.toDF("a", "__a"), parts.toDF("b", "__b")
     closed = edges.join(first, "a", "left").join(second, "b", "left").where("a = b or __a = __b")
-    between = _along(
+    between = along(
         closed.select(F.lit("").alias("origin"), F.col("t").alias("at"), F.lit(0).cast("bigint").alias("depth")), jumps)
     return rings.union(closed.select("a")).union(between.select("at")).distinct()
 

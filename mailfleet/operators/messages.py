@@ -230,8 +230,8 @@ def training_labels(moves: DataFrame) -> DataFrame:
 
 
 def message_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct lower-case words of each message, from the whole text."""
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"))
+    """Distinct lower-case words of each message, from the whole text: runs of letters and digits of any script."""
+    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
     return docs.select(F.col(key), F.explode(F.array_remove(words, "")).alias("token"))
 
 

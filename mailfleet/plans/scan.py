@@ -141,6 +141,60 @@ def running(
     return merged.withColumn(out, total).drop(_CHUNK, _CARRY, "__v", "__run")
 
 
+def first_at_or_after(
+    df: DataFrame, points: DataFrame, keys: Sequence[str], at: Column, pos: str, value: str, chunk_s: int, out: str,
+) -> DataFrame:
+    """Adds the ``value`` of the first point of the same key at ``pos >= at``, null if there is none.
+
+    Values must not fall as ``pos`` rises, so the first is the least of all later ones: a running minimum from the end over
+    rows and points together, whose chunks are scanned apart and carried over.
+    """
+    held = points.select(*keys, (-F.col(pos)).alias("__o"), F.lit(0).alias("__q"), (-F.col(value)).alias("__p"))
+    asked = df.select(F.struct("*").alias("__row"), *keys, (-at).alias("__o"), F.lit(1).alias("__q"), F.lit(None).cast("bigint").alias("__p"))
+    both = asked.unionByName(held, True)
+    found = running(both, keys, ["__o", "__q"], F.floor(F.col("__o") / chunk_s), F.col("__p"), "__found", how="max")
+    return found.where("__q = 1").select("__row.*", (-F.col("__found")).alias(out))
+
+
+def growth(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, before: str, streak: str,
+) -> DataFrame:
+    """Adds the value of the row before and how many rows in a row it has grown up to each row.
+
+    A chunk is summed up in one row that can be put together with its neighbours: first and last value,
+    length, streak at its end, and whether it grows throughout. One scan over these tells each chunk
+    what it continues; its leading rows, up to the first that did not grow, take that on.
+    """
+    rows = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__i", F.row_number().over(w)).withColumn("__b", F.lag("__v").over(w))
+    grown = F.coalesce(F.col("__v") > F.col("__b"), F.lit(False))
+    rows = rows.withColumn("__reset", F.max(F.when((F.col("__i") > 1) & ~grown, F.col("__i"))).over(upto))
+    rows = rows.withColumn("__s", (F.col("__i") - F.coalesce("__reset", F.lit(1))).cast("bigint"))
+    by = F.struct(*[F.col(o) for o in order])
+    summary = rows.groupBy(*keys, _CHUNK).agg(
+        F.min_by(F.struct("__v"), by).alias("__first"), F.max_by(F.struct("__v", "__s"), by).alias("__last"),
+        F.count(F.lit(1)).alias("__n"), F.max("__reset").isNull().alias("__whole"),
+    )
+    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    so_far = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summary = summary.withColumn("__prior", F.lag("__last").over(across))
+    joins = F.coalesce(F.col("__first")["__v"] > F.col("__prior")["__v"], F.lit(False))
+    summary = summary.withColumn("__joins", joins).withColumn("__whole", F.col("__whole") & F.col("__joins"))
+    # The streak at a chunk's end: that of the last chunk with a break, and the lengths of those after it.
+    summary = summary.withColumn("__sum", F.sum(F.when(F.col("__whole"), F.col("__n")).otherwise(0)).over(so_far))
+    ended = F.when(~F.col("__whole"), F.col("__last")["__s"] - F.col("__sum"))
+    summary = summary.withColumn("__end", F.col("__sum") + F.last(ended, True).over(so_far))
+    summary = summary.withColumn(_CARRY, F.struct(
+        F.col("__prior")["__v"].alias("v"),
+        F.when(F.col("__joins"), F.lag("__end").over(across) + 1).otherwise(0).alias("s")))
+    merged = _carry_back(rows, summary, keys)
+    leading = F.when(F.col("__reset").isNull(), F.col(_CARRY)["s"]).otherwise(0)
+    return merged.withColumn(before, F.when(F.col("__i") == 1, F.col(_CARRY)["v"]).otherwise(F.col("__b"))).withColumn(
+        streak, F.col("__s") + leading).drop(_CHUNK, _CARRY, "__v", "__i", "__b", "__reset", "__s")
+
+
 def per_second(df: DataFrame, keys: Sequence[str], ts: ColumnOrName) -> DataFrame:
     """Rows per key and whole second. Log lines carry whole seconds, so nothing is lost; the sum
     runs on the map side and bounds a busy key by the clock instead of by its rows."""

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailfleet.functions.scalars import epoch_s
 from mailfleet.operators.abuse import (
-    JAILS, RECIDIVE, Jail, enabled, hold_off, not_ignored,
+    KNOWN_JAILS, RECIDIVE, Jail, enabled, hold_off, not_ignored,
 )
 from mailfleet.operators.messages import EXPIRE_AFTER_S, WARN_AFTER_S, vacation_candidates
 from mailfleet.streaming.processors import Changes, Replies
@@ -57,7 +57,7 @@ def _keep_until(state: GroupState, second: int) -> None:
 
 
 def ban_stream(
-    fails: DataFrame, jails: Mapping[str, Jail] = JAILS, ignore: Sequence[str] = (),
+    fails: DataFrame, jails: Mapping[str, Jail] = KNOWN_JAILS, ignore: Sequence[str] = (),
     watermark: str = "5 minutes",
 ) -> DataFrame:
     """Bans (jail, ip, start, end) as failures (jail, ip, ts) come in.
@@ -67,11 +67,16 @@ def ban_stream(
     become final.
     """
     live = enabled(jails)
-    params = {name: (j.maxretry, j.find_s, j.ban_s) for name, j in live.items()}
     rows = fails.where(F.col("jail").isin(*live))
     if ignore:
         rows = not_ignored(rows, ignore)
     rows = rows.select("jail", "ip", epoch_s("ts").alias("second"))
+    return _folded_bans(_ticks(rows, ["jail", "ip"], "second", watermark, 1), live)
+
+
+def _folded_bans(ticks: DataFrame, live: Mapping[str, Jail]) -> DataFrame:
+    """Bans of failures summed per source and second (jail, ip, second, n), with a watermark."""
+    params = {name: (j.maxretry, j.find_s, j.ban_s) for name, j in live.items()}
 
     def fold(key, batches, state: GroupState):
         maxretry, find_s, ban_s = params[key[0]]
@@ -102,9 +107,7 @@ def ban_stream(
         if out:
             yield pd.DataFrame(out, columns=["jail", "ip", "start", "end"])
 
-    return _ticks(rows, ["jail", "ip"], "second", watermark, 1).groupBy(
-        "jail", "ip"
-    ).applyInPandasWithState(
+    return ticks.groupBy("jail", "ip").applyInPandasWithState(
         fold, "jail string, ip string, start bigint, end bigint",
         "until bigint, seconds array<bigint>, counts array<bigint>, ahead array<bigint>, "
         "ahead_counts array<bigint>", "append", TIMEOUT,
@@ -114,11 +117,15 @@ def ban_stream(
 def recidive_stream(
     bans: DataFrame, rule: Jail = RECIDIVE, watermark: str = "5 minutes"
 ) -> DataFrame:
-    """Long bans of sources that were banned repeatedly, over the ban stream's table."""
-    rows = bans.select(
-        F.lit("recidive").alias("jail"), "ip", F.timestamp_seconds("start").alias("ts")
-    )
-    return ban_stream(rows, {"recidive": rule}, watermark=watermark)
+    """Long bans of sources that were banned repeatedly, over the ban stream's table.
+
+    A ban counts once, also where a trigger's folder was replaced and its rows are read again.
+    """
+    at = F.timestamp_seconds("start")
+    once = bans.withColumn("ts", at).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["jail", "ip", "start"])
+    ticks = once.select(
+        F.lit("recidive").alias("jail"), "ip", F.col("start").alias("second"), F.lit(1).cast("bigint").alias("n"), "ts")
+    return _folded_bans(ticks, {"recidive": rule})
 
 
 # -- health ------------------------------------------------------------------------------------

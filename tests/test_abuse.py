@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import ipaddress
 import random
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailfleet.functions.rules import FILTERS, LogFilter, compile_filter, filter_named
 from mailfleet.operators import abuse as A
+from tests.compare import rows_of
 
 
 def simulate_bans(times, need, find, hold):
@@ -135,3 +138,91 @@ def test_ipv6_subnets_are_ignored(spark):
     df = spark.createDataFrame([(ip,) for ip in ips], "ip string")
     ignore = ["2001:db8::/32", "::1", "fe80::/10", "1.2.3.0/24"]
     assert [r.ip for r in A.not_ignored(df, ignore).collect()] == ["2001:db9::1", "::2", "a:b", None, "x"]
+
+
+BUSY = {"smtp": A.Jail(3, "60s", "200s"), "webmail": A.Jail(5, "30s", "90s"), "admin": A.Jail(1, "10s", "50s"), "dovecot": A.Jail(2, "300s", "10s")}
+
+
+def busy_fails(spark, seed, seconds=2000):
+    """Sources that hardly ever pause, one of them null, with several failures in a second."""
+    rng = random.Random(seed)
+    rows = []
+    for jail in BUSY:
+        for ip, share in (("a", 0.9), ("b", 0.04), ("c", 0.015), (None, 0.3)):
+            rows += [(jail, ip, s) for s in range(seconds) for _ in range(rng.choice([1, 1, 2])) if rng.random() < share]
+    return spark.createDataFrame(rows, "jail string, ip string, s bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pointers_and_fold_give_the_same_bans(spark, seed):
+    fails = busy_fails(spark, seed)
+    folded = rows_of(A.ban_ledger(fails, BUSY))
+    assert rows_of(A.ban_ledger(fails, BUSY, longest=[0, 300][seed])) == folded
+    assert {r[-1] for r in folded} and len({(r[1], r[2]) for r in folded}) > 4
+
+
+def test_a_source_that_never_pauses_is_not_folded(spark, monkeypatch):
+    """One source, 300,000 seconds, a ban every 3,600 of them: nothing of it reaches the fold."""
+    seconds = spark.range(300_000).select(
+        F.lit("smtp").alias("jail"), F.lit("x").alias("ip"), F.timestamp_seconds("id").alias("ts"))
+    monkeypatch.setattr(A, "hold_off", None)
+    got = A.ban_ledger(seconds, {"smtp": A.Jail(5, "10m", "1h")})
+    want = [(k * 3604 + 4 + 3600, "x", "smtp", k * 3604 + 4) for k in range(84) if k * 3604 + 4 < 300_000]
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_concurrent_connections_by_hand(spark):
+    at = lambda s: None if s is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice(["smtp", "submission", "pop3"]), s, rng.choice([None, s, s + rng.randrange(9000)]))
+            for s in (rng.randrange(20_000) for _ in range(200))]
+    rows += [(None, "smtp", 5, None)] * 4 + [("c", "smtp", 0, 10), ("c", "smtp", 10, 20), ("c", "smtp", 20, 30)]
+    limits = {"smtp": 2, "submission": 6}
+    want = []
+    for key in {r[:2] for r in rows if r[1] in limits}:
+        own = [r for r in rows if r[:2] == key]
+        level = {s: sum(o <= s and (c is None or c > s) for _, _, o, c in own) for s in {r[2] for r in own}}
+        over = [s for s, n in level.items() if n > limits[key[1]]]
+        if over:
+            want.append((*key, min(over), max(level.values())))
+    df = spark.createDataFrame([(i, k, at(o), at(c)) for i, k, o, c in rows], "ip string, service string, opened timestamp, closed timestamp")
+    df = df.withColumn("opened", F.col("opened"))
+    start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).timestamp())
+    got = [(r.ip, r.service, r.second - start, r.most) for r in A.concurrent_connections(df, limits).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and (None, "smtp", 5, 4) in got
+
+
+def test_large_ignore_list_is_searched(spark):
+    rng = random.Random(8)
+    ips = [f"10.{rng.randrange(40)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(300)]
+    ips += ["2001:db8::1", "2001:DB8:7::5", "2001:db9::1", "x", "", None, "300.1.1.1", "::", "255.255.255.255", "0.0.0.0"]
+    nets = [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}/{rng.choice([30, 32])}" for _ in range(99_000)]
+    nets += [f"10.{rng.randrange(40)}.{rng.randrange(256)}.0/{rng.choice([20, 24])}" for _ in range(1000)]
+    ips += [n.partition("/")[0] for n in rng.sample(nets, 100)]
+    nets += ["2001:db8::/33", "::/128", "255.255.255.255"]
+    ranges = A.disjoint_ranges(nets)
+    assert A.MOST_LITERALS < len(ranges) < len(nets) and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    parsed = [ipaddress.ip_network(n, strict=False) for n in nets[-3:]]
+    held = {(int(n.network_address) >> 2) for n in (ipaddress.ip_network(t, strict=False) for t in nets[:-3]) if n.prefixlen == 30}
+    wide = {p: {int(ipaddress.ip_network(t, strict=False).network_address) >> (32 - p) for t in nets[:-3] if t.endswith(f"/{p}")} for p in (20, 24, 32)}
+
+    def ignored(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        if any(ip in n for n in parsed if n.version == ip.version):
+            return True
+        return ip.version == 4 and (int(ip) >> 2 in held or any(int(ip) >> (32 - p) in wide[p] for p in wide))
+
+    df = spark.createDataFrame([(ip,) for ip in ips] * 2, "ip string")
+    got = [r.ip for r in A.not_ignored(df, nets).collect()]
+    assert sorted(got, key=repr) == sorted([ip for ip in ips if ip is None or not ignored(ip)] * 2, key=repr)
+
+
+def test_stock_jail_names_have_their_rules(spark):
+    assert A.KNOWN_JAILS["postfix-sasl"] == A.JAILS["smtp-sasl"] and A.KNOWN_JAILS["roundcube-auth"] == A.JAILS["webmail"]
+    rows = [("postfix", "x", i) for i in range(5)] + [("own", "x", 1), (None, "y", 2), (None, "y", 3)]
+    fails = spark.createDataFrame(rows, "jail string, ip string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    assert [(r.jail, r.second) for r in A.ban_events(fails).collect()] == [("postfix", 4)]
+    assert rows_of(A.unknown_jails(fails)) == sorted([("own", 1), (None, 2)], key=repr)

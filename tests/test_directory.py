@@ -12,6 +12,7 @@ from mailfleet.catalog.registry import directory
 from mailfleet.operators import directory as D
 from mailfleet.operators import lists as alias_lists
 from mailfleet.operators.lists import expand_aliases
+from mailfleet.plans import jumps
 from mailfleet.plans.session import checkpointed
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
@@ -168,7 +169,8 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     lists |= {"c10000@x": ["r1@x"], "r1@x": ["r2@x"], "r2@x": ["c10000@x", "out@x"]}
     lists |= {f"unasked{i}@x": ["c00000@x", "c05000@x"] for i in range(50)}
     rounds = []
-    monkeypatch.setattr(alias_lists, "checkpointed", lambda df, name: rounds.append(name) or checkpointed(df, name))
+    for module in (alias_lists, jumps):
+        monkeypatch.setattr(module, "checkpointed", lambda df, name: rounds.append(name) or checkpointed(df, name))
     got = expanded(spark, lists, ["c00000@x", "c09998@x"])
     assert got == walked(lists, ["c00000@x", "c09998@x"])
     assert len(got) > 10_000 and len(rounds) < 30

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailfleet.plans import scan
+from tests.compare import rows_of
 
 
 def samples(seed: int, n: int = 300, keys: str = "abc"):
@@ -106,3 +107,40 @@ def test_range_chunks_split_a_hot_key(spark):
         want.add((k, t, last.get(k)))
         last[k] = t
     assert {tuple(r) for r in got.select("k", "t", "p").collect()} == want
+
+
+def test_growth_over_chunks(spark):
+    """Streaks that span chunks, chunks of one row, nulls, and a null key."""
+    rng = random.Random(5)
+    rows, want = [], []
+    for key in ("a", "b", None):
+        before, streak = None, 0
+        for i in range(400):
+            v = rng.choice([None, i, i, i, rng.randrange(400)]) if rng.random() < 0.3 else (before or 0) + 1
+            streak = streak + 1 if v is not None and before is not None and v > before else 0
+            rows.append((key, i, v))
+            want.append((key, i, before, streak))
+            before = v
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint")
+    for size in (1, 7, 100, 1000):
+        got = scan.growth(df, ["k"], ["i"], F.floor(F.col("i") / size), F.col("v"), "before", "streak")
+        assert rows_of(got, "k", "i", "before", "streak") == sorted(want, key=repr), size
+
+
+def test_trend_takes_few_exchanges(spark, folder):
+    from mailfleet.operators.health import queue_trend
+    from mailfleet.sources.fixtures import Views
+
+    plan = queue_trend(Views(spark, folder)("fx_sample"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 6
+
+
+def test_first_at_or_after(spark):
+    rng = random.Random(2)
+    points = [(k, p, p * 3) for k in ("a", None) for p in rng.sample(range(500), 40)]
+    asked = [(rng.choice(["a", "b", None]), rng.randrange(-20, 520)) for _ in range(200)]
+    got = scan.first_at_or_after(
+        spark.createDataFrame(asked, "k string, x bigint"), spark.createDataFrame(points, "k string, pos bigint, v bigint"),
+        ["k"], F.col("x"), "pos", "v", 30, "found")
+    want = [(k, x, min((v for kk, p, v in points if kk == k and p >= x), default=None)) for k, x in asked]
+    assert rows_of(got, "k", "x", "found") == sorted(want, key=repr)

@@ -88,6 +88,19 @@ def test_bans_do_not_depend_on_the_order_of_arrival(spark, tmp_path, seed):
     assert any(r[1] is None for r in want) or any(None in r for r in want)
 
 
+def test_replaced_trigger_counts_a_ban_once(spark, tmp_path):
+    """The folder of a trigger is written again; its bans are read twice."""
+    ddl = "jail string, ip string, start bigint, end bigint"
+    first = [("smtp", "x", 1000, 2000), ("admin", "x", 1000, 2000), ("smtp", "y", 1000, 2000)]
+    second = [("smtp", "x", 3000, 4000), ("smtp", "y", 3000, 4000), ("smtp", "z", 3000, 4000)]
+    for i, part in enumerate([first, second, first, second]):
+        put(pa.Table.from_batches(spark.createDataFrame(part, ddl).toArrow().to_batches()), None, tmp_path / "in", f"p{i}", 1_700_000_000 + i)
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    end = {"jail": "smtp", "ip": "closing", "start": int(CLOSING.timestamp()), "end": 0}
+    got = run_closed(lambda b: jobs.recidive_stream(b, A.Jail(3, "1d", "7d"), watermark="2 hours"), [source], [end], "again")
+    assert [(r.ip, r.start) for r in got.where("ip <> 'closing'").collect()] == [("x", 3000)]
+
+
 def test_ignored_sources_are_not_banned(spark, live):
     rule = {name: A.Jail(1, "1d", "1h") for name in WIDE}
     source = live("events")("fx_auth").where("outcome = 'fail'").select("jail", "ip", "ts")
