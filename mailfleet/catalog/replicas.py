@@ -19,6 +19,14 @@ def _(v):
     return R.replica_diff(tables["log"], v("fx_log_b"), ["natural_key"], ignore=["id"])
 
 
+@query("join09_replica_changes", """
+select coalesce(a.natural_key, b.natural_key) as natural_key, case when b.natural_key is null then 'only_a' when a.natural_key is null then 'only_b' else 'changed' end as state
+from fx_log_a a full join fx_log_b b on a.natural_key = b.natural_key
+where a.natural_key is null or b.natural_key is null or a.data is distinct from b.data or a.created is distinct from b.created""")
+def _(v):
+    return R.replica_changes(v("fx_log_a"), v("fx_log_b"), ["natural_key"], ignore=["id"])
+
+
 _COLLIDE = """
 select a.id, a.natural_key, a.data as data_a, b.data as data_b, a.created as ca, b.created as cb
 from fx_log_a a join fx_log_b b on a.natural_key = b.natural_key where a.data is distinct from b.data or a.created is distinct from b.created

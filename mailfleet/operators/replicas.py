@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailfleet.functions.scalars import epoch_us, parity, row_hash
+from mailfleet.plans.session import checkpointed
 from mailfleet.sources.schema import NODE_LOCAL
 
 
@@ -47,6 +48,65 @@ def replica_diff(
     return rows.select(*key, state.alias("state"))
 
 
+# Ranges per level of a digest tree, as a power of two; also the most ranges whose numbers are sent to tasks.
+TREE_BITS = 12
+
+
+def range_digests(df: DataFrame, key: Sequence[str], ignore: Sequence[str] = (), bits: int = TREE_BITS) -> DataFrame:
+    """``node, rows, digest`` for each of the ``2**bits`` ranges of the hashed key that holds rows.
+
+    Count, exclusive or, and sum over content hashes combine in the reading tasks, so a range costs one row per task,
+    whatever it holds; the digests of a level follow from those of a finer one as well as from rows.
+    """
+    return _digests(_placed(df, key, ignore), bits)
+
+
+def _placed(df: DataFrame, key: Sequence[str], ignore: Sequence[str]) -> DataFrame:
+    cols = _payload(df, key, ignore)
+    all_cells = [*key, *cols, *[F.col(c).isNull() for c in (*key, *cols)]]
+    return df.select(
+        F.xxhash64(*key).alias("__at"), F.xxhash64(F.lit(1), *all_cells).alias("__h1"), F.xxhash64(F.lit(2), *all_cells).alias("__h2"))
+
+
+def _digests(placed: DataFrame, bits: int) -> DataFrame:
+    node = F.shiftrightunsigned("__at", 64 - bits).alias("node")
+    return placed.groupBy(node).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.struct(F.bit_xor("__h1").alias("mix"), F.sum(F.col("__h2").cast("decimal(38,0)")).alias("sum")).alias("digest"))
+
+
+def replica_changes(
+    a: DataFrame, b: DataFrame, key: Sequence[str], ignore: Sequence[str] = (), bits: int = TREE_BITS, levels: int = 2,
+) -> DataFrame:
+    """The keys whose state is not ``equal``, as in ``replica_diff``, found down a tree of digests.
+
+    Both sides are digested in ranges of the hashed key; ranges with equal digests are settled, and the others are digested again in
+    finer ranges, level by level while they are few. Only rows below digests that differ are compared, so two equal
+    tables of any size are read and not shuffled. The numbers of at most ``2**bits`` ranges are sent to tasks.
+    """
+    depth, differing = 0, None
+
+    def below(df: DataFrame, at: Column) -> DataFrame:
+        """Rows in a range that differs at the depth reached so far."""
+        if differing is None:
+            return df
+        keep = F.broadcast(differing.select(F.col("node").alias("__node")))
+        return df.join(keep, F.shiftrightunsigned(at, 64 - depth) == F.col("__node"), "left_semi")
+
+    for _ in range(levels):
+        sides = [_digests(below(_placed(df, key, ignore), F.col("__at")), depth + bits) for df in (a, b)]
+        left, right = (side.select("node", F.struct("rows", "digest").alias(name)) for side, name in zip(sides, "lr"))
+        finer = checkpointed(left.join(right, "node", "full").where(~F.col("l").eqNullSafe(F.col("r"))).select("node"), "ranges")
+        count = finer.count()
+        if not count:
+            return replica_diff(a.where(F.lit(False)), b.where(F.lit(False)), key, ignore)
+        if count > 1 << bits:
+            break
+        depth, differing = depth + bits, finer
+    at = F.xxhash64(*key)
+    return replica_diff(below(a, at), below(b, at), key, ignore).where("state <> 'equal'")
+
+
 def key_collisions(
     a: DataFrame, b: DataFrame, key: Sequence[str], kind: str, ignore: Sequence[str] = ()
 ) -> DataFrame:
@@ -141,7 +201,8 @@ def parity_report(
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``new`` to append: those whose key ``existing`` lacks, one per key.
 
-    Of several new rows with one key the smallest is taken, so a rerun chooses the same.
+    Of several new rows with one key the smallest is taken, so a rerun chooses the same. A null in a key is a value
+    like others: such a row is appended once.
     """
     rest = [c for c in new.columns if c not in key]
     if rest:
@@ -150,7 +211,9 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: Sequence[str]) ->
         ).select(*new.columns)
     else:
         one = new.distinct()
-    return one.join(existing.select(*key), list(key), "left_anti").select(*new.columns)
+    have = existing.select(*[F.col(k).alias(f"__k_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key]
+    return one.join(have, same, "left_anti").select(*new.columns)
 
 
 def changed_only(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from mailfleet.operators import replicas as R
@@ -102,3 +104,47 @@ def test_earlier_row_stays(spark):
     b = spark.createDataFrame([("1", "b", 6), ("2", "b", 4), ("3", "b", 5), ("4", "s", 1)], ddl)
     found = R.propose_resolution(R.key_collisions(a, b, ["k"], "natural"))
     assert rows_of(found, "k", "keep", "repair_on") == [("1", "A", "B"), ("2", "B", "A"), ("3", "A", "B")]
+
+
+LOG = "k string, v string, w bigint"
+
+
+def log_of(spark, n=6000):
+    return [(None if i == 7 else f"k{i}", None if i % 11 == 0 else f"v{i % 50}", i) for i in range(n)]
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """How many rows reach the comparison by key."""
+    seen, plain = [], R.replica_diff
+    monkeypatch.setattr(R, "replica_diff", lambda a, b, *rest: seen.append((a.count(), b.count())) or plain(a, b, *rest))
+    return seen
+
+
+def test_equal_replicas_are_compared_without_their_rows(spark, compared):
+    rows = log_of(spark)
+    a, b = spark.createDataFrame(rows, LOG), spark.createDataFrame(rows[::-1], LOG)
+    assert R.replica_changes(a, b, ["k"], bits=6).isEmpty() and compared == [(0, 0)]
+    nothing = spark.createDataFrame([], LOG)
+    assert R.replica_changes(nothing, nothing, ["k"]).isEmpty()
+
+
+@pytest.mark.parametrize("bits,levels,most", [(6, 2, 60), (6, 1, 1500), (1, 3, 12_000)])
+def test_digest_tree_finds_what_the_full_comparison_finds(spark, compared, bits, levels, most):
+    rows = log_of(spark)
+    changed = [*rows[:3], ("k3", "other", 3), ("k4", None, 4), *rows[6:], ("new", "x", 1), (None, "another null", 9), rows[20]]
+    a, b = spark.createDataFrame(rows, LOG), spark.createDataFrame(changed, LOG)
+    want = rows_of(R.replica_diff(a, b, ["k"]).where("state <> 'equal'"))
+    compared.clear()
+    assert rows_of(R.replica_changes(a, b, ["k"], bits=bits, levels=levels)) == want and len(want) >= 4
+    assert max(compared[0]) <= most
+    ignored = R.replica_changes(a, b, ["k"], ["v", "w"], bits=bits, levels=levels)
+    assert rows_of(ignored) == rows_of(R.replica_diff(a, b, ["k"], ["v", "w"]).where("state <> 'equal'"))
+
+
+def test_a_row_with_a_null_key_is_appended_once(spark):
+    have = spark.createDataFrame([("a", 1, "x")], "k string, n int, v string")
+    new = spark.createDataFrame([("a", 1, "y"), (None, 1, "y"), (None, 1, "x"), ("a", None, "z")], "k string, n int, v string")
+    first = R.insert_if_absent(new, have, ["k", "n"])
+    assert rows_of(first, "k", "n", "v") == sorted([(None, 1, "x"), ("a", None, "z")], key=repr)
+    assert R.insert_if_absent(new, have.union(first), ["k", "n"]).isEmpty()
