@@ -364,3 +364,22 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     id_type = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(
         run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def round_trip(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` for rows of ``doc_id, ids``; the digest is of the bytes that the ids decode to.
+
+    Null ids count as none. Each row is decoded by itself: repeated and null ``doc_id`` pass unchanged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas = [sha256(decoded(batch.column("ids")[i].as_py() or [], path)).hexdigest() for i in range(batch.num_rows)]
+            sizes = batch.column("ids").value_lengths().fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), sizes, batch.column("ids"), pa.array(shas, pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    id_type = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(
+        run, f"doc_id {id_type}, n_tokens bigint, ids array<int>, decoded_sha256 string")

@@ -87,7 +87,7 @@ def _signature(text: np.ndarray, h: np.ndarray, texts: int) -> list[pa.Array]:
     return out
 
 
-_BLOCK_BYTES = 32 << 20
+_BLOCK_BYTES = 8 << 20
 
 
 def _blocks(size: int, blocks: int):
@@ -352,7 +352,20 @@ def similar_groups(
 
 
 def one_of_each_group(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, all columns unchanged."""
-    gone = similar_groups(docs, size=size, percent=percent).where("component_id <> doc_id").select(
+    """The rows of ``docs`` (``doc_id, text``) that come first in their group, all columns unchanged.
+
+    A row goes by its id and text together. Where an id has several texts, each has a place of its own, after all plain
+    ids (numbers from 2**62 on, from a hash of both); so what goes for one text of an id leaves its other texts. Rows
+    with the same id and text stay or go together. Rows without an id stay: there is nothing to name them by.
+    So do texts without words, null ones too. An empty table stays empty; columns of any name are passed on.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    several = written(docs.where("doc_id is not null").select(F.col("doc_id").alias("_several"), F.xxhash64(text).alias("_t")).groupBy(
+        "_several").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo <> _hi").select("_several"), "several-texts")
+    own = F.xxhash64("_id", text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), "text").join(
+        several, F.col("_id") == F.col("_several"), "left").select(
+        "_doc", "text", F.when(F.col("_several").isNotNull(), own).otherwise(F.col("_id")).alias("_row"))
+    gone = similar_groups(rows, "_row", size=size, percent=percent).where("component_id <> doc_id").select(
         F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").select("_doc.*")

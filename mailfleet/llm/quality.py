@@ -154,13 +154,21 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(scored, f"doc_id {id_type}, score double")
 
 
+#: Text scored at a time where whole rows pass through.
+PIECE_BYTES = 1 << 20
+
+
 def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, all columns unchanged; nothing is shuffled."""
+    """The rows of ``docs`` that score ``threshold`` or more, all columns unchanged; nothing is shuffled.
+
+    Each row is judged by its own text: ids may be null or repeated, null texts count as empty, a score equal to the threshold
+    passes. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.in_pieces(batch, text_col):
+            for part in W.in_pieces(batch, text_col, PIECE_BYTES):
                 yield part.filter(pa.array(_scores(part.column(text_col), *sent.value) >= threshold))
 
     return docs.mapInArrow(passed, docs.schema)

@@ -28,10 +28,14 @@ def folder(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` stored once in the shared folder and read back: computed once, short lineage."""
+def written(df: DataFrame, purpose: str, row_group_bytes: int | None = None) -> DataFrame:
+    """``df`` stored once in the shared folder and read back: computed once, short lineage.
+
+    A writer holds a row group in memory; ``row_group_bytes`` bounds it for tables of whole texts.
+    """
     path = folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    writer = df.write if row_group_bytes is None else df.write.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

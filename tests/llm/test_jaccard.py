@@ -99,3 +99,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {i: root(i) for i in least}
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    """Several texts under one id stand for themselves."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " end", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (2, near), (2, other), (2, near), (6, other + " x"), (None, near + " more"), (3, ""), (4, None), (5, near), (5, near)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, _row int, _doc string")
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    # Of the other text and its near copy the one with a plain id stays.
+    want = [(1, text), (6, other + " x"), (None, near + " more"), (3, ""), (4, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert one_of_each_group(docs.limit(0)).count() == 0

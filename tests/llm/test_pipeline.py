@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import public_tokenizers
@@ -39,13 +40,14 @@ def test_stages_by_brute_force(spark, folder):
     got = {r.doc_id: r for r in P.STAGES[-1][1](spark, kept, folder).collect()}
     assert {i: list(r.ids) for i, r in got.items()} == {i: library.encode_ordinary(rows[i] or "") for i in clean}
     assert all(r.n_tokens == len(r.ids) for r in got.values())
+    assert all(r.decoded_sha256 == hashlib.sha256((rows[i] or "").encode()).hexdigest() for i, r in got.items())
 
 
 def test_run_is_its_stages(spark, folder):
     assert set(P.QUERIES) == {"pipeline", *P.OPERATORS} and P.QUERIES["pipeline"] is P.run
     assert sorted(int(name[2:].split("_")[0]) for name in P.OPERATORS) == list(range(1, 14))
     out = P.run(spark, folder)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 100
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 100
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a  b", None, "s", 4), (3, "a b", "en", None, 3)]])
