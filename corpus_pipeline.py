@@ -41,13 +41,17 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids``: the byte-level BPE ids of each document."""
+    """``doc_id, n_tokens, ids, decoded_sha256``: the byte-level BPE ids of each document, and the digest of the bytes they decode to."""
     import public_tokenizers
 
-    ids = bpe.encode(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return bpe.round_trip(ids, path)
 
 
+#: Texts that a writer holds before it puts them down.
+ROW_GROUP_BYTES = 16 << 20
+
 STAGES = [
     ("quality", good_quality), ("exact_dedup", no_copies), ("near_dedup", no_near_copies),
     ("decontamination", no_benchmark), ("byte_bpe", encoded),
@@ -58,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", ROW_GROUP_BYTES)
     return docs
 
 
