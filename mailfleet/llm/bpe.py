@@ -290,10 +290,12 @@ def encode_words(words: DataFrame, path: str) -> tuple[list[str], np.ndarray, np
 
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *,
-    sample_docs: int = 30_000, known_words: int = 1 << 17, batch_bytes: int = 4 << 20,
+    sample_docs: int = 30_000, known_words: int = 1 << 17, batch_bytes: int = 4 << 20, with_round_trip: bool = False,
 ) -> DataFrame:
     """``doc_id, ids`` for each row of ``docs``; ``ids`` as the tokenizer's own library gives them.
 
+    ``with_round_trip`` adds what ``round_trip`` does, in the same Python worker.
+
     ``path`` is a rank file that every machine has. Null and empty texts have no ids. ``doc_id``
     passes unchanged, null and repeated values too; other columns are ignored. ``sample_docs`` and
     ``known_words`` bound the dictionary that is made beforehand and sent to the tasks.
@@ -309,17 +311,19 @@ def encode(
         yield from _cut(path, pattern, sent.value[0], batch_bytes)(batches)
 
     def put_together(batches):
-        yield from _put_together(*sent.value[1])(batches)
+        whole = _put_together(*sent.value[1])(batches)
+        yield from _round_trip(path)(whole) if with_round_trip else whole
 
     rows = source.mapInArrow(cut, _CUT.format(id=id_type)).withColumn(
         "_words", F.transform("_words", lambda word: merged(word, vocab)))
-    return rows.mapInArrow(put_together, f"doc_id {id_type}, ids array<int>")
+    more = _ROUND_TRIP if with_round_trip else "ids array<int>"
+    return rows.mapInArrow(put_together, f"doc_id {id_type}, {more}")
 
 
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> list[bytes]:
     """Bytes of each id."""
-    ranks = vocabulary(path).ranks
+    ranks = ranks_of(path)
     out = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         out[rank] = piece
@@ -366,12 +370,10 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
         run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def round_trip(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` for rows of ``doc_id, ids``; the digest is of the bytes that the ids decode to.
+_ROUND_TRIP = "n_tokens bigint, ids array<int>, decoded_sha256 string"
 
-    Null ids count as none. Each row is decoded by itself: repeated and null ``doc_id`` pass unchanged.
-    """
 
+def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shas = [sha256(decoded(batch.column("ids")[i].as_py() or [], path)).hexdigest() for i in range(batch.num_rows)]
@@ -380,6 +382,13 @@ def round_trip(encoded: DataFrame, path: str) -> DataFrame:
                 [batch.column("doc_id"), sizes, batch.column("ids"), pa.array(shas, pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
+    return run
+
+
+def round_trip(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` for rows of ``doc_id, ids``; the digest is of the bytes that the ids decode to.
+
+    Null ids count as none. Each row is decoded by itself: repeated and null ``doc_id`` pass unchanged.
+    """
     id_type = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, f"doc_id {id_type}, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(_round_trip(path), f"doc_id {id_type}, {_ROUND_TRIP}")
