@@ -45,8 +45,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.round_trip(ids, path)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, with_round_trip=True)
 
 
 #: Texts that a writer holds before it puts them down.
