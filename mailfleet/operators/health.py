@@ -12,6 +12,8 @@ from mailfleet.functions.scalars import band, epoch_s
 from mailfleet.plans.scan import balanced, growth, previous, time_chunk
 
 # Thresholds of the checks and the ports that must be open or closed.
+MAX_HANDSHAKE_S = 300
+ID_RING = 2
 MAX_LAG_S = 300
 MAX_QUEUED = 500
 QUEUE_BAND = (100, 500)
@@ -51,16 +53,34 @@ def severity_bands(samples: DataFrame) -> DataFrame:
     )
 
 
-def problem_list() -> Column:
-    """Problems of a replica sample with the columns of its status dump and its queue."""
+def problem_list(columns: Sequence[str] = ()) -> Column:
+    """Problems of a replica sample with the columns of its status dump and its queue.
+
+    An empty status is one problem: nothing is replicated at all. ``columns`` are those that samples have; where
+    ``handshake_age_s`` (0 or null: never), ``id_increment``, ``id_offset`` and ``own_offset`` are among them, an old handshake of
+    the tunnel and wrong id settings are problems too.
+    """
     io, sql = F.col("Slave_IO_Running"), F.col("Slave_SQL_Running")
     running_both = (io == "Yes") & (sql == "Yes")
     errno = F.coalesce(F.col("Last_Errno").try_cast("int"), F.lit(0))
     lag_text = F.col("Seconds_Behind_Master")
     lag = lag_text.try_cast("bigint")
+    empty = io.isNull() & sql.isNull() & lag_text.isNull() & F.col("Last_Errno").isNull()
+    more = []
+    if "handshake_age_s" in columns:
+        age = F.col("handshake_age_s")
+        more.append((age > MAX_HANDSHAKE_S, F.concat(F.lit("no tunnel handshake for "), age.cast("string"), F.lit("s"))))
+    if "id_increment" in columns:
+        step, offset = F.col("id_increment"), F.col("id_offset")
+        shown = [F.coalesce(c.cast("string"), F.lit("?")) for c in (step, offset)]
+        more += [
+            (~step.eqNullSafe(F.lit(ID_RING)), F.concat(F.lit("id increment is "), shown[0])),
+            (~offset.eqNullSafe(F.col("own_offset")), F.concat(F.lit("id offset is "), shown[1])),
+        ]
     return findings([
-        (~io.eqNullSafe(F.lit("Yes")), "io thread stopped"),
-        (~sql.eqNullSafe(F.lit("Yes")), "sql thread stopped"),
+        (empty, "status is empty: nothing is replicated"),
+        (~empty & ~io.eqNullSafe(F.lit("Yes")), "io thread stopped"),
+        (~empty & ~sql.eqNullSafe(F.lit("Yes")), "sql thread stopped"),
         (errno == DUPLICATE_KEY, "duplicate key: both nodes wrote the same row"),
         ((errno != 0) & (errno != DUPLICATE_KEY),
          F.concat(F.lit("replica error "), errno.cast("string"))),
@@ -68,11 +88,12 @@ def problem_list() -> Column:
         (lag > MAX_LAG_S, F.concat(F.lit("lag "), lag.cast("string"), F.lit("s"))),
         (F.col("queued") > MAX_QUEUED, F.concat(F.lit("queue "), F.col("queued").cast("string"))),
         (F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" failed requests"))),
+        *more,
     ])
 
 
 def replica_problems(samples: DataFrame, keep: Sequence[str] = ("sample_id", "node")) -> DataFrame:
-    return samples.select(*keep, F.explode(problem_list()).alias("problem"))
+    return samples.select(*keep, F.explode(problem_list(samples.columns)).alias("problem"))
 
 
 def port_findings(scan: DataFrame) -> DataFrame:

@@ -158,3 +158,18 @@ def test_ipv4(spark, text, ok):
 def test_cidr(spark):
     row = spark.createDataFrame([("10.77.3.9/16",)], "t string").select(S.cidr_range("t").alias("r")).first().r
     assert (row.lo, row.hi) == S.cidr_bounds("10.77.0.0/16") == (172818432, 172883967)
+
+
+def test_replica_problems_of_empty_status_tunnel_and_ids(spark):
+    ddl = ("sample_id int, node string, Slave_IO_Running string, Slave_SQL_Running string, Seconds_Behind_Master string, Last_Errno string, "
+           "queued bigint, failed bigint, handshake_age_s bigint, id_increment int, id_offset int, own_offset int")
+    ok = ("Yes", "Yes", "0", "0", 0, 0)
+    rows = [(1, "A", None, None, None, None, 0, 0, 0, 2, 1, 1), (2, "A", *ok, 301, 2, 1, 1), (3, "A", *ok, 300, 1, 1, 2),
+            (4, "A", *ok, None, None, None, 1), (5, "A", None, "Yes", "0", "0", 0, 0, 5, 2, 2, 2)]
+    df = spark.createDataFrame(rows, ddl)
+    got = sorted((r.sample_id, r.problem) for r in H.replica_problems(df).collect())
+    assert got == [
+        (1, "status is empty: nothing is replicated"), (2, "no tunnel handshake for 301s"), (3, "id increment is 1"), (3, "id offset is 1"),
+        (4, "id increment is ?"), (4, "id offset is ?"), (5, "io thread stopped")]
+    plain = df.drop("handshake_age_s", "id_increment", "id_offset", "own_offset")
+    assert {r.sample_id for r in H.replica_problems(plain).collect()} == {1, 5}
