@@ -105,10 +105,11 @@ def _(v):
 @query("snk03_health_report", f"""
 with b as (select sample_id, node, {_BAND} from fx_sample),
 c as (select sample_id, node, unnest([1, 2, 3, 4]) as i, unnest(['queue', 'disk', 'lag', 'errno']) as name, unnest([queue_state, disk_state, lag_state, errno_state]) as status from b)
-select sample_id, '{{"node":"' || node || '","ok":' || cast(count(*) filter (status = 'ok') as varchar) || ',"warn":' || cast(count(*) filter (status = 'warn') as varchar) || ',"error":' || cast(count(*) filter (status = 'error') as varchar)
+select sample_id, '{{"node":"' || node || '","hostname":"' || lower(node) || '.example.com","ok":' || cast(count(*) filter (status = 'ok') as varchar) || ',"warn":' || cast(count(*) filter (status = 'warn') as varchar) || ',"error":' || cast(count(*) filter (status = 'error') as varchar)
  || ',"problems":[' || coalesce(string_agg('"' || name || ': ' || status || '"', ',' order by case status when 'error' then 0 else 1 end, i) filter (status <> 'ok'), '') || ']}}' as report from c group by sample_id, node""")
 def _(v):
-    return H.health_report(v("fx_sample"))
+    named = F.concat(F.lower("node"), F.lit(".example.com"))
+    return H.health_report(v("fx_sample").withColumn("hostname", named))
 
 
 def states(v: Views):

@@ -133,8 +133,8 @@ def health_rollup(checks: DataFrame, by: Sequence[str] = ("node",)) -> DataFrame
 
 
 def health_report(samples: DataFrame) -> DataFrame:
-    """One JSON report per sample, errors before warnings. The checks of a sample are columns of
-    its row, so the report is built in place."""
+    """One JSON report per sample, errors before warnings, with the ``hostname`` where samples have
+    one. The checks of a sample are columns of its row, so the report is built in place."""
     checks = {
         "queue": band("queued", *QUEUE_BAND),
         "disk": band("disk_pct", *DISK_BAND),
@@ -156,6 +156,7 @@ def health_report(samples: DataFrame) -> DataFrame:
     )
     report = F.struct(
         F.col("node").alias("node"),
+        *([F.col("hostname").alias("hostname")] if "hostname" in samples.columns else []),
         F.size(having("ok")).alias("ok"),
         F.size(having("warn")).alias("warn"),
         F.size(having("error")).alias("error"),
