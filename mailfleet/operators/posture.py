@@ -23,6 +23,9 @@ MAX_SPF_LOOKUPS = 10
 SPF_LOOKUP_MECHANISMS = r"^[+?~-]?(include:|a$|a:|a/|mx$|mx:|mx/|ptr$|ptr:|exists:)"
 KEY_OVERLAP_DAYS = 7
 STAGE_DAYS = 14
+STAGE_PCT = 25
+SERVICES = ("mail", "webmail", "autoconfig", "autodiscover")
+FAILOVER_SERVICES = ("mail", "webmail")
 CERT_ISSUER = "letsencrypt.org"
 SRV_PORTS = {"_imaps._tcp": 993, "_submission._tcp": 587, "_submissions._tcp": 465,
              "_sieve._tcp": 4190}
@@ -31,20 +34,24 @@ REFUSED_SRV = ("_pop3._tcp", "_pop3s._tcp")
 
 @dataclass(frozen=True)
 class DnsPolicy:
-    """The two nodes and the labels that must lead to them."""
+    """The two nodes, and the names that must lead to them.
 
-    nodes: tuple[str, str] = ("sg1.example.com", "us1.example.com")
-    addresses: tuple[str, str] = ("203.0.113.10", "198.51.100.20")
-    services: tuple[str, ...] = ("mail",)
+    ``services`` lead to both nodes, ``failover`` are those a failover takes a node out of, and
+    ``admin`` leads to the first node alone.
+    """
+
+    nodes: tuple[str, str]
+    addresses: tuple[str, str]
+    services: tuple[str, ...] = SERVICES
+    failover: tuple[str, ...] = FAILOVER_SERVICES
     admin: str = "admin"
-    node_labels: tuple[str, ...] = ("sg1", "us1")
     ttl: int = FAILOVER_TTL
 
 
 # -- comparing records -----------------------------------------------------------------------
 
 
-def expected_records(zones: DataFrame, policy: DnsPolicy = DnsPolicy()) -> DataFrame:
+def expected_records(zones: DataFrame, policy: DnsPolicy) -> DataFrame:
     """The address and exchanger records every zone should publish."""
     rows = [("@", "MX", n) for n in policy.nodes]
     rows += [(s, "A", a) for s in policy.services for a in policy.addresses]
@@ -139,7 +146,7 @@ def _finding_rows(df: DataFrame, keep: Sequence[str], rules) -> DataFrame:
     return df.select(*keep, F.explode(findings(rules)).alias("finding"))
 
 
-def dns_posture(records: DataFrame, policy: DnsPolicy = DnsPolicy()) -> DataFrame:
+def dns_posture(records: DataFrame, policy: DnsPolicy) -> DataFrame:
     """Findings per zone. All rules are conditional aggregates of one grouping, so a zone's
     records are combined on the map side and never gathered in a list."""
     rows = records.select(
@@ -177,9 +184,13 @@ def dns_posture(records: DataFrame, policy: DnsPolicy = DnsPolicy()) -> DataFram
         (F.col("admin_a") != 1, "admin name needs exactly one address"),
         (F.col("ttl_hi") > policy.ttl, "ttl of a failover name too long"),
     ]
-    for label in policy.node_labels:
+    for node in policy.nodes:
+        # A node's name must exist in its own zone; elsewhere the label may be absent.
+        label, _, home = node.partition(".")
+        count = F.col(f"node_{label}")
         measures.append(F.count_if(a_of(label)).alias(f"node_{label}"))
-        rules.append((F.col(f"node_{label}") > 1, f"node name {label} has several addresses"))
+        rules.append((count > 1, f"node name {label} has several addresses"))
+        rules.append(((norm_host("zone") == home) & (count == 0), f"node name {label} has no address"))
     for label in policy.services:
         for i, address in enumerate(policy.addresses):
             hit = a_of(label) & (F.col("target") == address)
@@ -304,7 +315,7 @@ def spf_rows(records: DataFrame) -> DataFrame:
     ).where(F.col("position") > 0)
 
 
-def spf_audit(records: DataFrame, policy: DnsPolicy = DnsPolicy()) -> DataFrame:
+def spf_audit(records: DataFrame, policy: DnsPolicy) -> DataFrame:
     """Per zone: number of records, node addresses authorised, mechanisms that cost a DNS lookup
     (worst record) and the qualifier at the end."""
     is_spf = F.coalesce(
@@ -354,10 +365,13 @@ def selector_coverage(reports: DataFrame, expected: Sequence[str]) -> DataFrame:
 
 def dmarc_stage(
     reports: DataFrame, expected: Sequence[str], min_pass_pct: int = 100,
-    stage_days: int = STAGE_DAYS,
+    stage_days: int = STAGE_DAYS, quarantine_pct: int = STAGE_PCT,
 ) -> DataFrame:
-    """Policy stage a domain is ready for: ``none`` until two weeks of clean reports from every
-    selector, then ``quarantine``, and ``reject`` after two more weeks."""
+    """How strict a domain's policy may be, by the span of its reports.
+
+    A span of ``stage_days`` in which all expected selectors report and pass allows ``quarantine``
+    for a share of the messages (``pct``), twice that span ``reject``; anything else is ``none``.
+    """
     per_selector = reports.groupBy("domain", "selector").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pass").alias("passed"),
         F.min(epoch_s("ts")).alias("lo"), F.max(epoch_s("ts")).alias("hi"),
@@ -373,7 +387,52 @@ def dmarc_stage(
         F.when(~ready | (F.col("days") < stage_days), "none")
         .when(F.col("days") < 2 * stage_days, "quarantine").otherwise("reject")
     )
-    return per_domain.withColumn("stage", stage)
+    pct = F.when(F.col("stage") == "quarantine", quarantine_pct).otherwise(100)
+    return per_domain.withColumn("stage", stage).withColumn("pct", pct)
+
+
+# -- distinct counts that merge --------------------------------------------------------------
+
+
+def distinct_sketches(
+    rows: DataFrame, keys: Sequence[str], value: str, time: str, lg_k: int = 14
+) -> DataFrame:
+    """One sketch of the distinct values per key and day, to be stored and merged later.
+
+    Null values are not counted. A sketch has at most about ``2**lg_k`` bytes whatever it has seen,
+    and sketches are combined before the shuffle.
+    """
+    return rows.groupBy(*keys, F.to_date(time).alias("day")).agg(
+        F.hll_sketch_agg(value, lg_k).alias("sketch")
+    )
+
+
+def merged_distinct(
+    sketches: DataFrame, keys: Sequence[str], first_day: Column | None = None,
+    last_day: Column | None = None,
+) -> DataFrame:
+    """Estimated distinct values per key over stored days, both ends included.
+
+    A value seen on several days counts once. Rows of the days are not read again. Small counts are
+    exact up to rounding, larger ones are off by ``sketch_error`` at most, but for rare cases.
+    """
+    kept = sketches
+    if first_day is not None:
+        kept = kept.where(F.col("day") >= first_day)
+    if last_day is not None:
+        kept = kept.where(F.col("day") <= last_day)
+    return kept.groupBy(*keys).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate")
+    )
+
+
+def sketch_error(lg_k: int = 14) -> float:
+    """Five standard deviations of a merged estimate, relative: 0.041 for the default size.
+
+    Whatever the distribution, 96 of 100 estimates at least lie within. Three deviations would be
+    too few: counts of some five times ``2**lg_k`` were seen four away.
+    """
+    return 5 * 1.04 / 2 ** (lg_k / 2)
 
 
 # -- certificates and keys over time -------------------------------------------------------------
@@ -383,28 +442,49 @@ def san_rows(certs: DataFrame, col: str = "sans") -> DataFrame:
     return certs.select("lineage", F.explode(to_list(col)).alias("san")).distinct()
 
 
+def guarded_offers(offers: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Offers with ``bundle_ok`` (their ``bundle`` came with a manifest and matches it whole) and
+    ``key_ok`` (the private key belongs to the certificate). Absent facts count as not ok."""
+    accepted = verify_manifest(files, manifest).groupBy(F.col("bundle").alias("__b")).agg(
+        F.min("accepted").alias("__accepted")
+    )
+    rows = offers.join(accepted, F.col("bundle") == F.col("__b"), "left")
+    return rows.select(
+        *[F.col(c) for c in offers.columns],
+        (F.coalesce("__accepted", F.lit(0)) == 1).alias("bundle_ok"),
+        F.coalesce(F.col("cert_hash") == F.col("key_hash"), F.lit(False)).alias("key_ok"),
+    )
+
+
 def install_decisions(
-    offers: DataFrame, seq: str = "seq", chunk_size: int = 10_000, forced: str | None = None
+    offers: DataFrame, seq: str = "seq", chunk_size: int = 10_000, forced: str | None = None,
+    guards: Sequence[str] = (),
 ) -> DataFrame:
     """What a follower does with each offered certificate, in order: install, skip or refuse.
 
     The serial that is installed already is skipped and one that expires earlier is refused, so
     what is installed is always the offer with the latest expiry so far, the later one of equals.
     That makes the rule a running maximum. A forced offer is installed whatever it replaces, and
-    begins a new run.
+    begins a new run. ``guards`` are flags of the offers (``guarded_offers``): where one is not
+    true, the offer is refused, forced or not, and changes nothing. With guards, ``reason`` names
+    the first that failed, or ``expiry``.
     """
-    rows = offers.withColumn(
-        "__forced", F.col(forced).cast("int") if forced else F.lit(0)
+    passed = F.lit(True)
+    for guard in guards:
+        passed = passed & F.coalesce(F.col(guard).cast("boolean"), F.lit(False))
+    rows = offers.withColumn("__passed", passed).withColumn(
+        "__forced", (F.col(forced).cast("int") if forced else F.lit(0)) * passed.cast("int")
     )
     chunk = id_chunk(seq, chunk_size)
     keys = ["lineage"]
     if forced:
         rows = running(rows, keys, [seq], chunk, F.col("__forced"), "__run_no")
         keys = ["lineage", "__run_no"]
-    current = F.struct(F.col("not_after"), F.col(seq), F.col("serial"))
+    current = F.when(F.col("__passed"), F.struct(F.col("not_after"), F.col(seq), F.col("serial")))
     rows = running(rows, keys, [seq], chunk, current, "__cur", how="max", before=True)
     decision = first_match(
         [
+            (~F.col("__passed"), "refuse"),
             (F.col("__forced") == 1, "install"),
             (F.col("__cur").isNull(), "install"),
             (F.col("__cur.serial") == F.col("serial"), "skip"),
@@ -412,10 +492,15 @@ def install_decisions(
         ],
         "install",
     )
-    return rows.select(
+    out = rows.select(
         *[F.col(c) for c in offers.columns], F.col("__cur.serial").alias("installed"),
         decision.alias("decision"),
     )
+    if not guards:
+        return out
+    failed = [(~F.coalesce(F.col(g).cast("boolean"), F.lit(False)), g) for g in guards]
+    reason = first_match([*failed, (F.col("decision") == "refuse", "expiry")])
+    return out.withColumn("reason", reason)
 
 
 def rotation_overlap(
@@ -437,7 +522,7 @@ def rotation_overlap(
 
 
 def failover_plan(
-    probes: DataFrame, records: DataFrame, policy: DnsPolicy = DnsPolicy()
+    probes: DataFrame, records: DataFrame, policy: DnsPolicy
 ) -> DataFrame:
     """Record changes that take the peer out of a zone, when both the tunnel and the public probe
     fail; a zone whose peer answers either is refused. Exchanger records are never touched."""
@@ -445,7 +530,7 @@ def failover_plan(
     dead = (F.col("tunnel_ok") == 0) & (F.col("public_ok") == 0)
     verdicts = probes.select("zone", F.when(dead, "promote").otherwise("refuse").alias("verdict"))
     address = records.where(F.col("type") == "A")
-    withdraw = F.col("name").isin(*policy.services) & (F.col("target") == peer)
+    withdraw = F.col("name").isin(*policy.failover) & (F.col("target") == peer)
     steer = (F.col("name") == policy.admin) & (F.col("target") != own)
     action = first_match([(withdraw, "delete"), (steer, "repoint")])
     changes = address.select(
@@ -460,11 +545,11 @@ def failover_plan(
     )
 
 
-def restore_plan(records: DataFrame, policy: DnsPolicy = DnsPolicy()) -> DataFrame:
-    """Address records to add so that both nodes serve every service name again."""
+def restore_plan(records: DataFrame, policy: DnsPolicy) -> DataFrame:
+    """Address records to add so that both nodes serve every failover name again."""
     cells = [
         F.struct(F.lit(s).alias("name"), F.lit(a).alias("target"))
-        for s in policy.services for a in policy.addresses
+        for s in policy.failover for a in policy.addresses
     ]
     wanted = records.select("zone").distinct().select("zone", F.inline(F.array(*cells)))
     held = records.where(F.col("type") == "A").select("zone", "name", "target")

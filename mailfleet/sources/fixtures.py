@@ -47,7 +47,11 @@ def needed_views(sql: str) -> list[str]:
 
 
 def with_views(sql: str) -> str:
-    """``sql`` as one statement, with the views it uses as common table expressions."""
+    """``sql`` for the oracle: one statement, with the views it uses as common table expressions."""
+    return _combined(sql).replace("explode(array(", "unnest(list_value(")
+
+
+def _combined(sql: str) -> str:
     ctes = ",\n".join(f"{v} as (\n{view_sql()[v]}\n)" for v in needed_views(sql))
     body = sql.strip()
     if not ctes:
@@ -76,7 +80,7 @@ class Views:
         return self.sql(view_sql()[name])
 
     def sql(self, text: str) -> DataFrame:
-        full = with_views(text)
+        full = _combined(text)
         words = set(_WORD.findall(full.lower()))
         for table in TABLES:
             if table in words:

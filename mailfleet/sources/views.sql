@@ -107,17 +107,15 @@ select concat('h', cast(p_partkey % 200 as string), '.example.com') as lineage,
  md5(cast(p_partkey as string)) as cert_hash, md5(cast(case when p_partkey % 50 = 0 then -1 else p_partkey end as string)) as key_hash from part
 
 -- view: fx_dns
-select concat('d', cast(n_nationkey as string), '.example.com') as zone, '@' as name, 'MX' as type, 10 as prio, 'sg1.example.com.' as target, 3600 as ttl from zone_seed
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '@', 'MX', 10, case when n_nationkey % 6 = 0 then '203.0.113.10' else 'us1.example.com.' end, 3600 from zone_seed where n_nationkey % 5 <> 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'mail', 'A', 0, '203.0.113.10', case when n_nationkey % 4 = 0 then 3600 else 300 end from zone_seed
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'mail', 'A', 0, '198.51.100.20', 300 from zone_seed where n_nationkey % 7 <> 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'admin', 'A', 0, '203.0.113.10', 300 from zone_seed
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'admin', 'A', 0, '198.51.100.20', 300 from zone_seed where n_nationkey % 8 = 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '@', 'TXT', 0, case when n_nationkey % 9 = 0 then 'v=spf1 ip4:203.0.113.10 ~all' else 'v=spf1 ip4:203.0.113.10 ip4:198.51.100.20 -all' end, 3600 from zone_seed
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '@', 'TXT', 0, 'v=spf1 include:other.example -all', 3600 from zone_seed where n_nationkey % 10 = 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '_dmarc', 'TXT', 0, concat('v=DMARC1; p=', case n_nationkey % 3 when 0 then 'none' when 1 then 'quarantine' else 'reject' end, '; adkim=r; aspf=r'), 3600 from zone_seed where n_nationkey % 11 <> 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'mail', 'AAAA', 0, '2001:db8::1', 300 from zone_seed where n_nationkey % 5 = 1
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '_pop3._tcp', 'SRV', 0, case when n_nationkey % 4 = 1 then 'mail.example.com.' else '.' end, 3600 from zone_seed
+select zone, case when i in (0, 1, 6, 7) then '@' when i in (2, 3, 9) then 'mail' when i in (4, 5) then 'admin' when i = 8 then '_dmarc' when i = 10 then '_pop3._tcp' when i in (11, 12) then 'webmail' when i in (13, 14) then 'autoconfig' else 'autodiscover' end as name,
+ case when i < 2 then 'MX' when i in (6, 7, 8) then 'TXT' when i = 9 then 'AAAA' when i = 10 then 'SRV' else 'A' end as type, case when i < 2 then 10 else 0 end as prio,
+ case i when 0 then 'sg1.example.com.' when 1 then (case when n % 6 = 0 then '203.0.113.10' else 'us1.example.com.' end)
+  when 6 then (case when n % 9 = 0 then 'v=spf1 ip4:203.0.113.10 ~all' else 'v=spf1 ip4:203.0.113.10 ip4:198.51.100.20 -all' end) when 7 then 'v=spf1 include:other.example -all'
+  when 8 then concat('v=DMARC1; p=', case n % 3 when 0 then 'none' when 1 then 'quarantine' else 'reject' end, '; adkim=r; aspf=r') when 9 then '2001:db8::1' when 10 then (case when n % 4 = 1 then 'mail.example.com.' else '.' end)
+  else (case when i in (2, 4, 11, 13, 15) then '203.0.113.10' else '198.51.100.20' end) end as target,
+ case when i = 2 then (case when n % 4 = 0 then 3600 else 300 end) when i = 16 then (case when n % 12 = 5 then 900 else 300 end) when i in (3, 4, 5, 9, 11, 12, 13, 14, 15) then 300 else 3600 end as ttl
+from (select n_nationkey as n, concat('d', cast(n_nationkey as string), '.example.com') as zone, explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)) as i from zone_seed) r
+where case i when 1 then n % 5 <> 0 when 3 then n % 7 <> 0 when 5 then n % 8 = 0 when 7 then n % 10 = 0 when 8 then n % 11 <> 0 when 9 then n % 5 = 1 when 12 then n % 6 <> 5 when 13 then n % 9 <> 2 else true end
 
 -- view: fx_ptr
 select concat('10.', cast(cast(floor(n_nationkey / 65536) as int) % 256 as string), '.', cast(cast(floor(n_nationkey / 256) as int) % 256 as string), '.', cast(n_nationkey % 256 as string)) as ip,
@@ -137,7 +135,7 @@ select concat('d', cast(n_nationkey as string), '.example.com') as zone, 'sg' as
 
 -- view: fx_report
 select concat('d', cast(user_id % 25 as string), '.example.com') as domain, case when event_id % 2 = 0 or user_id % 25 = 3 then 'sg' else 'us' end as selector,
- case when event_type = 'error' and user_id % 5 = 0 then 0 else 1 end as pass, ts from events
+ case when event_type = 'error' and user_id % 5 = 0 then 0 else 1 end as pass, ts, user_id from events
 
 -- view: fx_dnsbl
 select concat('203.0.113.', cast(user_id % 40 as string)) as ip, case event_type when 'error' then 'zen' when 'click' then 'spamcop' when 'view' then 'barracuda' else 'dnswl2' end as list_name
@@ -218,11 +216,12 @@ select n_nationkey as zone_no, concat('d', cast(n_nationkey as string), '.exampl
 select concat('d', cast(n_nationkey as string), '.example.com') as zone, case when n_nationkey % 3 = 0 then 1 else 0 end as tunnel_ok, case when n_nationkey % 4 = 0 then 1 else 0 end as public_ok from zone_seed
 
 -- view: fx_policy
-select concat('d', cast(n_nationkey as string), '.example.com') as zone, '_mta-sts' as name, 'TXT' as type, 'v=STSv1; id=20260101000000Z' as target from zone_seed where n_nationkey % 6 <> 1
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'mta-sts-policy', 'STS', concat('version: STSv1', chr(10), 'mode: enforce', chr(10), 'mx: sg1.example.com', chr(10), case when n_nationkey % 5 = 2 then '' else concat('mx: us1.example.com', chr(10)) end, 'max_age: 604800') from zone_seed where n_nationkey % 6 <> 1
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '_smtp._tls', 'TXT', 'v=TLSRPTv1; rua=mailto:tlsrpt@example.com' from zone_seed where n_nationkey % 8 <> 3
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '@', 'CAA', case when n_nationkey % 9 = 4 then '0 issue "other-ca.example"' else '0 issue "letsencrypt.org"' end from zone_seed where n_nationkey % 10 <> 5
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '_imaps._tcp', 'SRV', case when n_nationkey % 7 = 6 then '0 1 143 mail.example.net.' else concat('0 1 993 mail.d', cast(n_nationkey as string), '.example.com.') end from zone_seed
+select zone, case i when 0 then '_mta-sts' when 1 then 'mta-sts-policy' when 2 then '_smtp._tls' when 3 then '@' else '_imaps._tcp' end as name, case i when 1 then 'STS' when 3 then 'CAA' when 4 then 'SRV' else 'TXT' end as type,
+ case i when 0 then 'v=STSv1; id=20260101000000Z' when 1 then concat('version: STSv1', chr(10), 'mode: enforce', chr(10), 'mx: sg1.example.com', chr(10), case when n % 5 = 2 then '' else concat('mx: us1.example.com', chr(10)) end, 'max_age: 604800')
+  when 2 then 'v=TLSRPTv1; rua=mailto:tlsrpt@example.com' when 3 then (case when n % 9 = 4 then '0 issue "other-ca.example"' else '0 issue "letsencrypt.org"' end)
+  else (case when n % 7 = 6 then '0 1 143 mail.example.net.' else concat('0 1 993 mail.', zone, '.') end) end as target
+from (select n_nationkey as n, concat('d', cast(n_nationkey as string), '.example.com') as zone, explode(array(0, 1, 2, 3, 4)) as i from zone_seed) r
+where case i when 0 then n % 6 <> 1 when 1 then n % 6 <> 1 when 2 then n % 8 <> 3 when 3 then n % 10 <> 5 else true end
 union all select zone, name, type, target from fx_dns where name in ('_dmarc', '_pop3._tcp') or type = 'MX'
 
 -- view: fx_folder
@@ -265,10 +264,10 @@ select zone, selector, case when published is null then cast(null as string) whe
 
 -- view: fx_dns_more
 select zone, name, type, prio, target, ttl from fx_dns
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'mx', 'CNAME', 0, 'sg1.example.com.', 3600 from zone_seed where n_nationkey % 13 = 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), '@', 'MX', 20, concat('mx.d', cast(n_nationkey as string), '.example.com.'), 3600 from zone_seed where n_nationkey % 13 = 0
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'sg1', 'A', 0, '203.0.113.10', 3600 from zone_seed where n_nationkey % 17 < 2
-union all select concat('d', cast(n_nationkey as string), '.example.com'), 'sg1', 'A', 0, '203.0.113.11', 3600 from zone_seed where n_nationkey % 17 = 1
+union all select case when i = 4 then 'example.com' else zone end, case i when 0 then 'mx' when 1 then '@' when 4 then 'us1' else 'sg1' end, case i when 0 then 'CNAME' when 1 then 'MX' else 'A' end, case when i = 1 then 20 else 0 end,
+ case i when 0 then 'sg1.example.com.' when 1 then concat('mx.', zone, '.') when 2 then '203.0.113.10' when 3 then '203.0.113.11' else '198.51.100.20' end, 3600
+from (select n_nationkey as n, concat('d', cast(n_nationkey as string), '.example.com') as zone, explode(array(0, 1, 2, 3, 4)) as i from zone_seed) r
+where case i when 0 then n % 13 = 0 when 1 then n % 13 = 0 when 2 then n % 17 < 2 when 3 then n % 17 = 1 else n = 1 end
 
 -- view: fx_sni_host
 select o_orderkey as host_no, case when o_orderkey % 3 = 0 then concat('www', cast(o_orderkey % 9 as string), '.example.com') else concat('H', cast(o_orderkey % 260 as string), '.Example.com.') end as host from orders

@@ -14,6 +14,9 @@ from mailfleet.sources.status import parse_queue_status, parse_status_dump
 from tests.compare import rows_of
 
 
+POLICY = P.DnsPolicy(("sg1.example.com", "us1.example.com"), ("203.0.113.10", "198.51.100.20"))
+
+
 def decide(offers):
     """One offer at a time: (seq, serial, end, force)."""
     cur, out = None, []
@@ -81,7 +84,7 @@ def test_spf(spark):
     rows = [("a", f"v=spf1 {both} -all"), ("b", f"v=spf1 {both} ~all"), ("c", f"v=spf1 {both} {many} a mx -all"),
             ("d", f"v=spf1 {both} -all"), ("d", "v=spf1 -all"), ("e", "v=spf1 ip4:203.0.113.100 ip4:198.51.100.20 -all")]
     df = spark.createDataFrame([(z, "@", "TXT", t) for z, t in rows], "zone string, name string, type string, target string")
-    assert rows_of(P.spf_audit(df), "zone", "records", "nodes_authorised", "lookups", "ending", "status") == [
+    assert rows_of(P.spf_audit(df, POLICY), "zone", "records", "nodes_authorised", "lookups", "ending", "status") == [
         ("a", 1, 2, 0, "-", "ok"), ("b", 1, 2, 0, "~", "warn"), ("c", 1, 2, 11, "-", "error"),
         ("d", 2, 2, 0, "-", "error"), ("e", 1, 1, 0, "-", "error")]
 
@@ -173,3 +176,73 @@ def test_replica_problems_of_empty_status_tunnel_and_ids(spark):
         (4, "id increment is ?"), (4, "id offset is ?"), (5, "io thread stopped")]
     plain = df.drop("handshake_age_s", "id_increment", "id_offset", "own_offset")
     assert {r.sample_id for r in H.replica_problems(plain).collect()} == {1, 5}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_failed_guards_refuse_and_change_nothing(spark, seed):
+    rng = random.Random(seed)
+    ends = {s: rng.randrange(50) for s in range(12)}
+    offers = [(q, s, ends[s], int(rng.random() < 0.15), rng.choice([True, True, False, None]), rng.random() < 0.8)
+              for q in range(60) for s in [rng.randrange(12)]]
+    df = spark.createDataFrame([("l", *o) for o in offers], "lineage string, seq bigint, serial bigint, not_after bigint, force int, bundle_ok boolean, key_ok boolean")
+    good = decide([o[:4] for o in offers if o[4] and o[5]])
+    want = sorted([*good, *((o[0], "refuse") for o in offers if not (o[4] and o[5]))])
+    for chunk in (1, 7, 1000):
+        got = P.install_decisions(df, chunk_size=chunk, forced="force", guards=("bundle_ok", "key_ok"))
+        assert rows_of(got, "seq", "decision") == sorted(want, key=repr)
+        reasons = {r.seq: r.reason for r in got.collect()}
+        for seq, _, _, _, bundle, key in offers:
+            if not bundle or not key:
+                assert reasons[seq] == ("key_ok" if bundle else "bundle_ok")
+            else:
+                assert reasons[seq] in (None, "expiry")
+
+
+def test_guards_need_a_manifest_and_a_key(spark):
+    offers = spark.createDataFrame([("l", 1, 1, 5, 1, "k", "k"), ("l", 2, 2, 6, 2, "k", "k"), ("l", 3, 3, 7, 3, "k", None), ("l", 4, 4, 8, None, "k", "k")],
+                                   "lineage string, seq int, serial int, not_after int, bundle int, cert_hash string, key_hash string")
+    files = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x")], "bundle int, name string, content string")
+    listed = files.where("bundle <> 2").select("bundle", "name", F.sha2("content", 256).alias("sha256"))
+    got = P.guarded_offers(offers, files, listed)
+    assert rows_of(got, "seq", "bundle_ok", "key_ok") == [(1, True, True), (2, False, True), (3, True, False), (4, False, True)]
+
+
+def test_node_names_and_services(spark):
+    rows = [("example.com", "us1", "A", "198.51.100.20", 60), ("z.org", "@", "MX", "sg1.example.com", 60), ("z.org", "webmail", "A", "203.0.113.10", 900)]
+    df = spark.createDataFrame([(z, n, t, 10, ttl, x) for z, n, t, x, ttl in rows], "zone string, name string, type string, prio int, ttl int, target string")
+    got = rows_of(P.dns_posture(df, POLICY), "zone", "finding")
+    assert ("example.com", "node name sg1 has no address") in got and ("example.com", "node name us1 has no address") not in got
+    assert not [f for z, f in got if z == "z.org" and "node name" in f]
+    assert ("z.org", "service name webmail lacks a node address") in got and ("z.org", "ttl of a failover name too long") in got
+    probes = spark.createDataFrame([("z.org", 0, 0)], "zone string, tunnel_ok int, public_ok int")
+    held = spark.createDataFrame([("z.org", n, "A", "198.51.100.20") for n in ("mail", "webmail", "autoconfig", "admin")], "zone string, name string, type string, target string")
+    assert rows_of(P.failover_plan(probes, held, POLICY), "name", "action") == [("admin", "repoint"), ("mail", "delete"), ("webmail", "delete")]
+    assert rows_of(P.restore_plan(held, POLICY), "name", "target") == [("mail", "203.0.113.10"), ("webmail", "203.0.113.10")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 3000, 40000])
+def test_merged_distinct(spark, n):
+    rows = spark.range(n * 3).select((F.col("id") % n if n else F.col("id")).alias("value"), (F.col("id") % 2).alias("key"),
+                                     F.timestamp_seconds((F.col("id") % 40) * 86400).alias("ts"))
+    rows = rows.unionByName(rows.limit(1).withColumn("value", F.lit(None).cast("bigint")))
+    sketches = P.distinct_sketches(rows, ["key"], "value", "ts")
+    day = F.lit("1970-01-11").cast("date")
+    for lo, hi in ((None, None), (day, None), (day, F.date_add(day, 9))):
+        kept = rows.where(F.lit(True) if lo is None else F.to_date("ts") >= lo).where(F.lit(True) if hi is None else F.to_date("ts") <= hi)
+        exact = {r.key: r.n for r in kept.groupBy("key").agg(F.countDistinct("value").alias("n")).collect()}
+        got = {r.key: r.estimate for r in P.merged_distinct(sketches, ["key"], lo, hi).collect()}
+        assert got.keys() == exact.keys()
+        assert all(abs(got[k] - v) <= max(1, v * P.sketch_error()) for k, v in exact.items())
+
+
+def test_table_functions(spark):
+    from mailfleet.functions.tables import register
+
+    register(spark)
+    register(spark)
+    spark.createDataFrame([(1, " a, ,b,"), (2, ""), (3, None), (4, "v=spf1  ip4:1.2.3.4 -all ")], "k int, t string").createOrReplaceTempView("lists_in_test")
+    items = spark.sql("select k, i.position, i.value from lists_in_test, lateral list_items(t) i where k < 4")
+    assert rows_of(items, "k", "position", "value") == [(1, 1, "a"), (1, 2, "b")]
+    spf = spark.sql("select k, m.* from lists_in_test, lateral spf_mechanisms(t) m")
+    assert rows_of(spf, "k", "position", "mechanism") == [(4, 1, "ip4:1.2.3.4"), (4, 2, "-all")]
+    spark.catalog.dropTempView("lists_in_test")
