@@ -132,20 +132,27 @@ URL_RULES = (
 
 @query(r"""
 with recursive u as (
-  select page_id, coalesce(url, '') as u, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') as c,
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') as m from pages),
+  select page_id, coalesce(url, '') as u, regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') as c,
+    regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') as m from pages),
 p as (
   select *, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, u as own from u),
 t as (
-  select host as h, u, unnest([regexp_extract(c, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(m, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]) as x from p),
-l as (select u as s, case when x like '//%' then 'http:' || x when x like '/%' then 'http://' || h || x else x end as d from t where x <> ''),
+  select host as h, path, u, replace(unnest(list_concat(list_transform(c, lambda g: regexp_extract(g, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)),
+    list_transform(m, lambda g: regexp_extract(g, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)))), '&amp;', '&') as x from p),
+l as (
+  select u as s, case when regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:') then x when x like '//%' then 'http:' || x when x like '/%' then 'http://' || h || x
+    when x like '?%' then 'http://' || h || path || x else 'http://' || h || case when path like '%/%' then regexp_extract(path, '(?s)^(.*/)', 1) else '/' end || x end as d
+  from t where x <> '' and x not like '#%'),
 n as (
-  select v, case when v like '%://%' then translate(regexp_extract(v, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz') || case when r = '' then '/' when r like '?%' then '/' || r else r end end as node
-  from (select v, regexp_extract(v, '(?s)^.*?://[^/?#]*([^#]*)', 1) as r from (select u as v from p union select s from l union select d from l))),
-e as (select distinct a.node as a, b.node as b from l join n a on a.v = s join n b on b.v = d where a.node is not null and b.node is not null),
+  select v, case when v like '%://%' then translate(regexp_extract(v, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || case when r = '' then '/' when contains(r, '/.') then '/' || array_to_string(list_reduce(list_transform(
+        list_concat(string_split(substr(r, 2), '/'), case when r like '%/.' or r like '%/..' then [''] else [] end), lambda g: [g]),
+        lambda held, g: case when g[1] = '..' then held[1:len(held) - 1] when g[1] = '.' then held else list_concat(held, g) end, cast([] as varchar[])), '/')
+      else r end || q end as node
+  from (select v, regexp_extract(v, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as r, regexp_extract(v, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) as q
+    from (select u as v from p union select s from l union select d from l))),
+e as (select distinct a.node as a, b.node as b from l join n a on a.v = s join n b on b.v = d where a.node <> b.node),
 e2 as (select a, b from e union select b, a from e),
 r as (select a, b from e2 union select r.a, e2.b from r join e2 on r.b = e2.a),
 rules(verdict, rule) as (values ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),

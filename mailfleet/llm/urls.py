@@ -44,12 +44,35 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments resolved; others stay as they are."""
+    step = lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(
+        x == ".", held).otherwise(F.concat(held, F.array(x)))
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    # What ends with a dot segment is a folder.
+    segments = F.when(path.rlike(r"/\.{1,2}$"), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+    left = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(left, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What two spellings of an address share: host, path and query; no scheme, no fragment."""
+    """What two spellings of an address share: host, path without dot segments, query; no scheme, no fragment."""
     url = F.coalesce(url, F.lit(""))
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    path = F.when(rest == "", "/").when(F.substring(rest, 1, 1) == "?", F.concat(F.lit("/"), rest)).otherwise(rest)
-    return F.when(url.contains("://"), F.concat(host_of(url), path))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    path = F.when(path_of(url) == "", "/").otherwise(without_dots(path_of(url)))
+    return F.when(url.contains("://"), F.concat(host_of(url), path, query))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The address that a link's ``target`` names on the page ``base``; null for a place on that page."""
+    site = F.concat(F.lit("http://"), host_of(base))
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, path_of(base), target))
+        .when(~target.startswith("#"), F.concat(site, F.when(folder == "", "/").otherwise(folder), target)))
 
 
 def matching_rule(host: Column, path: Column, rules: Iterable[Rule]) -> Column:
@@ -70,19 +93,22 @@ _ATTRIBUTE = r"""["']?\s*([^"'\s>]+)"""
 
 
 def links_in(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: nodes of each page and of the canonical and refresh addresses its html names."""
+    """``a, b``: nodes of each page and of all canonical and refresh addresses its html names.
+
+    Relative addresses are resolved against the page's own, and ``&amp;`` is read as ``&``.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    canonical = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    refresh = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    targets = F.array(
-        F.regexp_extract(canonical, r"(?is)\bhref\s*=\s*" + _ATTRIBUTE, 1),
-        F.regexp_extract(refresh, r"(?is)\burl\s*=\s*" + _ATTRIBUTE, 1))
+
+    def named_by(tag: str, attribute: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(rf"(?is)({tag})"), F.lit(1))
+        return F.transform(tags, lambda t: F.regexp_extract(t, rf"(?is)\b{attribute}\s*=\s*" + _ATTRIBUTE, 1))
+
+    targets = F.concat(
+        named_by(r"<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", "href"),
+        named_by(r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", "url"))
     named = pages.select(F.col(url_col).alias("_from"), F.explode(targets).alias("_to")).where("_to <> ''")
-    host = host_of(F.col("_from"))
-    # An address that starts with a slash is on the same host, one that starts with two names its own.
-    absolute = F.when(F.col("_to").startswith("//"), F.concat(F.lit("http:"), F.col("_to"))).when(
-        F.col("_to").startswith("/"), F.concat(F.lit("http://"), host, F.col("_to"))).otherwise(F.col("_to"))
-    return named.select(node_of(F.col("_from")).alias("a"), node_of(absolute).alias("b")).where(
+    target = F.replace(F.col("_to"), F.lit("&amp;"), F.lit("&"))
+    return named.select(node_of(F.col("_from")).alias("a"), node_of(resolved(target, F.col("_from"))).alias("b")).where(
         "a is not null and b is not null and a <> b")
 
 

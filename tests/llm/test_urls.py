@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from urllib.parse import urljoin
 
 import duckdb
 from pyspark.sql import functions as F
@@ -34,17 +35,31 @@ ROWS = [
     (9, "no scheme", None), (10, "", ""), (11, "http://xnet/es/", None), (12, "http://NET/es/?q", None), (12, "http://net/es", None),
     (13, "http://f.example.org", canonical("/es/home")), (14, "http://f.example.org/es/home?x=1", None), (None, "http://q.net/fr/1#a?b", "<p>"),
     (15, "ftp://h.org?x://y/z", None), (16, "http://i.com\n/en/", None), (17, "http://j.example.org/" + "long" * 30_000, None),
+    (18, "http://k.net/de/1", canonical("../es/x")), (19, "http://k.net/es/x", None), (20, "http://l.org/a/b", canonical("#top") + canonical("c") + refresh("../../../fr/y")),
+    (21, "http://l.org/a/c", canonical("?p=2&amp;q=http://m.org/")), (22, "http://l.org/a/./c?p=2&q=http://m.org/", canonical("mailto:x@y.org")),
+    (23, "http://n.net", canonical("es/")), (24, "http://o.net/x/..", refresh("http://o.net/fr/../fr/.")), (25, "http://o.net/", canonical("http://o.net/#a")),
 ]
 
 
+def undotted(path):
+    if "/." not in path:
+        return path
+    out, segments = [], path[1:].split("/")
+    for x in segments + [""] * (segments[-1] in (".", "..")):
+        if x == "..":
+            del out[-1:]
+        elif x != ".":
+            out.append(x)
+    return "/" + "/".join(out)
+
+
 def brute(rows, rules):
     def parts(url):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)([^#]*)", url or "")
         if not m:
             return "", "", None
         host = m[1].translate({c: c + 32 for c in range(65, 91)})
-        rest = m[2] + m[3]
-        return host, m[2], host + ("/" if rest == "" or rest[0] == "?" else "") + rest
+        return host, m[2], host + (undotted(m[2]) or "/") + m[3]
 
     def fit(host, path):
         good = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
@@ -60,8 +75,8 @@ def brute(rows, rules):
     linked = set()
     for _, url, html in rows:
         for target in re.findall(r"href='([^']*)' rel|url=([^\"]*)\"", html or ""):
-            to = target[0] or target[1]
-            to = "http:" + to if to.startswith("//") else f"http://{parts(url)[0]}{to}" if to.startswith("/") else to
+            to = (target[0] or target[1]).replace("&amp;", "&")
+            to = urljoin(url, to) if "://" in (url or "") else to
             a, b = parts(url)[2], parts(to)[2]
             if a and b and a != b:
                 linked |= {a, b}
@@ -87,6 +102,7 @@ def test_rules_and_aliases(spark):
     assert rows_of(got) == brute(ROWS, URL_RULES)
     verdicts = {r.page_id: r.verdict for r in got.collect()}
     assert verdicts[4] == "allow" and verdicts[7] == "block" and verdicts[8] == "allow"
+    assert verdicts[18] == "block"  # by a relative link
     assert verdicts[2] == verdicts[3] == "allow"  # the component also holds an explicit allow
 
 
@@ -99,7 +115,13 @@ def test_oracle_and_brute_force_on_random_links(spark):
     rng = random.Random(8)
     urls = [f"http://{h}/{p}/{i}" for i, (h, p) in enumerate(
         (rng.choice(["a.org", "b.net", "www.example.com", "example.com", "c.d.org"]), rng.choice(["en", "es", "fr", "de"])) for _ in range(80))]
-    rows = [(i, u, rng.choice([None, canonical, refresh]) and canonical(rng.choice(urls)) if rng.random() < 0.6 else None) for i, u in enumerate(urls)]
+    relative = [f"{up}{p}/{i}" for i, (up, p) in enumerate((rng.choice(["../", "./../", "/x/../", "../../"]), rng.choice(["en", "es", "fr"])) for _ in range(80))]
+    relative += ["?q=1", "#x", "sub/./y", "..", ".", "mailto:a@b.c"]
+
+    def html():
+        return "".join(rng.choice([canonical, refresh])(rng.choice(urls if rng.random() < 0.4 else relative)) for _ in range(rng.randrange(3)))
+
+    rows = [(i, u, html() if rng.random() < 0.7 else None) for i, u in enumerate(urls)]
     pages = pages_of(spark, rows)
     got = rows_of(judged(pages, URL_RULES))
     assert got == brute(rows, URL_RULES)
