@@ -46,12 +46,12 @@ def exact_groups(
     probed = some_of(open_, key, keyed, key)
     whole = F.unhex(F.sha2("_text", 256))
     hashed = written(probed.select(
-        "doc_id", "_bytes", "_prefix",
+        "doc_id", "_bytes", "_prefix", "candidate",
         (whole if all_digests else F.when(F.col("candidate"), whole)).alias("_sha")), "exact-hashes")
-    groups = hashed.where(F.col("_sha").isNotNull()).groupBy("_bytes", "_prefix", "_sha").agg(
+    groups = hashed.where("candidate").groupBy("_bytes", "_prefix", "_sha").agg(
         F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    # Settled rows have no whole hash; spread them by their prefix instead of in one null group.
-    sha = F.coalesce("_sha", F.col("_prefix").cast("string").cast("binary"))
+    # Settled rows meet no group, whether or not their digest is asked for; they are spread by their prefix.
+    sha = F.when(F.col("candidate"), F.col("_sha")).otherwise(F.col("_prefix").cast("string").cast("binary"))
     joined = hashed.withColumn("_match", sha).join(
         groups.withColumnRenamed("_sha", "_match"), ["_bytes", "_prefix", "_match"], "left")
     size = F.coalesce("_size", F.lit(1).cast("long"))
