@@ -28,9 +28,10 @@ def brute(docs, items):
         a = words(text)
         for i, item in items:
             b = words(item)
-            if len(b) < D.LEAST:
+            if not b:
                 continue
-            size, need = (D.WINDOW, D.EQUAL) if len(b) >= D.WINDOW else (len(b), len(b))
+            size = min(13, len(b))
+            need = 11 if size == 13 else size - 1 if size >= 7 else size
             for x in range(len(a) - size + 1):
                 for y in range(len(b) - size + 1):
                     if sum(p == q for p, q in zip(a[x:x + size], b[y:y + size], strict=True)) >= need:
@@ -39,15 +40,32 @@ def brute(docs, items):
 
 
 def test_masks_lose_no_overlap():
-    masks = D._masks([])
+    masks = [m for m, _ in D._masks([])]
     for changed in itertools.combinations(range(D.WINDOW), D.WINDOW - D.EQUAL):
         assert any(not set((m + s).tolist()) & set(changed)
                    for m in masks for s in range(D.WINDOW - int(m[-1])))
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_masks_of_short_items_lose_no_overlap(n):
+    masks = [set(m.tolist()) for m, whole in D._masks([n]) if whole == n]
+    for changed in itertools.combinations(range(n), n - D.needed(n)):
+        assert any(m and not m & set(changed) for m in masks)
+
+
+def test_short_items(spark):
+    items = [(1, "one two three four five six seven"), (2, "yes"), (3, "a b c d e f"), (4, "q r")]
+    docs = [(1, "x one two three four CHANGED six seven x"), (2, "x one two NOT four CHANGED six seven"), (3, "oh yes yes"), (4, "a b c d e F"), (5, "a b c X e f"),
+            (6, "one two three four five six"), (7, "q r " * 30_000), (8, "one X three four five six seven")]
+    got = {(r.doc_id, r.item_id): r.first_word for r in D.overlaps(docs_of(spark, docs), items_of(spark, [(*x, 1, "") for x in items])).collect()}
+    assert got == {(1, 1): 1, (3, 2): 1, (4, 3): 0, (7, 4): 0, (8, 1): 0}
+    kept = D.decontaminated(docs_of(spark, docs), items_of(spark, [(*x, 1, "") for x in items])).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3, 5, 6, 7]
+
+
 def test_against_brute_force(spark):
     rng = random.Random(5)
-    items = [(i, " ".join(rng.choices(WORDS, k=k))) for i, k in enumerate([20, 13, 12, 5, 4, 30, 14, 25, 1])]
+    items = [(i, " ".join(rng.choices(WORDS, k=k))) for i, k in enumerate([20, 13, 12, 5, 4, 30, 14, 25, 1, 7, 9])]
     items += [(20, None), (21, ""), (22, items[0][1]), (None, items[5][1])]
     docs = []
     for i in range(120):
@@ -63,7 +81,7 @@ def test_against_brute_force(spark):
     found = D.overlaps(docs_of(spark, docs), items_of(spark, [(*x, 1, "a") for x in items])).collect()
     got = {(r.doc_id, r.item_id) for r in found}
     assert len(got) == len(found)
-    assert got == brute([x for x in docs if x[0] != 502], items) | {(502, 0), (502, 22)}
+    assert got == brute([x for x in docs if x[0] != 502] + [(502, items[0][1])], items)
     for r in found:
         assert 0 <= r.first_word < r.end_word and r.equal_words <= r.end_word - r.first_word
 
