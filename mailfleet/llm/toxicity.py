@@ -1,19 +1,21 @@
 """Toxicity by a weighted grammar over clauses.
 
-Words become tags: insult (with a weight), threat, target, negation, reporting verb. Insults are a
-weighted automaton over letters: whole words and stems, some given, most learned from labelled texts
-by how much more often toxic texts hold them. Five small transducers over tags are composed and read
-each clause once, from left to right:
-
-* insult: emits the word's weight;
-* threat: emits when a target follows a violent verb within a few words;
-* target: multiplies a clause's insults when it addresses somebody;
-* negation: discounts insults in the few words after it;
-* reported speech: discounts the rest of the clause after a reporting verb.
-
-Clauses with a match are scored, not words; a text's features are the sum, the largest and the number
-of its clause scores, and a logistic layer trained in numpy on the same bounded sample of labelled
-texts turns them into a chance. Whole texts are read, in batches of bounded size.
+Words become tags: insult (with a weight), threat, target, negation, reporting verb. The lexicon is a
+letter machine: whole words and stems, some given, most learned from labelled texts by how much more
+often toxic texts hold them. Five weighted transducers read the tags of a clause, each the output of
+the one before. Each is a table of arcs (next state, symbol put out, weight) and final weights:
+
+* insult: turns an insult into a match;
+* threat: turns a target within a few words of a violent verb into a match;
+* negation: discounts the matches in the few words after it;
+* reported speech: discounts the matches after a reporting verb;
+* target: multiplies what a clause has matched when it addresses somebody.
+
+``compose`` makes one table of them, which is run over all clauses of a batch at once. A clause's score
+is the sum of its matches' weights times the final weight. Clauses with a match are scored, not words;
+a text's features are the sum, the largest and the number of its clause scores, and a logistic layer
+trained in numpy on the same bounded sample of labelled texts turns them into a chance. Whole texts
+are read, in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +44,8 @@ GIVEN_WEIGHT = 2.0
 NEGATION_SPAN, THREAT_SPAN = 3, 4
 TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.25, 0.4, 0.6, 3.0
 
-NONE, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
+NONE, TARGET, NEGATION, REPORT, THREAT, INSULT, MATCH, THREAT_MATCH = range(8)
+SYMBOLS = 8
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".!?;:,|")] = True
@@ -60,58 +63,201 @@ class Model(NamedTuple):
 
 
 class Tagger:
-    """Tag and weight of a word; the automaton over its letters is walked once."""
+    """Tag and weight of a word, by one walk of a machine over its letters.
+
+    A state has arcs by letter, the weight of the best stem that leads to it, and, where a whole word
+    ends, that word's tag and weight. A whole word goes before stems.
+    """
 
     FIXED = {**dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION),
              **dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(THREATS, THREAT)}
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon = lexicon
-        self.shortest = min(map(len, lexicon.stems), default=99)
-        self.longest = max(map(len, lexicon.stems), default=0)
+        self.arcs: list[dict[str, int]] = [{}]
+        self.stem: dict[int, float] = {}
+        self.weight: dict[int, float] = {}
+        self.fixed: dict[int, int] = {}
+        for word, tag in self.FIXED.items():
+            self.fixed[self._state(word)] = tag
+        for word, weight in lexicon.words.items():
+            self.weight[self._state(word)] = weight
+        for stem, weight in lexicon.stems.items():
+            self.stem[self._state(stem)] = weight
         self.known: dict[int, tuple[int, float]] = {}
 
+    def _state(self, letters: str) -> int:
+        state = 0
+        for letter in letters:
+            if letter not in self.arcs[state]:
+                self.arcs[state][letter] = len(self.arcs)
+                self.arcs.append({})
+            state = self.arcs[state][letter]
+        return state
+
+    def _read(self, word: str) -> tuple[int, float]:
+        state, best = 0, 0.0
+        for letter in word:
+            state = self.arcs[state].get(letter, -1)
+            if state < 0:
+                return (INSULT, best) if best else (NONE, 0.0)
+            best = max(best, self.stem.get(state, 0.0))
+        weight = self.weight.get(state, best)
+        return (INSULT, weight) if weight else (self.fixed.get(state, NONE), 0.0)
+
     def tag(self, raw: str) -> tuple[int, float]:
+        """The heaviest insult among the letter runs of ``raw``, else the first other tag."""
         best = (NONE, 0.0)
         for word in _LETTERS.findall(raw.lower()):
-            weight = self.lexicon.words.get(word)
-            if weight is None:
-                weight = max((self.lexicon.stems.get(word[:k], 0.0)
-                              for k in range(self.shortest, min(self.longest, len(word)) + 1)), default=0.0)
-            if weight > best[1]:
-                best = (INSULT, weight)
-            elif best[0] == NONE:
-                best = (self.FIXED.get(word, NONE), 0.0)
+            found = self._read(word)
+            if found[1] > best[1] or best[0] == NONE:
+                best = found
         return best
 
 
-def clause_score(tags: list[tuple[int, float]]) -> float:
-    """The composed transducers over one clause."""
-    total, negated, threat = 0.0, 0, 0
-    reported = targeted = False
-    for tag, weight in tags:
-        if tag == NEGATION:
-            negated = NEGATION_SPAN + 1
-        elif tag == REPORT:
-            reported = True
-        elif tag == THREAT:
-            threat = THREAT_SPAN + 1
-        elif tag == TARGET:
-            targeted = True
-            if threat:
-                total += THREAT_WEIGHT * (NEGATED if negated else 1) * (REPORTED if reported else 1)
-                threat = 0
-        elif tag == INSULT:
-            total += weight * (NEGATED if negated else 1) * (REPORTED if reported else 1)
-        negated, threat = max(0, negated - 1), max(0, threat - 1)
-    return total * (TARGETED if targeted else 1)
+class Transducer(NamedTuple):
+    """Arcs of a deterministic machine by (state, symbol), and what a clause that ends in a state is multiplied by.
+
+    It starts in state 0, puts out one symbol per symbol read and multiplies the weight that comes with it.
+    """
+
+    next: np.ndarray
+    out: np.ndarray
+    weight: np.ndarray
+    final: np.ndarray
+
+
+def _machine(states: int) -> Transducer:
+    """All arcs stay where they are and pass their symbol on unchanged."""
+    return Transducer(np.tile(np.arange(states)[:, None], (1, SYMBOLS)), np.tile(np.arange(SYMBOLS), (states, 1)),
+                      np.ones((states, SYMBOLS)), np.ones(states))
+
+
+def insult_machine() -> Transducer:
+    machine = _machine(1)
+    machine.out[:, INSULT] = MATCH
+    return machine
+
+
+def threat_machine(span: int = THREAT_SPAN) -> Transducer:
+    """The state is the number of words in which a target still completes the threat."""
+    machine = _machine(span + 1)
+    machine.next[1:] -= 1
+    machine.next[:, THREAT] = span
+    machine.next[1:, TARGET] = 0
+    machine.out[1:, TARGET] = THREAT_MATCH
+    machine.weight[1:, TARGET] = THREAT_WEIGHT
+    return machine
+
+
+def negation_machine(span: int = NEGATION_SPAN) -> Transducer:
+    """The state is the number of words that are still negated."""
+    machine = _machine(span + 1)
+    machine.next[1:] -= 1
+    machine.next[:, NEGATION] = span
+    machine.weight[1:, [MATCH, THREAT_MATCH]] = NEGATED
+    return machine
+
+
+def report_machine() -> Transducer:
+    machine = _machine(2)
+    machine.next[:, REPORT] = 1
+    machine.weight[1, [MATCH, THREAT_MATCH]] = REPORTED
+    return machine
+
+
+def target_machine() -> Transducer:
+    """A target that completed a threat is a target too."""
+    machine = _machine(2)
+    machine.next[:, [TARGET, THREAT_MATCH]] = 1
+    machine.final[1] = TARGETED
+    return machine
+
 
+MACHINES = (insult_machine(), threat_machine(), negation_machine(), report_machine(), target_machine())
 
-FEATURES = 4
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One machine that does what ``second`` does to the output of ``first``; only states that can be reached."""
+    pairs, number, rows = [(0, 0)], {(0, 0): 0}, []
+    for a, b in pairs:
+        row = []
+        for symbol in range(SYMBOLS):
+            middle = int(first.out[a, symbol])
+            to = (int(first.next[a, symbol]), int(second.next[b, middle]))
+            if to not in number:
+                number[to] = len(pairs)
+                pairs.append(to)
+            row.append((number[to], int(second.out[b, middle]), first.weight[a, symbol] * second.weight[b, middle]))
+        rows.append(row)
+    table = np.array(rows)
+    return Transducer(table[..., 0].astype(int), table[..., 1].astype(int), table[..., 2],
+                      np.array([first.final[a] * second.final[b] for a, b in pairs]))
+
+
+def composed(machines: Sequence[Transducer] = MACHINES) -> Transducer:
+    whole = machines[0]
+    for machine in machines[1:]:
+        whole = compose(whole, machine)
+    return whole
+
+
+def _gains(machine: Transducer) -> np.ndarray:
+    """What an arc adds to a clause: its weight if it puts out a match."""
+    return np.where(machine.out >= MATCH, machine.weight, 0.0)
+
+
+GRAMMAR = composed()
+_GAINS = _gains(GRAMMAR)
+#: State after a number of untagged words; more of them than the longest span change nothing.
+_IDLE = [np.arange(len(GRAMMAR.final))]
+for _ in range(max(NEGATION_SPAN, THREAT_SPAN)):
+    _IDLE.append(GRAMMAR.next[_IDLE[-1], NONE])
+_IDLE = np.array(_IDLE)
+#: Clauses still being read, from which on a step over all of them is cheaper than one after another.
+_TOGETHER = 16
+
+
+def clause_scores(kind: np.ndarray, weight: np.ndarray, gap: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Score of each clause by the composed machine.
+
+    A clause is ``length`` tagged words, one clause after another in the other arrays: tag, weight, and
+    how many untagged words stand before it in its clause. All clauses step together; the few longest
+    are read to their ends one by one.
+    """
+    begin = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    gap = np.minimum(gap, len(_IDLE) - 1)
+    state, total = np.zeros(len(order), int), np.zeros(len(order))
+    active, step = len(order), 0
+    while active := int(np.searchsorted(-length[:active], -step)):
+        if active < _TOGETHER:
+            break
+        at = begin[:active] + step
+        now = _IDLE[gap[at], state[:active]]
+        total[:active] += _GAINS[now, kind[at]] * weight[at]
+        state[:active] = GRAMMAR.next[now, kind[at]]
+        step += 1
+    if active:
+        idle, gains, following = _IDLE.tolist(), _GAINS.tolist(), GRAMMAR.next.tolist()
+        for i in range(active):
+            now, added = int(state[i]), float(total[i])
+            own = slice(begin[i] + step, begin[i] + length[i])
+            for k, w, g in zip(kind[own].tolist(), weight[own].tolist(), gap[own].tolist(), strict=True):
+                now = idle[g][now]
+                added += gains[now][k] * w
+                now = following[now][k]
+            state[i], total[i] = now, added
+    out = np.empty(len(order))
+    out[order] = total * GRAMMAR.final[state]
+    return out
+
+
+FEATURES = 3
 
 
 def features_of(texts: pa.Array, tagger: Tagger) -> np.ndarray:
-    """Per text: log of the summed clause scores, largest clause score, matched clauses (to 4), one match."""
+    """Per text: summed clause scores, largest clause score, number of clauses with a match."""
     found = W.words_of(texts)
     out = np.zeros((found.texts, FEATURES))
     codes, keys, first = W.distinct(found.hash)
@@ -124,42 +270,40 @@ def features_of(texts: pa.Array, tagger: Tagger) -> np.ndarray:
             at = first[j]
             tags[j] = known[int(keys[j])] = tagger.tag(raw[found.start[at]:found.end[at]].decode())
     kinds = np.array([t[0] for t in tags], np.int8)
+    # Words without a weight of their own have 1, which a machine's arcs multiply.
+    weights = np.array([t[1] if t[0] == INSULT else 1.0 for t in tags])
     if not len(codes):
         return out
     kind = kinds[codes]
-    # Only texts with an insult or a threat have anything to score.
-    hot = np.unique(found.text[kind >= THREAT])
-    if not len(hot):
+    # Only clauses with an insult or a threat have anything to score.
+    if not (kind >= THREAT).any():
         return out
     lines = np.r_[0, np.cumsum(found.data == 10)]
     ends = _BREAKS[found.data[found.end - 1]]
     newline = np.r_[True, lines[found.start[1:]] != lines[found.end[:-1]]]
     begins = newline | np.r_[True, ends[:-1]] | np.r_[True, found.text[1:] != found.text[:-1]]
-    clause = np.cumsum(begins)
-    wanted = np.isin(clause, np.unique(clause[kind >= THREAT]))
+    clause = np.cumsum(begins) - 1
+    wanted = np.zeros(clause[-1] + 1, bool)
+    wanted[clause[kind >= THREAT]] = True
     # A clause of any length is read as its tagged words and the gaps between them.
-    at = np.flatnonzero(wanted & (kind != NONE))
-    current, last, tagged = -1, -1, []
-    scores: dict[int, list[float]] = {}
-
-    def close() -> None:
-        if tagged and (score := clause_score(tagged)) > 0:
-            scores.setdefault(int(found.text[last]), []).append(score)
-
-    for i in at.tolist():
-        if clause[i] != current:
-            close()
-            current, tagged = clause[i], []
-        else:
-            tagged.extend([(NONE, 0.0)] * min(8, i - last - 1))
-        tagged.append(tags[codes[i]])
-        last = i
-    close()
-    for text, own in scores.items():
-        out[text] = math.log1p(sum(own)), max(own), min(4, len(own)), len(own) == 1
+    at = np.flatnonzero(wanted[clause] & (kind != NONE))
+    opens = np.r_[True, clause[at[1:]] != clause[at[:-1]]]
+    gap = np.where(opens, 0, np.r_[0, np.diff(at) - 1])
+    start = np.flatnonzero(opens)
+    score = clause_scores(kind[at], weights[codes[at]], gap, np.diff(np.r_[start, len(at)]))
+    text = found.text[at[start]][score > 0]
+    score = score[score > 0]
+    out[:, 0] = np.bincount(text, score, minlength=found.texts)
+    np.maximum.at(out[:, 1], text, score)
+    out[:, 2] = np.bincount(text, minlength=found.texts)
     return out
 
 
+def _inputs(x: np.ndarray) -> np.ndarray:
+    """What the layer sees of the features: logarithms of the sum and the number, the largest, and whether there is just one."""
+    return np.column_stack([np.log1p(x[:, 0]), x[:, 1], np.log1p(x[:, 2]), x[:, 2] == 1])
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other texts hold a word, or two different words with a stem."""
     for batch in batches:
@@ -261,11 +405,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_rows:
     seen = rows.mapInArrow(measured, ", ".join(f"{n} double" for n in names) + ", y int").groupBy(
         *names, "y").agg(F.count(F.lit(1)).alias("n")).orderBy(*names, "y").toPandas()
     x = np.repeat(seen[names].to_numpy(float), seen["n"].to_numpy(), 0)
-    return Model(lexicon, train_layer(x, np.repeat(seen["y"].to_numpy(float), seen["n"].to_numpy())))
+    return Model(lexicon, train_layer(_inputs(x), np.repeat(seen["y"].to_numpy(float), seen["n"].to_numpy())))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, clause_score, clauses`` for each row of ``docs``, from whole texts.
+    """``doc_id, score, clause_score, clauses`` for each row of ``docs``, from whole texts; ``clauses`` counts
+    all clauses with a match.
 
     Null and empty texts match nothing and get the layer's bias. Ids pass unchanged, null and
     repeated ones too; other columns are ignored.
@@ -280,9 +425,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in W.in_pieces(batch, "_text"):
                 x = features_of(part.column("_text"), tagger)
-                chance = 1 / (1 + np.exp(-np.clip(layer[0] + x @ layer[1:], -30, 30)))
+                chance = 1 / (1 + np.exp(-np.clip(layer[0] + _inputs(x) @ layer[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(chance), pa.array(np.expm1(x[:, 0])), pa.array(x[:, 2].astype(np.int64))],
+                    [part.column("doc_id"), pa.array(chance), pa.array(x[:, 0]), pa.array(x[:, 2].astype(np.int64))],
                     names=["doc_id", "score", "clause_score", "clauses"])
 
     return source.mapInArrow(scored, f"doc_id {id_type}, score double, clause_score double, clauses bigint")
