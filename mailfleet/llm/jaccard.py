@@ -7,8 +7,19 @@ in the first p = n - ceil(t n) + 1 tokens of both, and their first two in the fi
 
 The order is: tokens that few documents hold (rare) before frequent ones, then by hash. Rare tokens of
 the first p are index keys by themselves. If a pair's first shared token is frequent, all its shared
-tokens are; so of the frequent tokens in the first p + 1, every combination of two is a key. Only sets
-that consist almost entirely of frequent tokens have such keys. No key, candidate or partner is capped.
+tokens are. Only sets that consist almost entirely of frequent tokens can be in such a pair, and they
+have combinations of two frequent tokens as keys:
+
+* Small sets, up to ``SMALL`` tokens: every two of the frequent tokens in the first p + 1.
+* Larger ones: two that follow one another among the set's frequent tokens, in an extended prefix. Where
+  differing tokens are fewer than shared ones by two or more, somewhere two shared tokens follow one another
+  among the frequent tokens of both sets. Before the first such place, with a and b frequent tokens that only
+  the one or only the other set has, come at most a + b + 1 shared ones; so it ends at or before place
+  2a + b + 2 of the first set, and the sizes bound 2a + b. Keys grow with the set's size, not its square.
+
+Sets from t * ``SMALL`` to ``SMALL`` have keys of both kinds, so that any two similar sets have one kind in
+common. Up to a half (t <= 0.5) shared tokens need not follow one another, and all sets count as small: only
+there do keys of a set of frequent tokens grow with the square of its prefix. No key, candidate or partner is capped.
 
 Candidates of a key are first verified against one member of it. Verified links are contracted to
 components; keys whose members are all in one component are done, keys with the same members count once,
@@ -34,6 +45,8 @@ from mailfleet.llm.shared import written
 
 #: Documents that hold a token, from which on it is frequent.
 FREQUENT = 32
+#: Tokens of a set up to which all combinations in its prefix are keys: about where they are as many as pairs of neighbours.
+SMALL = 64
 _SET = ["_n", "_s1", "_s2"]
 
 
@@ -156,8 +169,36 @@ def _is_frequent(h: np.ndarray, seen: Filter) -> np.ndarray:
     return seen.has((half << np.uint64(32)) | half)
 
 
-def _keys(size: int, percent: int, sent, chunk: int = 100_000):
-    """Index keys of each document with the place of their first token, and in one row its first p tokens; combinations in rows of about ``chunk``."""
+def small_sets(percent: int) -> float:
+    """Sizes up to which two similar sets may both rely on all combinations.
+
+    Beyond, the union u of two similar sets is larger, and they share at least percent u / 100 tokens and differ in the
+    others, fewer by (2 percent - 100) u / 100, which must be two or more.
+    """
+    return max(SMALL, -(-200 // (2 * percent - 100))) if percent > 50 else float("inf")
+
+
+def neighbour_keys(
+    text: np.ndarray, h: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of neighbouring frequent tokens in the extended prefixes of the larger sets.
+
+    Tokens are sorted by text, rare ones first, then by hash; ``n`` is the size of each text's set. Place 0 is that of
+    the whole set: shared tokens may stand before a pair's first shared key, so it excludes nothing.
+    """
+    rare = np.bincount(text[~frequent], minlength=len(n))
+    # No rare token is shared. What sizes leave for differing frequent ones: 100 a + percent b <= spare.
+    spare = (100 - percent) * n - 100 * rare
+    extended = np.maximum(2 * spare // 100, spare // percent) + 2
+    used = (spare >= 0) & (100 * n >= percent * small_sets(percent))
+    begin = np.cumsum(n) - n
+    place = np.arange(len(h)) - begin[text] - rare[text]
+    first = np.flatnonzero(used[text[:-1]] & frequent[:-1] & (text[1:] == text[:-1]) & (place[:-1] + 2 <= extended[text[:-1]]))
+    return text[first], W.mix((h[first] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15) + h[first + 1])
+
+
+def _keys(size: int, percent: int, sent):
+    """Index keys of each document with the place of their first token, and its first p tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,27 +213,25 @@ def _keys(size: int, percent: int, sent, chunk: int = 100_000):
                 prefix = n - -(-percent * n // 100) + 1
                 place = np.arange(len(h)) - begin[text]
                 within = place < prefix[text]
-                alone, rare = within & ~frequent, np.zeros(texts + 1, np.int64)
-                np.cumsum(np.bincount(text[alone], minlength=texts), out=rare[1:])
                 first = np.zeros(texts + 1, np.int64)
                 np.cumsum(np.bincount(text[within], minlength=texts), out=first[1:])
-                yield _rows(part, signature, np.arange(texts), _lists(h[alone], rare), _lists(place[alone], rare),
-                            _lists(h[within], first))
-                # Combinations: only where a frequent token is among the first p.
-                for i in np.unique(text[within & frequent]).tolist():
+                alone = within & ~frequent
+                near, pairs = neighbour_keys(text, h, frequent, n, percent)
+                owner, keys, places = [text[alone], near], [h[alone], pairs], [place[alone], np.zeros(len(near), np.int64)]
+                # All combinations: only small sets with a frequent token among the first p.
+                for i in np.unique(text[within & frequent & (n <= small_sets(percent))[text]]).tolist():
                     tokens = h[begin[i]:begin[i] + min(n[i], prefix[i] + 1)]
                     own = np.flatnonzero(frequent[begin[i]:begin[i] + len(tokens)])
-                    tokens = tokens[own]
-                    held: list[np.ndarray] = []
-                    places: list[np.ndarray] = []
-                    for j in range(len(tokens) - 1):
-                        held.append(W.mix(tokens[j:j + 1] * np.uint64(0x9E3779B97F4A7C15) + tokens[j + 1:]))
-                        places.append(np.full(len(held[-1]), own[j], np.int64))
-                        if sum(map(len, held)) >= chunk or j == len(tokens) - 2:
-                            keys, bounds = np.concatenate(held), np.array([0, sum(map(len, held))])
-                            yield _rows(part, signature, np.array([i]), _lists(keys, bounds),
-                                        _lists(np.concatenate(places), bounds), pa.nulls(1, pa.list_(pa.int64())))
-                            held, places = [], []
+                    x, y = np.triu_indices(len(own), 1)
+                    owner.append(np.full(len(x), i))
+                    keys.append(W.mix(tokens[own[x]] * np.uint64(0x9E3779B97F4A7C15) + tokens[own[y]]))
+                    places.append(own[x])
+                owner = np.concatenate(owner)
+                order = np.argsort(owner, kind="stable")
+                bounds = np.zeros(texts + 1, np.int64)
+                np.cumsum(np.bincount(owner, minlength=texts), out=bounds[1:])
+                yield _rows(part, signature, np.arange(texts), _lists(np.concatenate(keys)[order], bounds),
+                            _lists(np.concatenate(places)[order], bounds), _lists(h[within], first))
 
     return run
 
@@ -261,7 +300,7 @@ class _Join:
         sent = spark.sparkContext.broadcast(seen)
         keyed = written(self.one_per_class(self.texts.mapInArrow(
             _keys(self.size, self.percent, sent), f"{self.fields}, _keys array<bigint>, _at array<bigint>, _prefix array<bigint>")), "keys")
-        self.prefixes = keyed.where("_prefix is not null").select(F.col("doc_id").alias("node"), "_s1", "_n", "_prefix")
+        self.prefixes = keyed.select(F.col("doc_id").alias("node"), "_s1", "_n", "_prefix")
         entries = keyed.select(
             F.explode(F.arrays_zip("_keys", "_at")).alias("k"), F.col("doc_id").alias("node"), F.col("_n").alias("n")).select(
             F.col("k._keys").alias("key"), "node", "n", F.col("k._at").alias("at"))

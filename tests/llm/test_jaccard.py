@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from mailfleet.llm.graph import components
-from mailfleet.llm.jaccard import one_of_each_group, similar_groups
+from mailfleet.llm.jaccard import neighbour_keys, one_of_each_group, similar_groups, small_sets
 from tests.llm.test_decontaminate import words
 from tests.llm.test_exact_pieces import docs_of
 
@@ -113,3 +114,62 @@ def test_near_copies_go_by_row(spark):
     want = [(1, text), (6, other + " x"), (None, near + " more"), (3, ""), (4, None)]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert one_of_each_group(docs.limit(0)).count() == 0
+
+
+def sorted_set(tokens, frequent):
+    """A set as the index sees it: text, token and frequent arrays, rare tokens first."""
+    h = np.array(sorted(tokens, key=lambda x: (x in frequent, x)), np.uint64)
+    return np.zeros(len(h), int), h, np.array([int(x) in frequent for x in h], bool), np.array([len(h)])
+
+
+@pytest.mark.parametrize("percent", [55, 60, 80, 90, 99])
+def test_neighbours_reach_every_similar_pair(percent):
+    """Two larger sets that share frequent tokens only have a pair of neighbours in common."""
+    rng = random.Random(percent)
+    found = 0
+    for _ in range(4000):
+        n = rng.randint(int(small_sets(percent) * percent / 100), 260)
+        shared = rng.sample(range(1, 4000), n)
+        # What differs may lie before everything shared, where it pushes the shared tokens back, or right between them.
+        spare = n * (100 - percent) // percent
+        a = rng.choice([0, spare, rng.randint(0, spare)])
+        b = spare - a if rng.random() < .7 else rng.randint(0, spare - a)
+        low = rng.random() < .5
+        extra = rng.sample(range(10_000, 20_000) if low else range(4000, 8000), a + b)
+        x, y = set(shared) | set(extra[:a]), set(shared) | set(extra[a:])
+        if low:
+            shift = {t: i for i, t in enumerate(sorted(extra))}
+            x, y = ({shift.get(t, t + 20_000) for t in s} for s in (x, y))
+        rare = set(rng.sample(sorted(x ^ y), rng.randint(0, len(x ^ y)))) if rng.random() < .3 else set()
+        if max(len(x), len(y)) <= small_sets(percent) or 100 * len(x & y) < percent * len(x | y):
+            continue
+        frequent = (x | y) - rare
+        mine, theirs = (set(neighbour_keys(*sorted_set(s, frequent), percent)[1].tolist()) for s in (x, y))
+        assert mine & theirs
+        assert len(mine) < 2 * len(x)
+        found += 1
+    assert found > 500
+
+
+def test_keys_of_a_long_text_of_frequent_tokens_are_linear():
+    h = np.arange(1, 100_001, dtype=np.uint64)
+    text, keys = neighbour_keys(np.zeros(len(h), int), h, np.ones(len(h), bool), np.array([len(h)]), 80)
+    assert len(keys) == len(text) == 2 * 20_000 + 1
+
+
+def test_near_copies_of_a_long_text(spark):
+    """All tokens are frequent; two groups of copies stay apart, and a text with too many changes stands alone."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for _ in range(rng.randint(1, 300)):
+            text[rng.randrange(len(text))] = "changed"
+        rows.append((i, " ".join(text)))
+    far = list(base)
+    for at in range(0, len(far), 10):
+        far[at] = f"v{at}"
+    rows.append((100, " ".join(far)))
+    got = {r.doc_id: r.component_id for r in similar_groups(docs_of(spark, rows).repartition(4), size=5, percent=80).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 100: 100}
