@@ -24,8 +24,12 @@ there do keys of a set of frequent tokens grow with the square of its prefix. No
 Candidates of a key are first verified against one member of it. Verified links are contracted to
 components; keys whose members are all in one component are done, keys with the same members count once,
 and of the rest every pair from different components is verified, if the places of the key leave enough
-tokens behind it in both (a pair's first shared key does). Documents that have many near copies
-are thereby joined by a star, not by all pairs. Every verification compares whole token sets.
+tokens behind it in both (a pair's first shared key does). Before a pair's first shared neighbours, at places i and j
+among the frequent tokens, any two shared tokens have a differing one between them; so of the first set's tokens
+before them all rare ones and at least (2i - j) / 3 of the frequent ones differ. Members of a key that would lose too much
+even against its smallest set are left out before pairs are made. Documents that have many near copies
+are thereby joined by a star, and many changed copies that are too far from one another make few pairs. Every
+verification compares whole token sets.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailfleet.llm import words as W
@@ -178,13 +182,10 @@ def small_sets(percent: int) -> float:
     return max(SMALL, -(-200 // (2 * percent - 100))) if percent > 50 else float("inf")
 
 
-def neighbour_keys(
-    text: np.ndarray, h: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of neighbouring frequent tokens in the extended prefixes of the larger sets.
+def neighbour_starts(text: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Where the first of two neighbouring frequent tokens stands, in the extended prefixes of the larger sets.
 
-    Tokens are sorted by text, rare ones first, then by hash; ``n`` is the size of each text's set. Place 0 is that of
-    the whole set: shared tokens may stand before a pair's first shared key, so it excludes nothing.
+    Tokens are sorted by text, rare ones first, then by hash; ``n`` is the size of each text's set.
     """
     rare = np.bincount(text[~frequent], minlength=len(n))
     # No rare token is shared. What sizes leave for differing frequent ones: 100 a + percent b <= spare.
@@ -192,13 +193,31 @@ def neighbour_keys(
     extended = np.maximum(2 * spare // 100, spare // percent) + 2
     used = (spare >= 0) & (100 * n >= percent * small_sets(percent))
     begin = np.cumsum(n) - n
-    place = np.arange(len(h)) - begin[text] - rare[text]
-    first = np.flatnonzero(used[text[:-1]] & frequent[:-1] & (text[1:] == text[:-1]) & (place[:-1] + 2 <= extended[text[:-1]]))
+    place = np.arange(len(text)) - begin[text] - rare[text]
+    return np.flatnonzero(used[text[:-1]] & frequent[:-1] & (text[1:] == text[:-1]) & (place[:-1] + 2 <= extended[text[:-1]]))
+
+
+def neighbour_keys(
+    text: np.ndarray, h: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the neighbours at ``neighbour_starts``."""
+    first = neighbour_starts(text, frequent, n, percent)
     return text[first], W.mix((h[first] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15) + h[first + 1])
 
 
+def _places(place: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Place of a key's first token, and how many tokens before it a pair that meets there surely doesn't share, as one number."""
+    return (place.astype(np.int64) << 32) | lead.astype(np.int64)
+
+
+def unshared(at: Column, other: Column) -> Column:
+    """How many tokens of a set a pair can't share whose first shared key stands at these places of it and the other."""
+    i, j = (F.shiftright(x, 32) - x.bitwiseAND(0xFFFFFFFF) for x in (at, other))
+    return at.bitwiseAND(0xFFFFFFFF) + F.greatest(F.floor((2 * i - j + 2) / 3), F.lit(0))
+
+
 def _keys(size: int, percent: int, sent):
-    """Index keys of each document with the place of their first token, and its first p tokens."""
+    """Index keys of each document with their places, and its first p tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +236,9 @@ def _keys(size: int, percent: int, sent):
                 np.cumsum(np.bincount(text[within], minlength=texts), out=first[1:])
                 alone = within & ~frequent
                 near, pairs = neighbour_keys(text, h, frequent, n, percent)
-                owner, keys, places = [text[alone], near], [h[alone], pairs], [place[alone], np.zeros(len(near), np.int64)]
+                rare = np.bincount(text[~frequent], minlength=texts)
+                owner, keys = [text[alone], near], [h[alone], pairs]
+                places = [_places(place[alone], place[alone]), _places(place[neighbour_starts(text, frequent, n, percent)], rare[near])]
                 # All combinations: only small sets with a frequent token among the first p.
                 for i in np.unique(text[within & frequent & (n <= small_sets(percent))[text]]).tolist():
                     tokens = h[begin[i]:begin[i] + min(n[i], prefix[i] + 1)]
@@ -225,7 +246,7 @@ def _keys(size: int, percent: int, sent):
                     x, y = np.triu_indices(len(own), 1)
                     owner.append(np.full(len(x), i))
                     keys.append(W.mix(tokens[own[x]] * np.uint64(0x9E3779B97F4A7C15) + tokens[own[y]]))
-                    places.append(own[x])
+                    places.append(_places(own[x], own[x]))
                 owner = np.concatenate(owner)
                 order = np.argsort(owner, kind="stable")
                 bounds = np.zeros(texts + 1, np.int64)
@@ -293,7 +314,7 @@ class _Join:
 
     def index(self) -> DataFrame:
         """``key, node, n, at, pivot, pivot_n, pivot_at`` of each key that several classes have; sets
-        ``self.prefixes``. ``at`` is the place of the key's (first) token among the node's."""
+        ``self.prefixes``. ``at`` has the ``_places`` of the key among the node's tokens."""
         spark = self.texts.sparkSession
         total = self.rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         seen = frequent_tokens(self.texts, total, self.size, self.frequent, self.bits)
@@ -309,10 +330,10 @@ class _Join:
             F.min_by("at", "node").alias("pivot_at")).where("pivot <> _last").drop("_last")
         return written(entries.join(shared, "key"), "index")
 
-    def reaches(self, n: str, at: str, other: str):
-        """Whether enough tokens follow a pair's first shared one, which stands at place ``at`` of ``n``."""
-        total = F.col(n) + F.col(other)
-        return (100 + self.percent) * (F.col(n) - F.col(at)) >= self.percent * total
+    def reaches(self, n: str, lost: Column, other: str | Column):
+        """Whether a set of ``n`` tokens, ``lost`` of them not shared, has enough for one of ``other`` tokens."""
+        total = F.col(n) + (F.col(other) if isinstance(other, str) else other)
+        return (100 + self.percent) * (F.col(n) - lost) >= self.percent * total
 
     def joined(self, pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         """``a, b`` with ``_x`` and ``_y``: what ``sets`` (``node`` and more) has of either."""
@@ -342,9 +363,10 @@ class _Join:
     def links(self) -> DataFrame:
         """Links that connect whatever is connected; ``a, b`` are classes' documents."""
         index = self.index()
+        lead = lambda at: F.col(at).bitwiseAND(0xFFFFFFFF)
         star = written(index.where(
             (F.col("node") != F.col("pivot")) & self.compatible("n", "pivot_n")
-            & self.reaches("n", "at", "pivot_n") & self.reaches("pivot_n", "pivot_at", "n")).select(
+            & self.reaches("n", lead("at"), "pivot_n") & self.reaches("pivot_n", lead("pivot_at"), "n")).select(
             F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         first = self.verified(star)
         groups = components(first)
@@ -353,15 +375,20 @@ class _Join:
         member = F.xxhash64("node")
         unsettled = placed.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"),
-            F.bit_xor(member).alias("h1"), F.sum(F.shiftright(member, 24)).alias("h2"), F.sum("at").alias("at")).where("x <> y")
+            F.bit_xor(member).alias("h1"), F.sum(F.shiftright(member, 24)).alias("h2"),
+            F.sum(F.shiftright("at", 32)).alias("at"), F.min("n").alias("low")).where("x <> y")
         # Of keys with the same members the first in the order of tokens: it may be a pair's first shared one.
-        chosen = unsettled.groupBy("m", "h1", "h2").agg(F.min(F.struct("at", "key")).alias("k")).select("k.key")
-        rest = written(placed.join(chosen, "key", "left_semi"), "unsettled")
+        chosen = unsettled.groupBy("m", "h1", "h2").agg(F.min(F.struct("at", "key", "low")).alias("k")).select("k.key", "k.low")
+        least = F.greatest(F.col("low"), F.ceil(F.col("n") * self.percent / 100))
+        rest = written(placed.join(chosen, "key").where(self.reaches("n", lead("at"), least)).drop("low"), "unsettled")
+        open_keys = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        rest = written(rest.join(open_keys, "key", "left_semi"), "open")
         a = rest.select("key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
         b = rest.select("key", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
         pairs = a.join(b, "key").where(
             (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.compatible("na", "nb")
-            & self.reaches("na", "pa", "nb") & self.reaches("nb", "pb", "na")).select("a", "b").distinct()
+            & self.reaches("na", unshared(F.col("pa"), F.col("pb")), "nb")
+            & self.reaches("nb", unshared(F.col("pb"), F.col("pa")), "na")).select("a", "b").distinct()
         pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
         return first.union(self.verified(pairs))
 

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from mailfleet.llm import jaccard
 from mailfleet.llm.graph import components
-from mailfleet.llm.jaccard import neighbour_keys, one_of_each_group, similar_groups, small_sets
+from mailfleet.llm.jaccard import neighbour_keys, neighbour_starts, one_of_each_group, similar_groups, small_sets, unshared
 from tests.llm.test_decontaminate import words
 from tests.llm.test_exact_pieces import docs_of
 
@@ -173,3 +175,50 @@ def test_near_copies_of_a_long_text(spark):
     rows.append((100, " ".join(far)))
     got = {r.doc_id: r.component_id for r in similar_groups(docs_of(spark, rows).repartition(4), size=5, percent=80).collect()}
     assert got == {**dict.fromkeys(range(40), 0), 100: 100}
+
+
+def test_places_of_first_shared_neighbours_exclude_no_similar_pair(spark):
+    """The first key that two similar sets share leaves enough tokens behind it in both."""
+    rng = random.Random(7)
+    percent, pairs = 80, []
+    for _ in range(1500):
+        n = rng.randint(70, 200)
+        pool = rng.sample(range(1, 100_000), n + n // 4)
+        shared, extra = set(pool[:n]), pool[n:n + n * (100 - percent) // percent]
+        cut = rng.randint(0, len(extra))
+        x, y = shared | set(extra[:cut]), shared | set(extra[cut:])
+        if rng.random() < .5:  # what differs comes first
+            low = {t: i for i, t in enumerate(sorted(extra))}
+            x, y = ({low.get(t, t + 200_000) for t in s} for s in (x, y))
+        rare = set(rng.sample(sorted(x ^ y), rng.randint(0, len(x ^ y))))
+        places = []
+        for s in (x, y):
+            text, h, frequent, size = sorted_set(s, (x | y) - rare)
+            at = neighbour_starts(text, frequent, size, percent)
+            places.append((dict(zip(neighbour_keys(text, h, frequent, size, percent)[1].tolist(), at.tolist())), int((~frequent).sum())))
+        (mine, r), (theirs, q) = places
+        key = min(mine.keys() & theirs.keys(), key=mine.get)
+        pairs.append((len(x), len(y), (mine[key] << 32) | r, (theirs[key] << 32) | q))
+    rows = spark.createDataFrame(pairs, "na bigint, nb bigint, pa bigint, pb bigint")
+    a, b = (F.col(n) - unshared(F.col(p), F.col(q)) for n, p, q in (("na", "pa", "pb"), ("nb", "pb", "pa")))
+    enough = (100 + percent) * F.least(a, b) >= percent * (F.col("na") + F.col("nb"))
+    assert rows.where(enough).count() == len(pairs)
+    assert rows.where((F.col("pa") != F.col("pb")) & (unshared(F.col("pa"), F.col("pb")) > F.col("pa").bitwiseAND(0xFFFFFFFF))).count() > 10
+
+
+def test_many_changed_copies_make_few_pairs(spark, monkeypatch):
+    """Copies that are near their base, and as many that are too far from it and from one another."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        text = list(base)
+        for at in rng.sample(range(0, 150, 5), 1 + 3 * (i % 2)):
+            text[at] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    made, keep = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, purpose, *more: made.append((purpose, keep(df, purpose, *more))) or made[-1][1])
+    got = {r.doc_id: r.component_id for r in similar_groups(docs_of(spark, rows)).collect()}
+    assert got == brute(rows, 3, 90) and len(set(got.values())) > 140
+    star, rest = (df.count() for purpose, df in made if purpose == "pairs")
+    assert star < 20 * len(rows) and rest < 5 * len(rows)
