@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import signal
 
 import pytest
 import public_tokenizers
@@ -70,3 +71,21 @@ def test_white_space_and_letters_as_the_library(library):
 def test_empty_table(spark):
     assert token_digests(docs_of(spark, [])).count() == 0
     assert [r.n_tokens for r in token_digests(docs_of(spark, [(None, None), (4, "x"), (4, "x")])).collect()] == [0, 1, 1]
+
+
+def test_every_pair_has_its_slot():
+    """Rows of hundreds of right ids, laid between others, once were tried for ever."""
+    pairs = bpe.mergeable(bpe.ranks_of(PATH))
+    signal.alarm(120)
+    starts, slots = bpe.displaced(pairs)
+    signal.alarm(0)
+
+    def found(left, right):
+        at = starts[left] + right
+        return slots[at] & 65535 if at < len(slots) and slots[at] >> 16 == left else None
+
+    assert all(found(key >> 16, key & 65535) == merged for key, merged in pairs.items())
+    rng = random.Random(5)
+    others = {(rng.randrange(len(starts)), rng.randrange(50_000)) for _ in range(50_000)}
+    assert all(found(a, b) == pairs.get(a << 16 | b) for a, b in others)
+    assert bpe.displaced({}) == ([0], [-1])
