@@ -89,3 +89,19 @@ def test_every_pair_has_its_slot():
     others = {(rng.randrange(len(starts)), rng.randrange(50_000)) for _ in range(50_000)}
     assert all(found(a, b) == pairs.get(a << 16 | b) for a, b in others)
     assert bpe.displaced({}) == ([0], [None])
+
+
+def test_fast_words_are_the_pattern_s():
+    """The spelled-out classes against the pattern's own library: all characters, and odd mixtures of them."""
+    import regex
+
+    assert public_tokenizers.PATTERN == bpe.WORDS
+    find, want = bpe._finder(bpe.WORDS), regex.compile(bpe.WORDS).findall
+    rng = random.Random(8)
+    odd = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u180e\u200b'sdtmrevlab1½é.,-日\U0001f600"
+    tried = ["".join(rng.choices(odd + "    '", k=rng.randint(1, 30))) for _ in range(5000)]
+    tried += ["".join(rng.choices(odd[:-1] + "    '", k=rng.randint(1, 30))) for _ in range(5000)]
+    tried += ["".join(f"{chr(c)}a1 '{chr(c)} " for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
+              for start in range(0, 0x110000, 64)]
+    assert all(find(text) == want(text) for text in tried)
+    assert bpe._finder(r"\w+|\W+")("a b,") == ["a", " ", "b", ","]
