@@ -52,6 +52,8 @@ FREQUENT = 32
 #: Tokens of a set up to which all combinations in its prefix are keys: about where they are as many as pairs of neighbours.
 SMALL = 64
 _SET = ["_n", "_s1", "_s2"]
+#: Bytes of text whose shingles a task holds at a time: about thirty times as many bytes of tables stand beside them.
+_PIECE = 1 << 18
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -86,7 +88,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.in_pieces(batch, "_text"):
+            for part in W.in_pieces(batch, "_text", _PIECE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *_signature(*shingles(part.column("_text"), size))], names=["doc_id", *_SET])
     return run
@@ -104,7 +106,8 @@ def _signature(text: np.ndarray, h: np.ndarray, texts: int) -> list[pa.Array]:
     return out
 
 
-_BLOCK_BYTES = 32 << 20
+#: Bytes of token halves that a task holds before it counts them.
+_BLOCK_BYTES = 16 << 20
 
 
 def _blocks(size: int, blocks: int):
@@ -112,7 +115,8 @@ def _blocks(size: int, blocks: int):
 
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.searchsorted(values, (np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks))
+        starts = (np.arange(blocks, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks)
+        cut = np.r_[np.searchsorted(values, starts.astype(np.uint32)), len(values)]
         used = np.flatnonzero(np.diff(cut))
         return pa.RecordBatch.from_arrays([
             pa.array(used.astype(np.int32)),
@@ -123,10 +127,10 @@ def _blocks(size: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for part in W.in_pieces(batch, "_text"):
+            for part in W.in_pieces(batch, "_text", _PIECE):
                 _, h, _ = shingles(part.column("_text"), size)
-                parts.append(h >> np.uint64(32))
-                held += 8 * len(h)
+                parts.append((h >> np.uint64(32)).astype(np.uint32))
+                held += parts[-1].nbytes
                 if held > _BLOCK_BYTES:
                     yield packed(parts)
                     parts, held = [], 0
@@ -138,21 +142,23 @@ def _blocks(size: int, blocks: int):
 
 def _squeezed(values: np.ndarray) -> bytes:
     """Ascending numbers below 2**32 as differences, bytes of one weight together, compressed."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u4")
+    steps = np.diff(values, prepend=values.dtype.type(0)).astype("<u4")
     return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
     steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T)
-    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint64)
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint32)
 
 
 def _frequent_in_block(table: pa.Table, least: int) -> pa.Table:
     tokens = np.concatenate([_unsqueezed(x.as_py()) for x in table["tokens"]])
     counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table["counts"]])
-    values, place = np.unique(tokens, return_inverse=True)
-    total = np.bincount(place, counts)
-    return pa.table({"token": pa.array(values[total >= least].astype(np.int64))})
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    total = np.add.reduceat(counts[order], first, dtype=np.int64)
+    return pa.table({"token": pa.array(tokens[first[total >= least]].astype(np.int64))})
 
 
 def frequent_tokens(texts: DataFrame, tokens: int, size: int, least: int, bits: int) -> Filter:
@@ -221,7 +227,7 @@ def _keys(size: int, percent: int, sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.in_pieces(batch, "_text"):
+            for part in W.in_pieces(batch, "_text", _PIECE):
                 text, h, texts = shingles(part.column("_text"), size)
                 signature = _signature(text, h, texts)
                 n = np.bincount(text, minlength=texts)
@@ -273,7 +279,7 @@ def _sets(size: int, sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.in_pieces(batch, "_text"):
+            for part in W.in_pieces(batch, "_text", _PIECE):
                 text, h, texts = shingles(part.column("_text"), size)
                 signature = _signature(text, h, texts)
                 wanted = np.flatnonzero(sent.value.has(signature[1].to_numpy().view(np.uint64)))

@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from mailfleet.llm import jaccard
+from mailfleet.llm.bloom import Filter
 from mailfleet.llm.graph import components
 from mailfleet.llm.jaccard import neighbour_keys, neighbour_starts, one_of_each_group, similar_groups, small_sets, unshared
 from tests.llm.test_decontaminate import words
@@ -222,3 +227,34 @@ def test_many_changed_copies_make_few_pairs(spark, monkeypatch):
     assert got == brute(rows, 3, 90) and len(set(got.values())) > 140
     star, rest = (df.count() for purpose, df in made if purpose == "pairs")
     assert star < 20 * len(rows) and rest < 5 * len(rows)
+
+
+def test_memory_of_a_task(monkeypatch):
+    """Tables beside the shingles do not grow with the batch; once they took an executor over its memory."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 5000, 600).tolist())) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "_text": texts})
+
+    class Sent:
+        value = Filter(np.full(1 << 18, 0x9249249249249249, np.uint64), 24)
+
+    monkeypatch.setattr(jaccard, "_BLOCK_BYTES", jaccard._BLOCK_BYTES // 8)
+    for run, most in ((jaccard._signatures(5), 40), (jaccard._blocks(5, 16), 60), (jaccard._keys(5, 80, Sent), 40), (jaccard._sets(5, Sent), 40)):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / (1 << 20)
+        tracemalloc.stop()
+        assert peak < most, (run, peak)
+
+
+def test_counts_of_blocks():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 9, 40).tolist())) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"_text": texts})
+    table = pa.Table.from_batches(list(jaccard._blocks(3, 7)(iter([batch, batch]))))
+    got = []
+    for block in range(7):
+        got += jaccard._frequent_in_block(table.filter(pc.equal(table["block"], block)), 20)["token"].to_pylist()
+    count = Counter((jaccard.shingles(pa.array(texts), 3)[1] >> np.uint64(32)).tolist())
+    assert got == sorted(t for t, n in count.items() if 2 * n >= 20) and len(got) > 100
