@@ -105,3 +105,12 @@ def test_fast_words_are_the_pattern_s():
               for start in range(0, 0x110000, 64)]
     assert all(find(text) == want(text) for text in tried)
     assert bpe._finder(r"\w+|\W+")("a b,") == ["a", " ", "b", ","]
+
+
+def test_plans_do_not_print_the_rank_table(spark, capsys):
+    """Megabytes of ranks in each printed plan once filled the driver."""
+    out = token_digests(docs_of(spark, [(1, "some words"), (2, "more")]))
+    assert out.count() == 2
+    out.explain("formatted")
+    out.explain("extended")
+    assert 500 < len(capsys.readouterr().out) < 100_000
