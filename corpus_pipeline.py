@@ -40,12 +40,16 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: Text that the encoder holds at a time, beside what the stages before left in the workers.
+BATCH_BYTES = 1 << 20
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: the byte-level BPE ids of each document, and the digest of the bytes they decode to."""
     import public_tokenizers
 
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, with_round_trip=True)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, batch_bytes=BATCH_BYTES, with_round_trip=True)
 
 
 #: Texts that a writer holds before it puts them down.

@@ -161,14 +161,18 @@ def _frequent_in_block(table: pa.Table, least: int) -> pa.Table:
     return pa.table({"token": pa.array(tokens[first[total >= least]].astype(np.int64))})
 
 
+def blocks_of(tokens: int) -> int:
+    """In how many blocks so many tokens are counted: about a million in each."""
+    return max(16, tokens >> 20)
+
+
 def frequent_tokens(texts: DataFrame, tokens: int, size: int, least: int, bits: int) -> Filter:
     """A filter of the tokens that at least ``least`` documents hold, counted over all documents.
 
-    Tokens are counted by their upper halves, in blocks of about four million; a count is never too
+    Tokens are counted by their upper halves, in blocks that one worker counts at a time; a count is never too
     low. A false yes only makes a rare token count as frequent, in all documents alike.
     """
-    blocks = max(16, tokens >> 22)
-    counted = texts.mapInArrow(_blocks(size, blocks), "block int, tokens binary, counts binary").groupBy("block").applyInArrow(
+    counted = texts.mapInArrow(_blocks(size, blocks_of(tokens)), "block int, tokens binary, counts binary").groupBy("block").applyInArrow(
         lambda table: _frequent_in_block(table, least), "token bigint")
     # The filter reads bits at both ends of a key; half a hash is put at both.
     return filter_of(counted.withColumn("k", F.shiftleft("token", 32).bitwiseOR(F.col("token"))), "k", bits)

@@ -258,3 +258,21 @@ def test_counts_of_blocks():
         got += jaccard._frequent_in_block(table.filter(pc.equal(table["block"], block)), 20)["token"].to_pylist()
     count = Counter((jaccard.shingles(pa.array(texts), 3)[1] >> np.uint64(32)).tolist())
     assert got == sorted(t for t, n in count.items() if 2 * n >= 20) and len(got) > 100
+
+
+def test_memory_of_a_counted_block():
+    """Blocks of four million tokens once took a worker over the executors' memory."""
+    tokens = 85_000_000
+    span = (1 << 32) // jaccard.blocks_of(tokens)
+    n = tokens // jaccard.blocks_of(tokens) // 8
+    rng = np.random.default_rng(2)
+    parts = [np.unique(rng.integers(0, span, n, dtype=np.uint32)) for _ in range(8)]
+    counts = [jaccard.zlib.compress(np.ones(len(p), np.uint32).tobytes(), 1) for p in parts]
+    table = pa.table({"tokens": pa.array([jaccard._squeezed(p) for p in parts]), "counts": pa.array(counts)})
+    tracemalloc.start()
+    got = jaccard._frequent_in_block(table, 2)["token"].to_numpy()
+    peak = tracemalloc.get_traced_memory()[1] / (1 << 20)
+    tracemalloc.stop()
+    kinds, came = np.unique(np.concatenate(parts), return_counts=True)
+    assert (got == kinds[came > 1]).all() and len(got)
+    assert peak < 48, peak
