@@ -179,3 +179,18 @@ def test_odd_rows(spark):
     assert sorted(key((r.doc_id, r.n_tokens, 0, r.base_score)) for r in got) == sorted(key(x) for x in want)
     assert {r.train_tokens for r in got} == {total} and all(np.isfinite(r.score) for r in got)
     assert lm.scored(docs_of(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_stored_ids_are_the_texts(spark):
+    """Learning from ids cut before, stored with their rounds, is learning from the texts."""
+    texts = [None, "", "the word " * 3000, *(f"text number {i} has its words" for i in range(40))]
+    cut = lm.subwords(PATH, public_tokenizers.PATTERN)
+    ids = [cut.sequences(W.words_of(pa.array([t], pa.string())))[0].astype(lm._kind(cut.end)).tobytes() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+    got = [(x, n, part.num_rows) for (x, n), part in lm._stored(batch, cut.end)]
+    want, lengths = cut.sequences(W.words_of(pa.array(texts)))
+    assert np.concatenate([x for x, *_ in got]).tolist() == want.tolist()
+    assert np.concatenate([n for _, n, _ in got]).tolist() == lengths.tolist() and sum(n for *_, n in got) == len(texts)
+    rounds = spark.range(20_000).select(lm.round_of(lm.F.xxhash64("id")).alias("r")).groupBy("r").count().collect()
+    share = {r.r: r["count"] / 20_000 * sum(lm.ROUNDS) for r in rounds}
+    assert all(abs(share[i] - n) < 0.2 * n for i, n in enumerate(lm.ROUNDS)) and len(share) == len(lm.ROUNDS)
