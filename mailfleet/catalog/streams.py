@@ -14,7 +14,7 @@ from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 from mailfleet.streaming import jobs, store
 from mailfleet.streaming.processors import ROCKSDB
-from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, run_available, run_closed
+from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, replayed, run_available, run_closed
 
 
 def live(v: Views, *tables: str) -> StreamViews:
@@ -126,14 +126,14 @@ with a as (select queue_id, cast(epoch(queued_at) as bigint) as q, delivered_aft
 select queue_id, 'warned' as outcome, q + 14400 as second from a where s is null or s >= 14400 union all select queue_id, 'delivered', q + s from a where s < 259200
 union all select queue_id, 'bounced', q + 259200 from a where s is null or s >= 259200""")
 def _(v):
-    s = live(v, "orders")
-    queued = s.sql("select queue_id, queued_at as ts from fx_delivery")
-    done = s.sql(
+    queued = v.sql("select queue_id, queued_at as ts from fx_delivery")
+    done = v.sql(
         "select queue_id, queued_at + interval '1' hour * delivered_after_h as ts "
         "from fx_delivery where delivered_after_h is not null"
     )
     end = {"queue_id": -1, "ts": CLOSING}
-    rows = run_closed(jobs.delivery_stream, [queued, done], [end, end], "delivery")
+    streams = replayed([queued, done], "ts", "delivery")
+    rows = run_closed(jobs.delivery_stream, streams, [end, end], "delivery")
     return rows.where("queue_id >= 0").drop("batch_id")
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import functools
+import math
 import re
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,10 @@ BATCH = "batch_id"
 # Files of one trigger: a backlog is worked off in pieces, which bounds what a key can hold.
 FILES_PER_BATCH = 1000
 
+# Rows of one trigger of a backlog that is replayed in the order of time, and the files they lie in.
+REPLAYED_ROWS = 1_000_000
+REPLAYED_FILES = 8
+
 
 class StreamViews:
     """The views of ``fixtures.Views`` over streams: listed tables are read as streams, the
@@ -49,6 +56,44 @@ class StreamViews:
         return self.spark.sql(full)
 
 
+def replayed(inputs: Sequence[DataFrame], at: str, name: str) -> list[DataFrame]:
+    """Stored inputs, of the same columns, as streams that bring their rows in the order of ``at``.
+
+    A table that is read as it lies brings all times at once, so nothing can leave the state of a job
+    before the state has held every row. Here the watermark moves from trigger to trigger, and a state holds
+    what its deadline spans and one trigger. All inputs lie in one folder of files that follow each
+    other in time and are read at one pace, so none runs ahead of another and no row comes late. Rows
+    without a time come first.
+    """
+    spark = inputs[0].sparkSession
+    numbered = [df.withColumn("__input", F.lit(i)) for i, df in enumerate(inputs)]
+    rows = functools.reduce(DataFrame.unionByName, numbered)
+    triggers = max(1, math.ceil(rows.count() / REPLAYED_ROWS))
+    path = shared_folder(spark, f"{name}-backlog")
+    # Rows of one time may be many: they are split by the other columns.
+    by = [at, *(c for c in rows.columns if c != at)]
+    rows.repartitionByRange(triggers * REPLAYED_FILES, *by).write.parquet(path)
+    _date_in_order(spark, path)
+    reader = spark.readStream.schema(_nullable(rows)).option("maxFilesPerTrigger", REPLAYED_FILES)
+    stream = reader.parquet(path)
+    return [stream.where(F.col("__input") == i).drop("__input") for i in range(len(inputs))]
+
+
+def _date_in_order(spark: SparkSession, path: str) -> None:
+    """Dates the files of a folder by their numbers: a stream reads the oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = {s.getPath().getName(): s.getPath() for s in fs.listStatus(place)}
+    order = sorted((n for n in files if n.startswith("part-")), key=lambda n: (int(n.split("-")[1]), n))
+    begin = (int(time.time()) - len(order)) * 1000
+    dates = [begin + 1000 * i for i in range(len(order))]
+    for n, date in zip(order, dates, strict=True):
+        fs.setTimes(files[n], date, -1)
+    kept = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(place)}
+    if [kept[n] for n in order] != dates:
+        raise RuntimeError(f"{path}: this file system does not keep the dates that files are given")
+
+
 def write_batches(path: str) -> Callable[[DataFrame, int], None]:
     """Sink that keeps each batch in its own folder; a batch that is run again replaces itself."""
 

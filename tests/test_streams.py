@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime
 import os
 import random
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from mailfleet.catalog import QUERIES
 from mailfleet.catalog.abuse import WIDE, fails
 from mailfleet.catalog.health import states
 from mailfleet.operators import abuse as A
@@ -18,9 +21,9 @@ from mailfleet.operators import health as H
 from mailfleet.operators import messages as M
 from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
-from mailfleet.streaming import jobs, store
+from mailfleet.streaming import jobs, runs, store
 from mailfleet.streaming.processors import ROCKSDB
-from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, run_available, run_closed
+from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, replayed, run_available, run_closed
 from tests.compare import rows_of
 
 ORDER = {"events": "ts", "orders": "o_orderdate", "documents": "doc_id"}
@@ -236,6 +239,84 @@ def test_delivery(spark, folder, live):
     assert rows_of(warned) == rows_of(want.where("warned = 1").select("queue_id"))
 
 
+class _StateRows(StreamingQueryListener):
+    """Rows of state after each trigger, and the runs that have ended."""
+
+    def __init__(self):
+        self.rows, self.ended = [], 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.rows += [s.numRowsTotal for s in event.progress.stateOperators]
+
+    def onQueryTerminated(self, event):
+        self.ended += 1
+
+
+def _outcomes(orders):
+    """Warnings, deliveries and bounces of ``orders`` (id, time), pair by pair."""
+    hour = datetime.timedelta(hours=1)
+    queued = [(i, at) for i, at in orders if i is not None and at is not None]
+    done = {}
+    for i, at in queued:
+        if i % 9:
+            done.setdefault(i, []).append(at + i % 80 * hour)
+    for i, at in queued:
+        second = int(at.replace(tzinfo=datetime.UTC).timestamp())
+        found = [d for d in done.get(i, []) if at <= d < at + 72 * hour]
+        yield from ((i, "delivered", int(d.replace(tzinfo=datetime.UTC).timestamp())) for d in found)
+        if not found:
+            yield i, "bounced", second + 72 * 3600
+        if not any(d < at + 4 * hour for d in found):
+            yield i, "warned", second + 4 * 3600
+
+
+def test_a_backlog_of_deliveries_does_not_wait_in_state(spark, tmp_path, monkeypatch):
+    """Orders of 60 days in no order, some twice or again after a day, some without an id or a time."""
+    rng, day = random.Random(9), datetime.timedelta(days=1)
+    begin = datetime.datetime(2024, 1, 1)
+    orders = [(i, begin + rng.randrange(60 * 24) * day / 24) for i in range(3000)]
+    orders += orders[:100] + [(i, at + day) for i, at in orders[100:200]]
+    orders += [(None, at) for _, at in orders[:20]] + [(3000 + i, None) for i in range(20)]
+    rng.shuffle(orders)
+    pq.write_table(
+        pa.table({"o_orderkey": pa.array([i for i, _ in orders], pa.int64()),
+                  "o_orderdate": pa.array([at for _, at in orders], pa.timestamp("us"))}),
+        tmp_path / "orders.parquet")
+    monkeypatch.setattr(runs, "REPLAYED_ROWS", 600, raising=False)
+    state = _StateRows()
+    spark.streams.addListener(state)
+    try:
+        got = QUERIES["str09_delivery_stream"](spark, str(tmp_path))
+        for _ in range(300):
+            if state.ended == 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(state)
+    assert rows_of(got, "queue_id", "outcome", "second") == sorted(_outcomes(orders), key=repr)
+    assert 0 < max(state.rows) < 2000  # of 5,900 that a join takes in
+
+
+def test_a_replay_brings_every_row_in_the_order_of_time(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, *range(200)])) for _ in range(2000)]
+    rows += [(1, 77)] * 300
+    made = spark.createDataFrame(rows, "k int, t int").select("k", F.timestamp_seconds("t").alias("at"))
+    monkeypatch.setattr(runs, "REPLAYED_ROWS", 400)
+    first, second = replayed([made.where("k < 5"), made.where("k is null or k >= 5")], "at", "two")
+    both = first.withColumn("which", F.lit(1)).unionByName(second.withColumn("which", F.lit(2)))
+    got = run_available(both, "two")
+    assert rows_of(got.select("k", "at")) == rows_of(made)
+    assert got.where("(which = 1) <> coalesce(k < 5, false)").isEmpty()
+    spans = got.groupBy("batch_id").agg(F.min("at"), F.max("at"), F.count("*")).orderBy("batch_id").collect()
+    assert len(spans) > 3 and max(s[3] for s in spans) < 1200
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    assert got.where("at is null and batch_id > 1").isEmpty()
+
+
 def test_message_state(spark, folder, live, tmp_path):
     views = Views(spark, folder)
     msg = views("fx_msg")
