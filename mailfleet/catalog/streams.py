@@ -14,7 +14,9 @@ from mailfleet.sources.fixtures import Views
 from mailfleet.sources.schema import conform
 from mailfleet.streaming import jobs, store
 from mailfleet.streaming.processors import ROCKSDB
-from mailfleet.streaming.runs import CLOSING, StreamViews, last_update, replayed, run_available, run_closed
+from mailfleet.streaming.runs import (
+    CLOSING, StreamViews, few_partitions, last_update, replayed, run_available, run_closed,
+)
 
 
 def live(v: Views, *tables: str) -> StreamViews:
@@ -133,7 +135,8 @@ def _(v):
     )
     end = {"queue_id": -1, "ts": CLOSING}
     streams = replayed([queued, done], "ts", "delivery")
-    rows = run_closed(jobs.delivery_stream, streams, [end, end], "delivery")
+    rows = run_closed(
+        jobs.delivery_stream, streams, [end, end], "delivery", settings=few_partitions(v.spark))
     return rows.where("queue_id >= 0").drop("batch_id")
 
 

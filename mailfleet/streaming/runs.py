@@ -73,14 +73,14 @@ def replayed(inputs: Sequence[DataFrame], at: str, name: str) -> list[DataFrame]
     # Rows of one time may be many: they are split by the other columns.
     by = [at, *(c for c in rows.columns if c != at)]
     rows.repartitionByRange(triggers * REPLAYED_FILES, *by).write.parquet(path)
-    _date_in_order(spark, path)
-    reader = spark.readStream.schema(_nullable(rows)).option("maxFilesPerTrigger", REPLAYED_FILES)
+    at_once = math.ceil(_date_in_order(spark, path) / triggers)
+    reader = spark.readStream.schema(_nullable(rows)).option("maxFilesPerTrigger", max(1, at_once))
     stream = reader.parquet(path)
     return [stream.where(F.col("__input") == i).drop("__input") for i in range(len(inputs))]
 
 
-def _date_in_order(spark: SparkSession, path: str) -> None:
-    """Dates the files of a folder by their numbers: a stream reads the oldest first."""
+def _date_in_order(spark: SparkSession, path: str) -> int:
+    """Dates the files of a folder by their numbers, as a stream reads the oldest first; returns how many."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     files = {s.getPath().getName(): s.getPath() for s in fs.listStatus(place)}
@@ -92,6 +92,17 @@ def _date_in_order(spark: SparkSession, path: str) -> None:
     kept = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(place)}
     if [kept[n] for n in order] != dates:
         raise RuntimeError(f"{path}: this file system does not keep the dates that files are given")
+    return len(order)
+
+
+def few_partitions(spark: SparkSession) -> dict[str, str]:
+    """Settings of a stream of many small triggers: two partitions a core, if the session has more.
+
+    Every trigger writes files for each partition of a state, also where few rows come, and the
+    adaptive planner does not merge them.
+    """
+    key = "spark.sql.shuffle.partitions"
+    return {key: str(min(int(spark.conf.get(key)), 2 * spark.sparkContext.defaultParallelism))}
 
 
 def write_batches(path: str) -> Callable[[DataFrame, int], None]:
